@@ -1,15 +1,63 @@
-"""A training-data pipeline over the documents table, as named stages."""
+"""A training-data pipeline over the documents table, as named stages.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its rows are written as
+Parquet and reread as the next stage's ``docs``. All stages but the last keep the columns
+of ``docs``, and each works on all that its predecessor kept.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from quarryline.llm import exact_dedup, language_id, mixing, near_dedup
+from quarryline.llm import exact_dedup, language_id, mixing, near_dedup, piece_tokenizer
 from quarryline.session import ensure_checkpoint_dir, table
 
-STAGES: list = []
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language cannot be told go: no letters, or a score below one half."""
+    return language_id.drop_unidentified(docs, language_id.train(docs))
+
+
+def remove_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The row with the smallest doc_id of equal texts stays."""
+    return exact_dedup.drop_exact_copies(docs)
+
+
+def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked SimHash fingerprints stays, under the operator's contract."""
+    return near_dedup.drop_near_copies(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources come to their target weights; a document used in n epochs has n rows."""
+    return mixing.take_mix(docs)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document of the mix, with the verified round trip and parity."""
+    return piece_tokenizer.encode_pieces(docs, piece_tokenizer.read_model())
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("exact_dedup", remove_exact_copies),
+    ("near_dedup", remove_near_copies),
+    ("mixing", mix),
+    ("sentencepiece", tokenize),
+]
+
+#: SQL cannot express the language model, the fingerprints' components or the tokenizer.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Apply the stages to ``documents``; what lies between them is kept in the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import exact_dedup, language_id, mixing, near_dedup
+from quarryline.llm import exact_dedup, language_id, mixing, near_dedup, piece_tokenizer
 from quarryline.session import table
 
 
@@ -31,6 +31,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_tokenizer.encode_pieces(documents(spark, sf_dir), piece_tokenizer.read_model())
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
@@ -39,6 +43,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_simhash": op3_simhash,
     "op5_mixing": op5_mixing,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
