@@ -35,6 +35,8 @@ BLOCKS = ((0, 21), (21, 42), (42, 64))
 CHUNK = 1 << 16
 #: Buckets with members of several components are broadcast up to this many keys.
 BROADCAST_KEYS = 100_000
+#: Variants that one task makes, about.
+TASK_ROWS = 2_000_000
 HASH_SEED = 42
 
 
@@ -81,7 +83,7 @@ def signed(bits: int) -> int:
 def one_bit_links(prints: DataFrame) -> DataFrame:
     """Links (u, v) that join exactly the fingerprints with a common variant at one bit or none."""
     masks = F.array(*[F.lit(signed(m)).cast("long") for m in (0, *(1 << i for i in range(64)))])
-    variants = prints.select("fp", F.explode(masks).alias("mask")).select(
+    variants = spread(prints, 65).select("fp", F.explode(masks).alias("mask")).select(
         "fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant")
     )
     bucket = Window.partitionBy("variant")
@@ -94,41 +96,44 @@ def one_bit_links(prints: DataFrame) -> DataFrame:
 
 
 def masked_variants(labelled: DataFrame) -> DataFrame:
-    """(block, key, fp, root): for each masked block the fingerprint's variants at one other bit or none."""
+    """(key, fp, root): for each masked block the fingerprint's variants at one other bit or none.
+
+    Masked bits are zero in the key. Keys of different blocks may be equal by chance, which
+    only adds candidates.
+    """
     choices = []
-    for block, (low, high) in enumerate(BLOCKS):
+    for low, high in BLOCKS:
         inside = ((1 << high) - 1) ^ ((1 << low) - 1)
         keep = signed(~inside & ((1 << 64) - 1))
-        flips = (0, *(1 << i for i in range(64) if not inside >> i & 1))
-        choices += [(block, keep, signed(m)) for m in flips]
+        choices += [(keep, signed(m)) for m in (0, *(1 << i for i in range(64) if not inside >> i & 1))]
     rows = F.array(
-        *[
-            F.struct(F.lit(b).alias("block"), F.lit(k).cast("long").alias("keep"), F.lit(m).cast("long").alias("mask"))
-            for b, k, m in choices
-        ]
+        *[F.struct(F.lit(k).cast("long").alias("keep"), F.lit(m).cast("long").alias("mask")) for k, m in choices]
     )
     chosen = labelled.select("fp", "root", F.explode(rows).alias("c"))
-    return chosen.select(
-        F.col("c.block").alias("block"),
-        F.col("fp").bitwiseAND(F.col("c.keep")).bitwiseXOR(F.col("c.mask")).alias("key"),
-        "fp",
-        "root",
-    )
+    return chosen.select(F.col("fp").bitwiseAND(F.col("c.keep")).bitwiseXOR(F.col("c.mask")).alias("key"), "fp", "root")
+
+
+def spread(prints: DataFrame, variants: int) -> DataFrame:
+    """Deal fingerprints to as many tasks as their variants need, not as their own bytes would."""
+    return prints.repartition(max(8, -(-prints.count() * variants // TASK_ROWS)), "fp")
 
 
 def three_bit_links(labelled: DataFrame) -> DataFrame:
     """Verified links (u, v) between the roots of fingerprints within the radius in different components."""
-    variants = masked_variants(labelled)
+    variants = masked_variants(spread(labelled, 64 * len(BLOCKS)))
+    # nearly all keys are different: combining before the shuffle would only fill memory
     mixed = materialise(
-        variants.groupBy("block", "key")
+        variants.select("key", "root")
+        .repartition("key")
+        .groupBy("key")
         .agg(F.min("root").alias("low"), F.max("root").alias("high"))
         .filter("low <> high")
-        .select("block", "key")
+        .select("key")
     )
-    members = materialise(variants.join(broadcast_within(mixed, BROADCAST_KEYS), ["block", "key"]))
-    other = members.select("block", "key", F.col("fp").alias("fp2"), F.col("root").alias("root2"))
+    members = materialise(variants.join(broadcast_within(mixed, BROADCAST_KEYS), "key"))
+    other = members.select("key", F.col("fp").alias("fp2"), F.col("root").alias("root2"))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= RADIUS
-    pairs = members.join(other, ["block", "key"]).filter((F.col("root") < F.col("root2")) & near)
+    pairs = members.join(other, "key").filter((F.col("root") < F.col("root2")) & near)
     return pairs.select(F.col("root2").alias("u"), F.col("root").alias("v")).distinct()
 
 
@@ -152,7 +157,7 @@ def near_dedup(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     names a component only if no member has an id. No documents give no rows.
     """
     printed = materialise(fingerprints(docs, width))
-    groups = near_groups(printed.select("fp").distinct())
+    groups = near_groups(materialise(printed.select("fp").distinct()))
     least = materialise(
         printed.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).join(groups, "fp").select("fp", "root", "doc_id")
     )
