@@ -22,15 +22,15 @@ from quarryline.session import broadcast_within, materialise
 UNKNOWN = "und"
 #: Bounds of the model: labelled documents, words and n-grams of each length, for each language.
 SAMPLE_DOCS = 600
-MODEL_WORDS = 20_000
-MODEL_GRAMS = 8_000
+MODEL_WORDS = 10_000
+MODEL_GRAMS = 5_000
 #: Labels with the most sampled documents that the model tells apart.
 MODEL_LANGS = 200
 GRAM_LENGTHS = (4, 3, 2, 1)
 #: Each step to shorter n-grams multiplies the likelihood by this.
 BACKOFF = 0.4
-#: Words whose scores a task keeps at a time.
-CACHE_WORDS = 200_000
+#: Tokens whose scores a task keeps at a time.
+CACHE_WORDS = 100_000
 LETTERS = re.compile(r"[^\W\d_]+")
 HELD_OUT_OF, HELD_OUT_REST = 5, 0
 
@@ -59,26 +59,39 @@ def training_sample(docs: DataFrame, per_lang: int = SAMPLE_DOCS) -> DataFrame:
 
 
 class Model:
-    """Log frequencies of words and n-grams in each language."""
-
-    def __init__(self, langs, words, grams):
-        self.langs, self.words, self.grams = langs, words, grams
-
-    def word_scores(self, word: str) -> np.ndarray:
-        """Log likelihood of one word in each language."""
-        known = self.words.get(word)
-        if known is not None:
-            return known
-        padded, total = f"<{word}>", np.zeros(len(self.langs))
-        for at in range(len(padded)):
-            penalty = 0.0
-            for n in GRAM_LENGTHS:
-                found = self.grams.get(padded[at : at + n]) if at + n <= len(padded) else None
-                if found is not None:
-                    total += found + penalty
-                    break
-                penalty += np.log(BACKOFF)
-        return total / len(padded)
+    """Log frequencies of words and n-grams in each language.
+
+    Tables map a key to a row of a matrix with a column for each language. Row 0 of the n-grams
+    is that of a character never seen; the others have the penalty of their length included.
+    """
+
+    def __init__(self, langs, words, word_rows, grams, gram_rows):
+        self.langs, self.words, self.word_rows, self.grams, self.gram_rows = langs, words, word_rows, grams, gram_rows
+
+    def backoff_rows(self, word: str) -> list[int]:
+        """The row of the longest known n-gram at each position of an unseen word."""
+        padded, find = f"<{word}>", self.grams.get
+        a, b, c, d = GRAM_LENGTHS
+        return [
+            find(padded[i : i + a]) or find(padded[i : i + b]) or find(padded[i : i + c]) or find(padded[i : i + d]) or 0
+            for i in range(len(padded))
+        ]
+
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        """Log likelihood of each word in each language."""
+        scores = np.zeros((len(words), len(self.langs)))
+        known = [(i, self.words[w]) for i, w in enumerate(words) if w in self.words]
+        if known:
+            at, rows = zip(*known, strict=True)
+            scores[list(at)] = self.word_rows[list(rows)]
+        fresh = [i for i, w in enumerate(words) if w not in self.words]
+        if fresh:
+            rows = [self.backoff_rows(words[i]) for i in fresh]
+            sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+            flat = np.fromiter(chain.from_iterable(rows), np.int64, int(sizes.sum()))
+            sums = np.add.reduceat(self.gram_rows[flat], np.concatenate(([0], np.cumsum(sizes)[:-1])))
+            scores[fresh] = sums / sizes[:, None]
+        return scores
 
 
 def train(docs: DataFrame) -> Model:
@@ -86,7 +99,7 @@ def train(docs: DataFrame) -> Model:
     sample = materialise(training_sample(docs))
     langs = sorted(r[0] for r in sample.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MODEL_LANGS).collect())
     if not langs:
-        return Model([], {}, {})
+        return Model([], {}, np.zeros((0, 0)), {}, np.zeros((1, 0)))
     found = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{M}]+)"), F.lit(1))
     counted = materialise(
         sample.select("lang", F.explode(found).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
@@ -116,56 +129,76 @@ def train(docs: DataFrame) -> Model:
         (F.col("place") <= MODEL_WORDS) & (F.col("n") > 1)
     )
     index = {lang: i for i, lang in enumerate(langs)}
-    words = log_table(best_words.select("lang", "word", "n", F.lit(1)), index, 0.1)
-    parts = best_grams.select("lang", "gram", "n", "size")
-    return Model(langs, words, log_table(parts, index, 0.5))
-
-
-def log_table(rows: DataFrame, index: dict, smooth: float) -> dict:
-    """(lang, key, n, size) of bounded tables to key -> log frequency in each language, among keys of its size."""
-    counts: dict = {}
-    totals: dict = {}
-    for lang, key, n, size in rows.toLocalIterator():
-        if lang in index:
-            counts.setdefault(key, np.zeros(len(index)))[index[lang]] += n
-            totals.setdefault(size, np.zeros(len(index)))[index[lang]] += n
-    sized = len(totals) > 1
-    only = None if sized else next(iter(totals.values()), None)
-    return {
-        key: np.log((n + smooth) / ((totals[len(key)] if sized else only) + smooth * len(counts)))
-        for key, n in counts.items()
-    }
+    words, word_rows = log_table(best_words.select("lang", "word", "n", F.lit(0)), index, 0.1)
+    grams, gram_rows = log_table(best_grams.select("lang", "gram", "n", "size"), index, 0.5)
+    for gram, row in grams.items():
+        gram_rows[row] += (GRAM_LENGTHS[0] - len(gram)) * np.log(BACKOFF)
+    shifted = {gram: row + 1 for gram, row in grams.items()}
+    return Model(langs, words, word_rows, shifted, np.concatenate((np.zeros((1, len(langs))), gram_rows)))
+
+
+def log_table(rows: DataFrame, index: dict, smooth: float) -> tuple[dict[str, int], np.ndarray]:
+    """(lang, key, n, size) of bounded tables to a row number for each key, and log frequencies among keys of its size."""
+    found = [row for row in rows.toLocalIterator() if row[0] in index]
+    keys: dict[str, int] = {}
+    for row in found:
+        keys.setdefault(row[1], len(keys))
+    counts, sizes = np.zeros((len(keys), len(index))), np.zeros(len(keys), np.int64)
+    for lang, key, n, size in found:
+        counts[keys[key], index[lang]] += n
+        sizes[keys[key]] = size
+    for size in np.unique(sizes):
+        own = sizes == size
+        counts[own] = np.log((counts[own] + smooth) / (counts[own].sum(axis=0) + smooth * own.sum()))
+    return keys, counts
 
 
 class Scores(dict):
-    """Word -> row of a growing score matrix; unseen words are scored on first use."""
+    """Token -> row of a growing score matrix; new tokens are scored together when a text needs them."""
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model = model
-        self.matrix = np.zeros((1024, len(model.langs)))
+        self.model, self.fresh, self.chars = model, [], 0
+        self.matrix, self.words = np.zeros((1024, len(model.langs))), np.zeros(1024)
 
-    def __missing__(self, word: str) -> int:
-        row = len(self)
-        if row == len(self.matrix):
-            self.matrix = np.concatenate((self.matrix, np.zeros_like(self.matrix)))
-        self.matrix[row] = self.model.word_scores(word)
-        self[word] = row
+    def __missing__(self, token: str) -> int:
+        self[token] = row = len(self)
+        self.fresh.append(token)
+        self.chars += len(token)
         return row
 
+    def settle(self) -> None:
+        """Score the tokens that came up since the last time."""
+        if not self.fresh:
+            return
+        while len(self) > len(self.matrix):
+            self.matrix = np.concatenate((self.matrix, np.zeros_like(self.matrix)))
+            self.words = np.concatenate((self.words, np.zeros_like(self.words)))
+        split = [[w for w in LETTERS.findall(token.lower()) if any(map(str.isalpha, w))] for token in self.fresh]
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        scores = self.model.word_scores(list(chain.from_iterable(split)))
+        rows = np.arange(len(self) - len(self.fresh), len(self))
+        np.add.at(self.matrix, np.repeat(rows, sizes), scores)
+        self.words[rows] = sizes
+        self.fresh = []
+
     def trimmed(self) -> Scores:
-        return self if len(self) < CACHE_WORDS else Scores(self.model)
+        return self if len(self) < CACHE_WORDS and self.chars < 16 * CACHE_WORDS else Scores(self.model)
 
 
 def predict(model: Model, scores: Scores, text: str) -> tuple[str, float]:
     """The likeliest language of a whole text, with its share of the evidence."""
-    words = LETTERS.findall(text.lower())
-    if not model.langs or not any(c.isalpha() for c in chain.from_iterable(words)):
+    tokens = text.split()
+    if not model.langs or not tokens:
+        return UNKNOWN, 0.0
+    rows = np.fromiter(map(scores.__getitem__, tokens), np.int64, len(tokens))
+    scores.settle()
+    words = scores.words[rows].sum()
+    if not words:
         return UNKNOWN, 0.0
-    rows = np.fromiter(map(scores.__getitem__, words), np.int64, len(words))
     total = scores.matrix[rows].sum(axis=0)
     # words are not independent: the evidence of n of them counts as that of sqrt(n)
-    likely = np.exp((total - total.max()) / np.sqrt(len(words)))
+    likely = np.exp((total - total.max()) / np.sqrt(words))
     best = int(likely.argmax())
     return model.langs[best], float(likely[best] / likely.sum())
 
