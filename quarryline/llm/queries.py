@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from quarryline.llm import (
     exact_dedup,
+    gif_media,
     language_id,
     mixing,
     near_dedup,
     piece_tokenizer,
+    quality,
     secret_scan,
     toxicity,
 )
@@ -43,6 +45,14 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op7_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif_media.text_media(documents(spark, sf_dir))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_tokenizer.encode_pieces(documents(spark, sf_dir), piece_tokenizer.read_model())
 
@@ -60,6 +70,8 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_secrets": op4_secrets,
     "op5_mixing": op5_mixing,
+    "op6_quality": op6_quality,
+    "op7_gif_media": op7_gif_media,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_toxicity": op10_toxicity,
