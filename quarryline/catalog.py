@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "events_by_type"
+from quarryline.plans import funnel_queries, text_queries
 
-from pyspark.sql import functions as F  # noqa: E402
-
-from quarryline.session import table  # noqa: E402
-
-QUERIES = {
-    "events_by_type": lambda spark, d: table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-}
-ORACLE_SQL = {"events_by_type": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type"}
+FLAGSHIP = "funnel_counts"
+QUERIES = text_queries.QUERIES | funnel_queries.QUERIES
+ORACLE_SQL = text_queries.ORACLE_SQL | funnel_queries.ORACLE_SQL

@@ -63,7 +63,8 @@ def parse_lever(feeds: DataFrame, payload: str = "payload") -> DataFrame:
         "array<struct<text:string,hostedUrl:string,categories:struct<location:string>,description:string,descriptionPlain:string,"
         "lists:array<struct<text:string,content:string>>,additional:string,additionalPlain:string>>"
     )
-    jobs = feeds.select("company", F.explode(F.from_json(payload, schema)).alias("j")).filter("j IS NOT NULL")
+    listed = feeds.filter(F.ltrim(payload).startswith("["))
+    jobs = listed.select("company", F.explode(F.from_json(payload, schema)).alias("j")).filter("j IS NOT NULL")
     either = lambda a, b: F.coalesce(F.nullif(a, F.lit("")), b, F.lit(""))
     lists = F.transform(F.coalesce("j.lists", F.array()), lambda x: F.concat(_text(x["text"]), F.lit(". "), _text(x["content"])))
     parts = F.concat(

@@ -40,7 +40,7 @@ def parse_pending(lines: DataFrame) -> DataFrame:
     ``- [ ] url | company | title [| location] [| y:N] [| s:salary] | #id [| visto]``: fields
     after the title are told by their form, and the first of no form is the location.
     """
-    parts = F.transform(F.split(F.regexp_replace("line", r"^- \[[ x]\] ", ""), r"\|"), F.trim)
+    parts = F.transform(F.split(F.regexp_replace("line", r"^- \[[ x]\] ", ""), r"\|"), lambda p: F.trim(p))
     rows = lines.filter(F.col("line").rlike(r"^- \[[ x]\] \S+")).select("line_no", "line", parts.alias("p"))
     more = F.when(F.size("p") > 3, F.slice("p", 4, 100)).otherwise(F.array())
     tagged = lambda pattern: F.try_element_at(F.filter("more", lambda x: x.rlike(pattern)), F.lit(1))
