@@ -7,6 +7,8 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quarryline.session import ship_package
+
 #: Rows of an Arrow batch: texts of any length must fit in a worker together.
 BATCH_ROWS = 1000
 
@@ -21,6 +23,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
             if batch.num_rows:
                 yield from step_rows(step, batch)
 
+    ship_package(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.mapInArrow(run, schema)
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.session import materialise
+from quarryline.session import materialise, ship_package
 
 ROLES = ("system", "user", "assistant")
 #: States: nothing yet, or the role of the message before. What may follow which:
@@ -233,6 +233,7 @@ def repair_chats(conversations: DataFrame) -> DataFrame:
     conv_id is a conversation. Equal costs go to the first role of system, user, assistant.
     Concatenated in order, ``rendered`` of a conversation is its whole repaired text.
     """
+    ship_package(conversations.sparkSession)
     turns = turn_order(conversations)
     entries = materialise(block_entries(block_matrices(turns)))
     mine = turns.join(

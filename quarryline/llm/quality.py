@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quarryline.llm.arrow import column_of, map_batches, texts_of
 from quarryline.llm.language_id import remainder
-from quarryline.session import materialise
+from quarryline.session import materialise, ship_package
 
 HELD_OUT_OF, HELD_OUT_REST = 4, 2
 PREDICT_AT = 0.7
@@ -108,6 +108,7 @@ def corpus_vectors(docs: DataFrame) -> np.ndarray:
     Every task adds up its own documents; the table of UNITS rows is all that is shuffled and
     brought to the driver. Sums are of whole numbers, so they do not depend on the order.
     """
+    ship_package(docs.sparkSession)
     names = [f"d{i}" for i in range(DIMENSIONS)]
 
     def run(batches):

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,3 +63,24 @@ def broadcast_within(df: DataFrame, max_rows: int) -> DataFrame:
     Above ``max_rows`` the side is returned as it is and Spark shuffles for the join.
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+PACKAGE = Path(__file__).resolve().parent
+
+
+def ship_package(spark: SparkSession | None = None) -> None:
+    """Let Python workers import this package where it is not on their path.
+
+    Nothing to do if the path is in PYTHONPATH, which workers inherit, or is where they start.
+    Otherwise the package goes out as a zip file with the job, once for a session.
+    """
+    spark = spark or SparkSession.active()
+    home = str(PACKAGE.parent)
+    known = [os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    context = spark.sparkContext
+    if home in known or os.path.realpath(os.getcwd()) == home or getattr(context, "_quarryline_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="quarryline-package-")
+    archive = shutil.make_archive(f"{folder}/quarryline", "zip", root_dir=home, base_dir=PACKAGE.name)
+    context.addPyFile(archive)
+    context._quarryline_shipped = True

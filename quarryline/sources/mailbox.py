@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.functions.text import html_text
+from quarryline.session import ship_package
 
 BODY_CHARS = 20_000
 
@@ -37,6 +38,8 @@ def _bodies(part: dict, kind: str) -> list[str]:
 def plain_and_html(payload: Column) -> Column:
     """(plain, html) of a message's JSON part tree; trees have no fixed depth, hence a Python function."""
 
+    ship_package()
+
     @F.pandas_udf("plain string, html string")
     def walk(payloads: pd.Series) -> pd.DataFrame:
         import json
