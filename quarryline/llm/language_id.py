@@ -26,6 +26,8 @@ MODEL_WORDS = 10_000
 MODEL_GRAMS = 5_000
 #: Labels with the most sampled documents that the model tells apart.
 MODEL_LANGS = 200
+#: Times the expected share of hashes that is ranked for the sample, and languages whose sizes are broadcast.
+MARGIN, BROADCAST_LANGS = 1.5, 10_000
 GRAM_LENGTHS = (4, 3, 2, 1)
 #: Each step to shorter n-grams multiplies the likelihood by this.
 BACKOFF = 0.4
@@ -43,15 +45,22 @@ def remainder(doc_id, modulus: int) -> F.Column:
 def training_sample(docs: DataFrame, per_lang: int = SAMPLE_DOCS) -> DataFrame:
     """(lang, text) of at most ``per_lang`` labelled documents a language, in hash order.
 
-    Ids are ranked in narrow rows first; the few that are chosen then fetch their texts.
+    Hashes are uniform, so the share of a language's documents that ``per_lang`` is says below
+    which hash nearly all of the first ones lie. Only those are ranked, in narrow rows; the few
+    that are chosen then fetch their texts.
     """
     usable = docs.filter(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id"), HELD_OUT_OF) != HELD_OUT_REST)
     )
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id")), "doc_id")
-    chosen = usable.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).filter(
-        F.col("place") <= per_lang
+    sizes = materialise(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n_lang")))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    early = (
+        usable.select("doc_id", "lang", place.alias("place"))
+        .join(broadcast_within(sizes, BROADCAST_LANGS), "lang")
+        .filter(F.col("place") < MARGIN * per_lang / F.col("n_lang"))
     )
+    order = Window.partitionBy("lang").orderBy("place", "doc_id")
+    chosen = early.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_lang)
     chosen = materialise(chosen.select("doc_id", "lang").distinct())
     return usable.select("doc_id", "lang", "text").join(
         broadcast_within(chosen, per_lang * MODEL_LANGS), ["doc_id", "lang"], "left_semi"
