@@ -77,23 +77,25 @@ def hot_groups(digests: DataFrame, support: float) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns.
+    """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns, whatever their names.
 
-    Texts are not shuffled: rows are chosen by id. Only rows whose id repeats with an equal
-    text are brought together, so that one of them stays.
+    Rows are chosen by id and digest. Only rows whose id repeats with an equal text are grouped,
+    so that one of them stays.
     """
     verdicts = materialise(exact_dedup(docs, support))
     same = verdicts.groupBy("doc_id", "text_sha256").agg(
         F.max("kept").alias("q_kept"), F.count(F.lit(1)).alias("q_rows")
     )
-    kept = same.filter("q_kept").select(
-        F.col("doc_id").alias("q_id"), F.col("text_sha256").alias("q_digest"), "q_rows"
+    kept = materialise(
+        same.filter("q_kept").select(F.col("doc_id").alias("q_id"), F.col("text_sha256").alias("q_digest"), "q_rows")
     )
-    digested = docs.withColumn("q_text_digest", text_digest(F.col("text")))
-    match = F.col("doc_id").cast("long").eqNullSafe(F.col("q_id")) & (F.col("q_text_digest") == F.col("q_digest"))
+    digested = docs.select(
+        F.col("doc_id").cast("long").alias("own_id"), text_digest(F.col("text")).alias("own_digest"), F.struct("*").alias("whole")
+    )
+    match = F.col("own_id").eqNullSafe(F.col("q_id")) & (F.col("own_digest") == F.col("q_digest"))
     once = digested.join(kept.filter("q_rows = 1"), match, "left_semi")
-    again = digested.join(kept.filter("q_rows > 1"), match, "left_semi").dropDuplicates(["doc_id", "q_text_digest"])
-    return once.unionByName(again).select(*docs.columns)
+    again = digested.join(kept.filter("q_rows > 1"), match, "left_semi").dropDuplicates(["own_id", "own_digest"])
+    return once.unionByName(again).select("whole.*")
 
 
 EXACT_DEDUP_SQL = """

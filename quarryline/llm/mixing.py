@@ -108,10 +108,12 @@ def mix_sources(docs: DataFrame, seed: int = 0, weights=WEIGHTS, max_epochs: int
     """``docs`` with mix_words (its size), mix_size, mix_target and mix_taken added.
 
     A null source is a source of its own, last in order. A text without words (or null) has
-    size 0 and gives nothing. Repeated rows are rows like others; where the cut falls among
-    equal keys, order is by id and size. The words taken of a source sum up to its target,
+    size 0 and gives nothing. Columns of ``docs`` whose names begin with ``mix_`` are left out.
+    Repeated rows are rows like others; where the cut falls among equal keys, order is by id
+    and size. No documents give no rows. The words taken of a source sum up to its target,
     rounded down. Texts are not shuffled, but for the one range in which a source is cut.
     """
+    docs = docs.drop(*[name for name in docs.columns if name.lower().startswith("mix_")])
     plan = broadcast_within(mixing_plan(docs, seed, weights, max_epochs), BROADCAST_SOURCES)
     key = order_key(F.col("doc_id"), seed)
     keyed = docs.withColumn("mix_words", word_count(F.col("text"))).withColumn("mix_key", key)
@@ -138,10 +140,12 @@ def take_mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row for each epoch in which a document is used.
 
     The document at the cut is taken whole, so a source may exceed its target by less than it.
+    Columns of ``docs`` may have any names.
     """
     times = F.ceil(F.col("mix_taken") / F.col("mix_words")).cast("int")
-    mixed = mix_sources(docs, seed).filter(F.col("mix_taken") > 0)
-    return mixed.withColumn("mix_time", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+    mixed = mix_sources(docs.select("doc_id", "source", "text", F.struct("*").alias("whole")), seed)
+    taken = mixed.filter(F.col("mix_taken") > 0)
+    return taken.withColumn("mix_time", F.explode(F.sequence(F.lit(1), times))).select("whole.*")
 
 
 MIXING_SQL = """

@@ -172,11 +172,13 @@ def drop_near_copies(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     """One document of each group of near copies: the one with the smallest doc_id, with all its columns.
 
     Rows that repeat its id stay if their texts differ from each other; equal ones become one.
+    Columns of ``docs`` may have any names.
     """
     members = near_dedup(docs, width)
     kept = members.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("q_id"))
     kept = materialise(kept.agg(F.count(F.lit(1)).alias("q_rows")))
-    match = F.col("doc_id").cast("long").eqNullSafe(F.col("q_id"))
-    once = docs.join(kept.filter("q_rows = 1"), match, "left_semi")
-    again = docs.join(kept.filter("q_rows > 1"), match, "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.unionByName(again)
+    own = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.col("text").alias("own_text"), F.struct("*").alias("whole"))
+    match = F.col("own_id").eqNullSafe(F.col("q_id"))
+    once = own.join(kept.filter("q_rows = 1"), match, "left_semi")
+    again = own.join(kept.filter("q_rows > 1"), match, "left_semi").dropDuplicates(["own_id", "own_text"])
+    return once.unionByName(again).select("whole.*")
