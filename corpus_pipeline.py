@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarryline.llm import exact_dedup, language_id, mixing, near_dedup, piece_tokenizer
+from quarryline.llm import exact_dedup, language_id, mixing, piece_tokenizer, similar_texts
 from quarryline.session import ensure_checkpoint_dir, table
 
 
@@ -26,8 +26,8 @@ def remove_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked SimHash fingerprints stays, under the operator's contract."""
-    return near_dedup.drop_near_copies(docs)
+    """One document of each group of texts with 0.8 or more of their shingles of five words in common stays."""
+    return similar_texts.drop_similar(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ STAGES = [
     ("sentencepiece", tokenize),
 ]
 
-#: SQL cannot express the language model, the fingerprints' components or the tokenizer.
+#: SQL cannot express the language model, the near copies' components or the tokenizer.
 ORACLE_SQL = None
 
 

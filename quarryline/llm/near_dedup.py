@@ -174,7 +174,11 @@ def drop_near_copies(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     Rows that repeat its id stay if their texts differ from each other; equal ones become one.
     Columns of ``docs`` may have any names.
     """
-    members = near_dedup(docs, width)
+    return keep_least(docs, near_dedup(docs, width))
+
+
+def keep_least(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the component_id of a member with that id."""
     kept = members.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("q_id"))
     kept = materialise(kept.agg(F.count(F.lit(1)).alias("q_rows")))
     own = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.col("text").alias("own_text"), F.struct("*").alias("whole"))
