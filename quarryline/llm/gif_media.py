@@ -295,7 +295,7 @@ def text_media(docs: DataFrame) -> DataFrame:
     (doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256,
     feature): the payload is the text's bytes with zeros up to a positive multiple of 64.
     All but the sizes come from the decoded file. ``feature`` names frames, shown time and the
-    fullest boxes of the first frame's histogram. Null and empty texts are 64 zeros; equal
+    fullest boxes of the histogram of all frames. Null and empty texts are 64 zeros; equal
     texts give equal values; a text of any length is stored whole, in more frames.
     """
 
@@ -321,7 +321,8 @@ def describe(text: bytes) -> tuple:
     media = encode_gif(pictures_of(text + bytes(64 - len(text) % 64 if len(text) % 64 or not text else 0)))
     width, height, frames = decode_gif(media)
     payload = b"".join(frame.samples.tobytes() for frame in frames)
-    boxes = colour_histogram(frames[0].pixels)
+    # a lower frame leaves rows of the one before it on the canvas: they are counted once
+    boxes = sum(colour_histogram(f.pixels[: f.samples.shape[0], : f.samples.shape[1]]) for f in frames)
     fullest = np.argsort(-boxes, kind="stable")[:4]
     shown = ",".join(f"{i}={boxes[i]}" for i in fullest if boxes[i])
     feature = f"{width}x{height}/{len(frames)}/{sum(f.duration_ms for f in frames)}ms/{shown}"

@@ -134,3 +134,16 @@ def test_text_media(spark):
         assert (row.media_bytes, row.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
     assert tuple(by[1])[1:] == tuple(by[2])[1:] and tuple(by[6])[1:] == tuple(by[None])[1:]
     assert gif_media.text_media(documents(spark, [])).count() == 0
+
+
+def test_feature_describes_all_frames():
+    first = b"a" * gif_media.WIDTH * gif_media.ROWS
+    features = set()
+    for rest in (b" " * 70_000, "é".encode() * 35_000, b"a" * 70_000, b"a" * 65_536 + b" " * 4464):
+        feature = gif_media.describe(first + rest)[-1]
+        features.add(feature)
+        payload = first + rest + bytes(-len(first + rest) % 64)
+        boxes = np.bincount((np.frombuffer(payload, np.uint8).astype(int) * gif_media.STEPS >> 8) * (gif_media.STEPS**2 + gif_media.STEPS + 1))
+        fullest = [i for i in np.argsort(-boxes, kind="stable")[:4] if boxes[i]]
+        assert feature.split("/", 3)[3] == ",".join(f"{i}={boxes[i]}" for i in fullest)
+    assert len(features) == 4
