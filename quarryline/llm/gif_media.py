@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -29,6 +30,8 @@ DELAY = 4
 STEPS = 4
 KEEP, BACKGROUND, PREVIOUS = 1, 2, 3
 MAX_CODE = 4096
+#: A file whose header asks for more pixels than this gives an error, not a canvas.
+MAX_PIXELS = 1 << 26
 GREYS = np.repeat(np.arange(256, dtype=np.uint8), 3).reshape(256, 3)
 
 
@@ -165,16 +168,27 @@ def interlaced_rows(height: int) -> np.ndarray:
     return np.concatenate([np.arange(start, height, step) for start, step in ((0, 8), (4, 8), (2, 4), (1, 2))])
 
 
-def decode_gif(data: bytes) -> tuple[int, int, list[Frame]]:
-    """Width, height and composed frames of a GIF; ValueError for what isn't one."""
-    if data[:6] not in (b"GIF87a", b"GIF89a"):
+def screen_size(data: bytes) -> tuple[int, int]:
+    """Width and height of a GIF's canvas; ValueError for what isn't one."""
+    if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise ValueError("not a GIF")
+    return struct.unpack_from("<HH", data, 6)
+
+
+def timed_frames(data: bytes, max_pixels: int = MAX_PIXELS) -> Iterator[Frame]:
+    """The composed frames of a GIF one after another; ValueError at what cannot be read."""
+    screen_size(data)
     try:
-        return _decode(data)
+        yield from _frames(data, max_pixels)
     except (IndexError, struct.error) as error:
         raise ValueError("a GIF ends too early") from error
 
 
+def decode_gif(data: bytes, max_pixels: int = MAX_PIXELS) -> tuple[int, int, list[Frame]]:
+    """Width, height and all composed frames of a GIF; ValueError for what isn't one."""
+    return *screen_size(data), list(timed_frames(data, max_pixels))
+
+
 def _palette(data: bytes, at: int, flags: int) -> tuple[np.ndarray | None, int]:
     if not flags & 128:
         return None, at
@@ -183,11 +197,16 @@ def _palette(data: bytes, at: int, flags: int) -> tuple[np.ndarray | None, int]:
     return np.concatenate((colours, np.zeros((256 - len(colours), 3), np.uint8))), at + 3 * size
 
 
-def _decode(data: bytes) -> tuple[int, int, list[Frame]]:
+def _room_for(width: int, height: int, max_pixels: int) -> None:
+    if width * height > max_pixels:
+        raise ValueError(f"a picture of {width} x {height} is larger than {max_pixels} pixels")
+
+
+def _frames(data: bytes, max_pixels: int) -> Iterator[Frame]:
     width, height, flags = struct.unpack_from("<HHB", data, 6)
+    _room_for(width, height, max_pixels)
     shared, at = _palette(data, 13, flags)
     canvas = np.zeros((height, width, 4), np.uint8)
-    frames: list[Frame] = []
     disposal, delay, clear_index, clock = 0, 0, -1, 0
     while data[at] != 0x3B:
         if data[at] == 0x21:
@@ -200,6 +219,7 @@ def _decode(data: bytes) -> tuple[int, int, list[Frame]]:
         if data[at] != 0x2C:
             raise ValueError("an unknown GIF block")
         left, top, w, h, flags = struct.unpack_from("<HHHHB", data, at + 1)
+        _room_for(w, h, max_pixels)
         own, at = _palette(data, at + 10, flags)
         least = data[at]
         if not 1 <= least <= 8:
@@ -219,14 +239,13 @@ def _decode(data: bytes) -> tuple[int, int, list[Frame]]:
         part, shown = canvas[top : top + high, left : left + wide], samples[:high, :wide]
         colours = np.dstack((palette[shown], np.full(shown.shape, 255, np.uint8)))
         part[...] = np.where((shown == clear_index)[..., None], part, colours)
-        frames.append(Frame(canvas.copy(), clock, 10 * delay, samples))
+        yield Frame(canvas.copy(), clock, 10 * delay, samples)
         clock += 10 * delay
         if disposal == BACKGROUND:
             part[...] = 0
         elif before is not None:
             canvas = before
         disposal, delay, clear_index = 0, 0, -1
-    return width, height, frames
 
 
 def encode_gif(pictures: list[np.ndarray], palette: np.ndarray = GREYS, delay: int = DELAY) -> bytes:
@@ -250,11 +269,13 @@ def colour_histogram(pixels: np.ndarray) -> np.ndarray:
     return np.bincount((seen[:, 0] * STEPS + seen[:, 1]) * STEPS + seen[:, 2], minlength=STEPS**3)
 
 
-def gif_frames(files: DataFrame, id_col: str = "media_id", data_col: str = "media") -> DataFrame:
+def gif_frames(files: DataFrame, id_col: str = "media_id", data_col: str = "media", max_pixels: int = MAX_PIXELS) -> DataFrame:
     """(id, frame, start_ms, duration_ms, width, height, histogram, error): one row per timed frame.
 
-    A null or broken file gives one row with an error and null columns. A file without
-    pictures gives none. Repeated rows give repeated frames.
+    A null or broken file, or one whose header asks for more than ``max_pixels``, gives one row
+    with an error and null columns. A file without pictures gives none; nor does an empty table.
+    Repeated rows give repeated frames. Other columns may have any names. One frame's pixels are
+    in memory at a time, whatever the length of a file.
     """
     schema = (
         "id string, frame int, start_ms long, duration_ms long, width int, height int, histogram array<long>, error string"
@@ -264,15 +285,15 @@ def gif_frames(files: DataFrame, id_col: str = "media_id", data_col: str = "medi
         def step(batch):
             rows = []
             for key, data in zip(column_of(batch, "id").to_pylist(), column_of(batch, "media").to_pylist(), strict=True):
+                data = bytes(data or b"")
                 try:
-                    width, height, frames = decode_gif(data or b"")
+                    width, height = screen_size(data)
+                    rows += [
+                        (key, i, f.start_ms, f.duration_ms, width, height, colour_histogram(f.pixels).tolist(), None)
+                        for i, f in enumerate(timed_frames(data, max_pixels))
+                    ]
                 except ValueError as error:
                     rows.append((key, None, None, None, None, None, None, str(error)))
-                    continue
-                rows += [
-                    (key, i, f.start_ms, f.duration_ms, width, height, colour_histogram(f.pixels).tolist(), None)
-                    for i, f in enumerate(frames)
-                ]
             types = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.string())
             columns = [pa.array([row[i] for row in rows], kind) for i, kind in enumerate(types)]
             return pa.RecordBatch.from_arrays(columns, names=[part.split()[0] for part in schema.split(", ")])
@@ -293,45 +314,56 @@ def text_media(docs: DataFrame) -> DataFrame:
     """Each text stored as a GIF of its UTF-8 bytes, read back and described.
 
     (doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256,
-    feature): the payload is the text's bytes with zeros up to a positive multiple of 64.
-    All but the sizes come from the decoded file. ``feature`` names frames, shown time and the
-    fullest boxes of the histogram of all frames. Null and empty texts are 64 zeros; equal
-    texts give equal values; a text of any length is stored whole, in more frames.
+    feature, frames): the payload is the text's bytes with zeros up to a positive multiple of 64.
+    All but n_bytes and the media columns come from the decoded file. ``frames`` are its timed
+    frames, each with the colour histogram of its own pixels; ``feature`` names their number, the
+    shown time and the fullest boxes of all histograms. Null and empty texts are 64 zeros; equal
+    texts give equal values, repeated rows included; a text of any length is stored whole, in more
+    frames, of which one is in memory at a time. An empty table gives no rows. Other columns are
+    not read, whatever their names.
     """
 
     def make():
         def step(batch):
-            rows = [describe(text) for text in texts_of(batch)]
+            rows, timed = zip(*map(describe, texts_of(batch)), strict=True)
             types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             columns = [pa.array([row[i] for row in rows], kind) for i, kind in enumerate(types)]
-            return pa.RecordBatch.from_arrays([column_of(batch, "doc_id"), *columns], names=names)
+            return pa.RecordBatch.from_arrays([column_of(batch, "doc_id"), *columns, frames_column(timed)], names=names)
 
         return step
 
     schema = (
-        "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, "
-        "media_bytes long, media_sha256 string, feature string"
+        "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
+        "media_sha256 string, feature string, frames array<struct<start_ms: long, duration_ms: long, histogram: array<long>>>"
     )
-    names = [part.split()[0] for part in schema.split(", ")]
+    names = ["doc_id", *[part.split()[0] for part in schema.split(", ")[1:9]]]
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, schema)
 
 
-def describe(text: bytes) -> tuple:
-    """The columns of :func:`text_media` for one text."""
+def frames_column(timed: list[list[tuple]]) -> pa.Array:
+    """Lists of (start_ms, duration_ms, histogram) as an array of structs."""
+    flat = [frame for frames in timed for frame in frames]
+    boxes = pa.array(np.concatenate([f[2] for f in flat]).astype(np.int64))
+    histograms = pa.ListArray.from_arrays(np.arange(len(flat) + 1, dtype=np.int32) * STEPS**3, boxes)
+    parts = [pa.array([f[i] for f in flat], pa.int64()) for i in range(2)]
+    structs = pa.StructArray.from_arrays([*parts, histograms], ["start_ms", "duration_ms", "histogram"])
+    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, timed)], dtype=np.int32), structs)
+
+
+def describe(text: bytes) -> tuple[tuple, list[tuple]]:
+    """The columns of :func:`text_media` for one text, and its timed frames."""
     media = encode_gif(pictures_of(text + bytes(64 - len(text) % 64 if len(text) % 64 or not text else 0)))
-    width, height, frames = decode_gif(media)
-    payload = b"".join(frame.samples.tobytes() for frame in frames)
-    # a lower frame leaves rows of the one before it on the canvas: they are counted once
-    boxes = sum(colour_histogram(f.pixels[: f.samples.shape[0], : f.samples.shape[1]]) for f in frames)
+    width, height = screen_size(media)
+    digest, size, tail, timed = hashlib.sha256(), 0, b"", []
+    for frame in timed_frames(media):
+        payload = frame.samples.tobytes()
+        digest.update(payload)
+        size, tail = size + len(payload), payload[-64:]
+        # a lower frame leaves rows of the one before it on the canvas: they are counted once
+        boxes = colour_histogram(frame.pixels[: frame.samples.shape[0], : frame.samples.shape[1]])
+        timed.append((frame.start_ms, frame.duration_ms, boxes))
+    boxes = sum(f[2] for f in timed)
     fullest = np.argsort(-boxes, kind="stable")[:4]
     shown = ",".join(f"{i}={boxes[i]}" for i in fullest if boxes[i])
-    feature = f"{width}x{height}/{len(frames)}/{sum(f.duration_ms for f in frames)}ms/{shown}"
-    return (
-        len(text),
-        len(payload),
-        hashlib.sha256(payload).hexdigest(),
-        zlib.crc32(payload[-64:]),
-        len(media),
-        hashlib.sha256(media).hexdigest(),
-        feature,
-    )
+    feature = f"{width}x{height}/{len(timed)}/{sum(f[1] for f in timed)}ms/{shown}"
+    return (len(text), size, digest.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), feature), timed

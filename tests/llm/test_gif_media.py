@@ -119,6 +119,14 @@ def test_frames_table(spark):
     assert {sum(r.histogram) for r in found if r.id == "a"} == {2}
 
 
+def test_a_header_of_four_thousand_million_pixels_is_an_error(spark):
+    huge = b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0, 0, 0) + b"\x3b"
+    wide = whole(1, 1)[:-1] + struct.pack("<BHHHHB", 0x2C, 0, 0, 65535, 65535, 0) + b"\x08\0\x3b"
+    rows = [("a", bytearray(huge)), ("b", bytearray(wide)), ("c", bytearray(whole(1, 1, image([[0]]))))]
+    found = {r.id: r for r in gif_media.gif_frames(spark.createDataFrame(rows, "media_id string, media binary")).collect()}
+    assert "larger" in found["a"].error and "larger" in found["b"].error and found["c"].error is None
+
+
 def test_text_media(spark):
     rows = [(1, None), (2, ""), (3, "x" * 64), (4, "é" * 33), (5, LONG), (6, "a"), (6, "a"), (None, "a")]
     found = gif_media.text_media(documents(spark, rows, "media frame payload"))
@@ -132,6 +140,9 @@ def test_text_media(spark):
         assert row.payload_sha256 == hashlib.sha256(payload).hexdigest() and row.tail_crc32 == zlib.crc32(payload[-64:])
         media = gif_media.encode_gif(gif_media.pictures_of(payload))
         assert (row.media_bytes, row.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        high = gif_media.ROWS * gif_media.WIDTH
+        sizes = [min(high, len(payload) - at) for at in range(0, len(payload), high)]
+        assert [(f.start_ms, f.duration_ms, sum(f.histogram)) for f in row.frames] == [(40 * i, 40, n) for i, n in enumerate(sizes)]
     assert tuple(by[1])[1:] == tuple(by[2])[1:] and tuple(by[6])[1:] == tuple(by[None])[1:]
     assert gif_media.text_media(documents(spark, [])).count() == 0
 
@@ -140,7 +151,7 @@ def test_feature_describes_all_frames():
     first = b"a" * gif_media.WIDTH * gif_media.ROWS
     features = set()
     for rest in (b" " * 70_000, "é".encode() * 35_000, b"a" * 70_000, b"a" * 65_536 + b" " * 4464):
-        feature = gif_media.describe(first + rest)[-1]
+        feature = gif_media.describe(first + rest)[0][-1]
         features.add(feature)
         payload = first + rest + bytes(-len(first + rest) % 64)
         boxes = np.bincount((np.frombuffer(payload, np.uint8).astype(int) * gif_media.STEPS >> 8) * (gif_media.STEPS**2 + gif_media.STEPS + 1))
