@@ -2,13 +2,14 @@
 
 A Misra-Gries pass over the digests names at most ``1 / support`` candidates that may be
 frequent. Their exact counts are verified, and the winners are broadcast: rows of hot
-groups get their keeper map-side and are never shuffled. All other digests belong to groups
-of at most ``support`` of the rows and go through one ordinary shuffle.
+groups get their keeper map-side and are never shuffled. All other digests are shuffled:
+the keeper and size of each group are aggregated, map-side first, and groups of two rows or
+more are joined back, so that no task holds a group, however large.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.session import materialise
@@ -16,6 +17,8 @@ from quarryline.session import materialise
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 #: A digest is hot above this share of the rows; the broadcast has 1 / SUPPORT rows at most.
 SUPPORT = 0.001
+#: The least of these in a group is its keeper: null ids last, then the row's place in the scan.
+KEEP_ORDER = "struct(doc_id IS NULL AS unknown, doc_id, row_no)"
 
 
 def text_digest(text) -> F.Column:
@@ -28,14 +31,15 @@ def exact_dedup(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
 
     Null texts count as empty and form one group with empty ones. The smallest doc_id of a
     group stays; null ids come last. Of repeated rows (same id and text) exactly one stays.
-    An empty table gives no rows; further columns of ``docs`` are not read.
+    An empty table gives no rows; further columns of ``docs`` are not read, whatever their names.
+    Texts of any length are read whole; only their digests are shuffled.
     """
     digests = materialise(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("text_sha256")
         ).withColumn("row_no", F.monotonically_increasing_id())
     )
-    hot = F.broadcast(hot_groups(digests, support))
+    hot = F.broadcast(materialise(hot_groups(digests, support)))
     tagged = digests.join(hot, "text_sha256", "left")
     first = F.col("keeper")
     heavy = tagged.filter(first.isNotNull()).select(
@@ -45,18 +49,18 @@ def exact_dedup(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
         (F.col("row_no") == first["row_no"]).alias("kept"),
         "text_sha256",
     )
-    group = Window.partitionBy("text_sha256")
-    ordered = group.orderBy(F.col("doc_id").asc_nulls_last(), "row_no")
-    light = (
-        tagged.filter(first.isNull())
-        .withColumn("place", F.row_number().over(ordered))
-        .select(
-            "doc_id",
-            F.first("doc_id").over(ordered).alias("keep_id"),
-            F.count(F.lit(1)).over(group).alias("group_size"),
-            (F.col("place") == 1).alias("kept"),
-            "text_sha256",
-        )
+    rest = tagged.filter(first.isNull()).select("doc_id", "row_no", "text_sha256")
+    repeated = materialise(
+        rest.groupBy("text_sha256")
+        .agg(F.min(F.expr(KEEP_ORDER)).alias("keeper"), F.count(F.lit(1)).alias("group_size"))
+        .filter("group_size > 1")
+    )
+    light = rest.join(repeated, "text_sha256", "left").select(
+        "doc_id",
+        F.when(first.isNull(), F.col("doc_id")).otherwise(first["doc_id"]).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1)).alias("group_size"),
+        F.coalesce(F.col("row_no") == first["row_no"], F.lit(True)).alias("kept"),
+        "text_sha256",
     )
     return heavy.unionByName(light)
 
@@ -67,11 +71,10 @@ def hot_groups(digests: DataFrame, support: float) -> DataFrame:
     candidates = digests.freqItems(["text_sha256"], support).select(
         F.explode("text_sha256_freqItems").alias("text_sha256")
     )
-    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row_no")
     return (
         digests.join(F.broadcast(candidates), "text_sha256")
         .groupBy("text_sha256")
-        .agg(F.min(order).alias("keeper"), F.count(F.lit(1)).alias("hot_size"))
+        .agg(F.min(F.expr(KEEP_ORDER)).alias("keeper"), F.count(F.lit(1)).alias("hot_size"))
         .filter(F.col("hot_size") >= least)
     )
 
