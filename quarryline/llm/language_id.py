@@ -3,16 +3,17 @@
 A known word scores its log frequency in each language. An unseen word falls back to its
 character n-grams: at each position the longest known n-gram decides, four characters
 first, then three, two and one, at a penalty for each step. The model is counted from a
-bounded sample of labelled documents; texts are scored whole.
+bounded sample of labelled documents; texts are scored whole. Words are runs of letters and
+combining marks, in the sample and in scored texts alike.
 """
 
 from __future__ import annotations
 
-import re
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,20 +21,18 @@ from quarryline.llm.arrow import column_of, map_batches, texts_of
 from quarryline.session import broadcast_within, materialise
 
 UNKNOWN = "und"
-#: Bounds of the model: labelled documents, words and n-grams of each length, for each language.
+#: Bound of the training sample: labelled documents of each language. The model has all their words and n-grams.
 SAMPLE_DOCS = 600
-MODEL_WORDS = 10_000
-MODEL_GRAMS = 5_000
-#: Labels with the most sampled documents that the model tells apart.
-MODEL_LANGS = 200
-#: Times the expected share of hashes that is ranked for the sample, and languages whose sizes are broadcast.
-MARGIN, BROADCAST_LANGS = 1.5, 10_000
+#: Times the expected share of hashes that is ranked for the sample, and languages and ids that are broadcast.
+MARGIN, BROADCAST_LANGS, BROADCAST_IDS = 1.5, 10_000, 200_000
 GRAM_LENGTHS = (4, 3, 2, 1)
 #: Each step to shorter n-grams multiplies the likelihood by this.
 BACKOFF = 0.4
 #: Tokens whose scores a task keeps at a time.
 CACHE_WORDS = 100_000
-LETTERS = re.compile(r"[^\W\d_]+")
+#: A word, for Java and for Python: letters with the marks that belong to them.
+WORD = r"\p{L}[\p{L}\p{M}]*"
+WORDS = regex.compile(WORD)
 HELD_OUT_OF, HELD_OUT_REST = 5, 0
 
 
@@ -43,11 +42,12 @@ def remainder(doc_id, modulus: int) -> F.Column:
 
 
 def training_sample(docs: DataFrame, per_lang: int = SAMPLE_DOCS) -> DataFrame:
-    """(lang, text) of at most ``per_lang`` labelled documents a language, in hash order.
+    """(lang, text) of at most ``per_lang`` labelled ids a language, in hash order.
 
     Hashes are uniform, so the share of a language's documents that ``per_lang`` is says below
     which hash nearly all of the first ones lie. Only those are ranked, in narrow rows; the few
-    that are chosen then fetch their texts.
+    that are chosen then fetch their texts. An id that repeats in a language gives one text, the
+    least one.
     """
     usable = docs.filter(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id"), HELD_OUT_OF) != HELD_OUT_REST)
@@ -62,9 +62,10 @@ def training_sample(docs: DataFrame, per_lang: int = SAMPLE_DOCS) -> DataFrame:
     order = Window.partitionBy("lang").orderBy("place", "doc_id")
     chosen = early.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_lang)
     chosen = materialise(chosen.select("doc_id", "lang").distinct())
-    return usable.select("doc_id", "lang", "text").join(
-        broadcast_within(chosen, per_lang * MODEL_LANGS), ["doc_id", "lang"], "left_semi"
-    ).select("lang", "text")
+    texts = usable.select("doc_id", "lang", "text").join(
+        broadcast_within(chosen, BROADCAST_IDS), ["doc_id", "lang"], "left_semi"
+    )
+    return texts.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("lang", "text")
 
 
 class Model:
@@ -104,51 +105,45 @@ class Model:
 
 
 def train(docs: DataFrame) -> Model:
-    """Count the model over the training sample; its tables are bounded by the parameters above."""
+    """Count the model over the training sample, which bounds its tables.
+
+    Words and n-grams seen once are left to shorter n-grams.
+    """
     sample = materialise(training_sample(docs))
-    langs = sorted(r[0] for r in sample.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MODEL_LANGS).collect())
+    langs = sorted(r[0] for r in sample.select("lang").distinct().collect())
     if not langs:
         return Model([], {}, np.zeros((0, 0)), {}, np.zeros((1, 0)))
-    found = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{M}]+)"), F.lit(1))
+    found = F.regexp_extract_all(F.lower("text"), F.lit(f"({WORD})"), F.lit(1))
     counted = materialise(
         sample.select("lang", F.explode(found).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     )
     padded = F.concat(F.lit("<"), F.col("word"), F.lit(">"))
-    pieces = F.flatten(
-        F.array(
-            *[
-                F.transform(
-                    F.when(F.length(padded) >= n, F.sequence(F.lit(1), F.length(padded) - n + 1)).otherwise(F.array()),
-                    lambda i, n=n: F.substring(padded, i, F.lit(n)),
-                )
-                for n in GRAM_LENGTHS
-            ]
-        )
-    )
+    pieces = F.flatten(F.array(*[grams_of(padded, n) for n in GRAM_LENGTHS]))
     grams = (
         counted.select("lang", F.explode(pieces).alias("gram"), "n")
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
         .withColumn("size", F.length("gram"))
     )
-    order = Window.partitionBy("lang", "size").orderBy(F.desc("n"), "gram")
-    best_grams = grams.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= MODEL_GRAMS)
-    by_lang = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    best_words = counted.withColumn("place", F.row_number().over(by_lang)).filter(
-        (F.col("place") <= MODEL_WORDS) & (F.col("n") > 1)
-    )
     index = {lang: i for i, lang in enumerate(langs)}
-    words, word_rows = log_table(best_words.select("lang", "word", "n", F.lit(0)), index, 0.1)
-    grams, gram_rows = log_table(best_grams.select("lang", "gram", "n", "size"), index, 0.5)
+    words, word_rows = log_table(counted.filter("n > 1").select("lang", "word", "n", F.lit(0)), index, 0.1)
+    grams, gram_rows = log_table(grams.filter("n > 1").select("lang", "gram", "n", "size"), index, 0.5)
     for gram, row in grams.items():
         gram_rows[row] += (GRAM_LENGTHS[0] - len(gram)) * np.log(BACKOFF)
     shifted = {gram: row + 1 for gram, row in grams.items()}
     return Model(langs, words, word_rows, shifted, np.concatenate((np.zeros((1, len(langs))), gram_rows)))
 
 
+def grams_of(word, length: int) -> F.Column:
+    """All pieces of a word with so many characters, in order."""
+    starts = F.sequence(F.lit(1), F.length(word) - length + 1)
+    # a function of one argument: a second one would get the element's position
+    return F.transform(F.when(F.length(word) >= length, starts).otherwise(F.array()), lambda i: F.substring(word, i, F.lit(length)))
+
+
 def log_table(rows: DataFrame, index: dict, smooth: float) -> tuple[dict[str, int], np.ndarray]:
     """(lang, key, n, size) of bounded tables to a row number for each key, and log frequencies among keys of its size."""
-    found = [row for row in rows.toLocalIterator() if row[0] in index]
+    found = sorted(tuple(row) for row in rows.toLocalIterator() if row[0] in index)
     keys: dict[str, int] = {}
     for row in found:
         keys.setdefault(row[1], len(keys))
@@ -183,7 +178,7 @@ class Scores(dict):
         while len(self) > len(self.matrix):
             self.matrix = np.concatenate((self.matrix, np.zeros_like(self.matrix)))
             self.words = np.concatenate((self.words, np.zeros_like(self.words)))
-        split = [[w for w in LETTERS.findall(token.lower()) if any(map(str.isalpha, w))] for token in self.fresh]
+        split = [WORDS.findall(token.lower()) for token in self.fresh]
         sizes = np.fromiter(map(len, split), np.int64, len(split))
         scores = self.model.word_scores(list(chain.from_iterable(split)))
         rows = np.arange(len(self) - len(self.fresh), len(self))
@@ -216,8 +211,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score) for every document.
 
     Null texts and texts without a letter are ``und`` with score 0, as is everything if no
-    labelled document was found. Equal texts get equal results; ties go to the first language
-    by name.
+    labelled document was found. Equal texts get equal results, repeated rows included; ties go
+    to the first language by name. Texts of any length are scored whole. An empty table gives no
+    rows. Other columns are not read, whatever their names.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -246,13 +242,19 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def language_id(docs: DataFrame) -> DataFrame:
-    """Train on the labelled documents that are not held out and label every document."""
+    """Train on the labelled documents that are not held out and label every document.
+
+    (doc_id, held_out, lang_pred, score); awkward rows are treated as in :func:`identify`.
+    """
     held_out = remainder(F.col("doc_id"), HELD_OUT_OF) == HELD_OUT_REST
     return identify(docs, train(docs)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
 def drop_unidentified(docs: DataFrame, model: Model, min_score: float = 0.5) -> DataFrame:
-    """The documents whose language is told with a score of ``min_score`` or more, with all their columns."""
+    """The documents whose language is told with a score of ``min_score`` or more, with all their columns.
+
+    Null texts and texts without a letter go. Columns may have any names; rows may repeat.
+    """
     names = docs.columns
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
