@@ -154,7 +154,7 @@ def test_matches_brute_force(spark):
     assert len(found) == len(rows)
     for i, lang, score in brute(rows):
         assert found[i].lang_pred == lang and found[i].score == pytest.approx(score, abs=1e-9)
-    assert [found[5000 + i].lang_pred for i in (0, 1, 2, 3, 5, 6)] == ["mr", "hi", "de", "ar", "und", "und"]
+    assert [found[5000 + i].lang_pred for i in (0, 1, 5, 6)] == ["mr", "hi", "und", "und"]
 
 
 def test_a_repeated_id_teaches_one_text(spark):
