@@ -3,7 +3,14 @@
 The model file's protobuf is parsed here, and its normaliser, metaspace marker, scores or
 merges and byte fallback are rebuilt as a tokenizers pipeline, which encodes and decodes
 batches with several threads. Parity with the sentencepiece library and the round trip are
-verified for every text, and the results say so.
+verified for every text, and the results say so:
+
+* Parity: sentencepiece normalises the raw text to the same string, and gives the same ids for
+  its words. Where no piece reaches from one word into the next, the ids of a text are those of
+  its words, so each distinct word of a task is encoded by both libraries once. Other models are
+  compared text by text.
+* Round trip: the ids of the whole text are decoded and give the raw text. The table of what each
+  piece spells is used for that; the tokenizers decoder has to agree with it on every new word.
 """
 
 from __future__ import annotations
@@ -28,8 +35,8 @@ NORMAL, UNK, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Threads of one task's encoder, and bytes of text that are encoded at once.
 THREADS = 2
 CHUNK_BYTES = 1 << 20
-#: Distinct words whose ids a task keeps at a time.
-CACHE_WORDS = 300_000
+#: Distinct words whose ids a task keeps at a time, and their characters.
+CACHE_WORDS, CACHE_CHARS = 300_000, 8_000_000
 #: A word with the space marks that lead it.
 MARKED_WORD = re.compile(f"{SPACE_MARK}*[^{SPACE_MARK}]+|{SPACE_MARK}+")
 
@@ -89,15 +96,14 @@ class PieceModel:
         self._bytes: list[bytes] | None = None
         self.unk_id = next((i for i, p in enumerate(self.pieces) if p[2] == UNK), None)
 
-    def joined(self, ids: list[int]) -> str:
-        """The text that the pieces spell, for a quick check of what was encoded."""
+    def spelled(self, ids: list[int]) -> bytes:
+        """What the pieces spell one after another, the space of the prefix included."""
         if self._bytes is None:
             self._bytes = [
                 bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(SPACE_MARK, " ").encode()
                 for p, _, kind in self.pieces
             ]
-        text = b"".join(map(self._bytes.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if self.dummy_prefix and text[:1] == " " else text
+        return b"".join(map(self._bytes.__getitem__, ids))
 
     def merges(self) -> list[tuple[str, str]]:
         """Pairs of pieces that make a piece, best resulting score first."""
@@ -146,6 +152,13 @@ def build_tokenizer(model: PieceModel):
     return tokenizer
 
 
+def words_of(line: str) -> list[str]:
+    """The words of a normalised text, each without the space mark before it."""
+    if SPACE_MARK * 2 in line or line.endswith(SPACE_MARK):
+        return [word[1:] for word in MARKED_WORD.findall(line)]
+    return line.split(SPACE_MARK)[1:]
+
+
 def stretches(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Positions of stretches that begin at ``starts``, one stretch after another."""
     ends = np.cumsum(sizes)
@@ -189,7 +202,7 @@ class Encoder:
             self._forget()
 
     def _forget(self) -> None:
-        self.known, self.ids = WordNumbers(), np.zeros(1 << 16, np.int32)
+        self.known, self.ids, self.chars = WordNumbers(), np.zeros(1 << 16, np.int32), 0
         self.starts = np.zeros(1, np.int64)
         self.bad = np.zeros((0, 2), bool)
 
@@ -197,35 +210,58 @@ class Encoder:
         """All ids one after another, their number in each text, and whether it round-trips and agrees."""
         if not self.by_word:
             return self._encode_whole(texts)
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) > CACHE_WORDS or self.chars > CACHE_CHARS:
             self._forget()
         lines = list(map(self.normalizer.normalize_str, texts))
-        rows = [np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)) for words in map(MARKED_WORD.findall, lines)]
+        rows = [np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)) for words in map(words_of, lines)]
         self._learn()
         together = np.concatenate(rows)
         sizes = (self.starts[1:] - self.starts[:-1])[together]
         upto = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum([len(r) for r in rows])]
-        whole = [line.replace(SPACE_MARK, " ")[1:] == text for line, text in zip(lines, texts, strict=True)]
         wrong = [self.bad[r].any(axis=0) for r in rows] if self.bad.any() else [(False, False)] * len(rows)
-        round_trip = [bool(a and not w[0]) for a, w in zip(whole, wrong, strict=True)]
-        ids = self.ids[stretches(self.starts[together], sizes)]
-        return ids, np.diff(upto, prepend=0), round_trip, [not w[1] for w in wrong]
+        ids, counts = self.ids[stretches(self.starts[together], sizes)], np.diff(upto, prepend=0)
+        round_trip = [bool(a and not w[0]) for a, w in zip(self._spelled_again(ids, upto, texts), wrong, strict=True)]
+        same_line = map(str.__eq__, self.other.normalize(texts), lines)
+        return ids, counts, round_trip, [bool(a and not w[1]) for a, w in zip(same_line, wrong, strict=True)]
+
+    def _spelled_again(self, ids: np.ndarray, upto: np.ndarray, texts: list[str]) -> list[bool]:
+        """Whether the ids of each text spell it: all texts of the batch in one go, and one by one if that fails."""
+        wanted = [f" {text}".encode() if text else b"" for text in texts]
+        flat = ids.tolist()
+        if self.model.spelled(flat) == b"".join(wanted):
+            starts = [0, *upto.tolist()]
+            lengths = np.concatenate(([0], np.cumsum(self._spelled_sizes()[ids])))[starts]
+            return (np.diff(lengths) == np.fromiter(map(len, wanted), np.int64, len(wanted))).tolist()
+        return [self.model.spelled(flat[a:b]) == w for a, b, w in zip([0, *upto.tolist()], upto.tolist(), wanted, strict=False)]
+
+    def _spelled_sizes(self) -> np.ndarray:
+        if not hasattr(self, "_sizes"):
+            self._sizes = np.array([len(self.model.spelled([i])) for i in range(len(self.model.pieces))])
+        return self._sizes
 
     def _learn(self) -> None:
-        """Encode the new words as one line, cut its ids where words begin, and check them."""
+        """Encode the new words as one line, cut its ids where words begin, and check them.
+
+        The line's ids must be those of sentencepiece, and the tokenizers decoder must give the line
+        and what the table of pieces says.
+        """
         new, self.known.fresh = self.known.fresh, []
         if not new:
             return
-        ids, sizes = self._line(new)
-        spelled = self.model.joined(ids.tolist()) == "".join(new).replace(SPACE_MARK, " ")[1:]
-        agreed = self.other.encode("".join(new).replace(SPACE_MARK, " ")[1:]) == ids.tolist()
+        self.chars += sum(map(len, new))
+        marked = [SPACE_MARK + word for word in new]
+        ids, sizes = self._line(marked)
+        line, flat = "".join(marked).replace(SPACE_MARK, " ")[1:], ids.tolist()
+        agreed = self.other.encode(line) == flat
+        spelled = self._decoded(flat) == line and self.model.spelled(flat) == f" {line}".encode()
         bad = np.zeros((len(new), 2), bool)
         if not (spelled and agreed):  # find the words that differ, each after another word as in a text
             ends, lead = np.cumsum(sizes), self.other.encode("a")
-            for i, word in enumerate(new):
+            for i, word in enumerate(marked):
                 own = ids[ends[i] - sizes[i] : ends[i]].tolist()
                 text = word.replace(SPACE_MARK, " ")
-                bad[i] = self.model.joined(own) != text[1:], self.other.encode("a" + text) != lead + own
+                bad[i, 0] = self._decoded(own) != text[1:] or self.model.spelled(own) != text.encode()
+                bad[i, 1] = self.other.encode("a" + text) != lead + own
         self.bad = np.concatenate((self.bad, bad))
         used = int(self.starts[-1])
         while used + len(ids) > len(self.ids):
@@ -233,6 +269,9 @@ class Encoder:
         self.ids[used : used + len(ids)] = ids
         self.starts = np.concatenate((self.starts, used + np.cumsum(sizes)))
 
+    def _decoded(self, ids: list[int]) -> str:
+        return self.tokenizer.decode(ids, skip_special_tokens=False)
+
     def _line(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words one after another, and their number in each."""
         parts = [words[i::THREADS] for i in range(THREADS)] if len(words) > THREADS else [words]
@@ -277,8 +316,9 @@ def encode_pieces(docs: DataFrame, model_bytes: bytes) -> DataFrame:
     """(doc_id, n_tokens, ids, round_trip, parity) for every document.
 
     ``ids`` are those of the whole text without special tokens; null and empty texts have
-    none. ``round_trip``: their pieces spell the text again. ``parity``: sentencepiece gives
-    the same ids. Repeated rows are encoded like others.
+    none. ``round_trip``: decoded, they are the text again. ``parity``: sentencepiece gives
+    the same ids. Repeated rows are encoded like others; texts of any length are encoded whole.
+    An empty table gives no rows. Other columns are not read, whatever their names.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model_bytes)
 

@@ -90,3 +90,29 @@ def test_empty_table_and_null_ids(spark):
     assert piece_tokenizer.encode_pieces(documents(spark, []), model).count() == 0
     rows = spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")
     assert {i: r.text for i, r in by_id(piece_tokenizer.decode_pieces(rows, model)).items()} == {1: None, 2: ""}
+
+
+def test_another_normaliser_is_noticed():
+    from tokenizers import normalizers
+
+    encoder = piece_tokenizer.Encoder(piece_tokenizer.read_model())
+    encoder.normalizer = normalizers.Sequence([normalizers.Lowercase(), encoder.normalizer])
+    *_, whole, same = encoder.encode(["A Stone", "a stone"])
+    assert (whole, same) == ([False, True], [False, True])
+
+
+def test_another_decoder_is_noticed():
+    from tokenizers import decoders
+
+    encoder = piece_tokenizer.Encoder(piece_tokenizer.read_model())
+    encoder.tokenizer.decoder = decoders.Sequence([decoders.Replace("▁", "_"), decoders.Fuse()])
+    *_, whole, same = encoder.encode(["a stone"])
+    assert (whole, same) == ([False], [True])
+
+
+def test_the_cache_is_bounded_by_its_characters(monkeypatch):
+    monkeypatch.setattr(piece_tokenizer, "CACHE_CHARS", 1000)
+    encoder = piece_tokenizer.Encoder(piece_tokenizer.read_model())
+    for i in range(5):
+        *_, whole, same = encoder.encode([f"{i}" * 900, "short"])
+        assert all(whole) and all(same) and len(encoder.known) <= 4
