@@ -1,17 +1,18 @@
 """Quality: random-indexing word vectors, pooled per document, and a two-layer network.
 
-Words become units: frequent-looking plain words by a hash of their letters, others by
-their shape, and a word that repeats its neighbour by a unit of its own. Each unit has a sparse
-random index vector; its word vector is the sum of the index vectors of its neighbours over
-the whole corpus. A document is the mean of its units' word and index vectors. A small
-numpy network learns the labels, and a temperature fitted on rows it has not seen calibrates
-its probabilities.
+The most frequent plain words of the corpus are units of their own; rarer ones share units by
+a hash of their letters, all other words by a hash of their shape, and a word that repeats its
+neighbour has a unit of a third kind. Each unit has a sparse random index vector; its word
+vector is the sum of the index vectors of its neighbours over the whole corpus. A document is
+the mean of its units' word and index vectors. A small numpy network learns the labels, and a
+temperature fitted on rows it has not seen calibrates its probabilities.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -20,13 +21,17 @@ from pyspark.sql import functions as F
 
 from quarryline.llm.arrow import column_of, map_batches, texts_of
 from quarryline.llm.language_id import remainder
-from quarryline.session import materialise, ship_package
+from quarryline.session import ship_package
 
 HELD_OUT_OF, HELD_OUT_REST = 4, 2
 PREDICT_AT = 0.7
-#: Units of plain words, of shapes, and of repeats of either; dimensions and non-zero entries of index vectors.
-PLAIN, SHAPES = 2048, 1024
-UNITS = 2 * (PLAIN + SHAPES) + 1
+#: Plain words with units of their own; units that rarer plain words share, and those of shapes.
+VOCABULARY, PLAIN, SHAPES = 8192, 2048, 1024
+SHARED = PLAIN + SHAPES
+#: Shared units, those of the vocabulary, repeats of either by their shared unit, and the gap.
+UNITS = SHARED + VOCABULARY + SHARED + 1
+REPEATS = SHARED + VOCABULARY
+#: Dimensions and non-zero entries of index vectors.
 DIMENSIONS, NONZERO = 64, 4
 #: Neighbours on each side that a word vector adds up.
 REACH = 2
@@ -36,7 +41,7 @@ CALIBRATE_OF = 5
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 60, 128, 0.01, 1e-4
 #: Distinct words whose units a task keeps at a time, and tokens whose neighbours it adds at once.
 CACHE_WORDS = 100_000
-CHUNK = 1 << 17
+CHUNK = 1 << 18
 
 _random = np.random.default_rng(7)
 INDEX_AT = _random.integers(0, DIMENSIONS, (UNITS, NONZERO))
@@ -50,48 +55,92 @@ RUNS = re.compile(r"(.)\1+", re.DOTALL)
 GAP = np.full(REACH, UNITS - 1)
 
 
-def unit_of(word: str) -> int:
-    """The unit of one word: plain words by their letters, all others by their shape."""
+def plain_word(word: str) -> str | None:
+    """The letters of a plain word in lower case; others have none."""
     bare = word.strip(".,;:")
-    if bare.isalpha() and bare[1:].islower() or len(bare) == 1 and bare.isalpha():
-        return zlib.crc32(bare.lower().encode()) % PLAIN
+    return bare.lower() if bare.isalpha() and (bare[1:].islower() or len(bare) == 1) else None
+
+
+def shared_unit(word: str) -> int:
+    """The unit that a word shares: plain words by their letters, all others by their shape."""
+    bare = plain_word(word)
+    if bare is not None:
+        return zlib.crc32(bare.encode()) % PLAIN
     shape = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
     return PLAIN + zlib.crc32(RUNS.sub(r"\1\1", shape).encode()) % SHAPES
 
 
 class Units(dict):
-    """Word -> number in order of arrival; ``of`` gives their units."""
+    """Word -> number in order of arrival; ``units`` and ``repeats`` give their units."""
 
-    def __init__(self):
+    def __init__(self, vocabulary: dict[str, int]):
         super().__init__()
-        self.units: list[int] = []
+        self.vocabulary, self.units, self.repeats = vocabulary, [], []
 
     def __missing__(self, word: str) -> int:
         self[word] = number = len(self)
-        self.units.append(unit_of(word))
+        shared, own = shared_unit(word), self.vocabulary.get(plain_word(word))
+        self.units.append(shared if own is None else SHARED + own)
+        self.repeats.append(REPEATS + shared)
         return number
 
 
 class Reader:
     """Texts to unit numbers."""
 
-    def __init__(self):
-        self.known, self.table, self.chars = Units(), np.zeros(0, np.int64), 0
+    def __init__(self, vocabulary: dict[str, int]):
+        self.vocabulary = vocabulary
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.chars = Units(self.vocabulary), 0
+        self.table, self.repeats = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def units(self, text: bytes) -> np.ndarray:
         words = text.decode("utf-8", "replace").split()
         if len(self.known) > CACHE_WORDS or self.chars > 16 * CACHE_WORDS:
-            self.known, self.table, self.chars = Units(), np.zeros(0, np.int64), 0
+            self._forget()
         had = len(self.known)
         numbers = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         if len(self.known) > had:
             self.chars += len(text)
             self.table = np.concatenate((self.table, np.array(self.known.units[had:], np.int64)))
+            self.repeats = np.concatenate((self.repeats, np.array(self.known.repeats[had:], np.int64)))
         units = self.table[numbers]
-        units[1:] += (PLAIN + SHAPES) * (numbers[1:] == numbers[:-1])
+        again = np.flatnonzero(numbers[1:] == numbers[:-1]) + 1
+        units[again] = self.repeats[numbers[again]]
         return units
 
 
+def vocabulary_of(docs: DataFrame, size: int = VOCABULARY) -> dict[str, int]:
+    """The ``size`` most frequent plain words of all documents, ties by their letters, numbered by letters.
+
+    Tasks count words and pass their counts on whenever they hold CACHE_WORDS different ones.
+    """
+    ship_package(docs.sparkSession)
+
+    def run(batches):
+        counts: Counter = Counter()
+
+        def told():
+            plain: Counter = Counter()
+            for word, n in counts.items():
+                if (bare := plain_word(word)) is not None:
+                    plain[bare] += n
+            counts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(plain), pa.string()), pa.array(list(plain.values()), pa.int64())], ["word", "n"])
+
+        for batch in batches:
+            for text in texts_of(batch):
+                counts.update(text.decode("utf-8", "replace").split())
+                if len(counts) > CACHE_WORDS:
+                    yield told()
+        yield told()
+
+    counted = docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return {word: i for i, word in enumerate(sorted(r.word for r in counted.orderBy(F.desc("n"), "word").limit(size).collect()))}
+
+
 def add_neighbours(total: np.ndarray, units: np.ndarray) -> None:
     """Add each token's neighbours' index vectors to its unit's row."""
     flat = total.reshape(-1)
@@ -102,7 +151,7 @@ def add_neighbours(total: np.ndarray, units: np.ndarray) -> None:
                 flat += np.bincount(cells, INDEX_SIGN[other].ravel(), UNITS * DIMENSIONS)
 
 
-def corpus_vectors(docs: DataFrame) -> np.ndarray:
+def corpus_vectors(docs: DataFrame, vocabulary: dict[str, int]) -> np.ndarray:
     """Word vectors of all units over all documents, one row each, at length 1.
 
     Every task adds up its own documents; the table of UNITS rows is all that is shuffled and
@@ -110,9 +159,10 @@ def corpus_vectors(docs: DataFrame) -> np.ndarray:
     """
     ship_package(docs.sparkSession)
     names = [f"d{i}" for i in range(DIMENSIONS)]
+    shipped = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
-        reader, total = Reader(), np.zeros((UNITS, DIMENSIONS))
+        reader, total = Reader(shipped.value), np.zeros((UNITS, DIMENSIONS))
         waiting, size = [], 0
         for batch in batches:
             for text in texts_of(batch):
@@ -129,18 +179,17 @@ def corpus_vectors(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays(columns, names=["unit", *names])
 
     parts = docs.select("text").mapInArrow(run, "unit long, " + ", ".join(f"{n} long" for n in names))
-    rows = parts.groupBy("unit").agg(*[F.sum(n).alias(n) for n in names]).collect()
+    rows = parts.groupBy("unit").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
     vectors = np.zeros((UNITS, DIMENSIONS))
-    for row in rows:
-        vectors[row[0]] = row[1:]
+    if rows.num_rows:
+        vectors[rows["unit"].to_numpy()] = np.column_stack([rows[n].to_numpy() for n in names])
     return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
 
 
 def pooled(table: np.ndarray, units: np.ndarray) -> np.ndarray:
     """Features of a document: mean vectors of its units, and its length."""
-    counts = np.bincount(units, minlength=UNITS)
-    used = np.flatnonzero(counts)
-    mean = counts[used] @ table[used] / max(1, len(units))
+    used, counts = np.unique(units, return_counts=True)
+    mean = counts @ table[used] / max(1, len(units))
     return np.append(mean, np.log1p(len(units)) / 10)
 
 
@@ -194,21 +243,26 @@ class Network:
         self.temperature = float(min(np.geomspace(0.25, 8, 60), key=loss))
 
 
-def labelled_features(docs: DataFrame, labels: DataFrame, table: np.ndarray) -> DataFrame:
-    """(doc_id, quality, features) of at most SAMPLE_DOCS labelled documents that are not held out, in hash order."""
+def labelled_features(docs: DataFrame, labels: DataFrame, vocabulary: dict[str, int], table: np.ndarray) -> DataFrame:
+    """(doc_id, quality, features) of at most SAMPLE_DOCS labels that are not held out, in hash order.
+
+    A label that repeats counts once. An id that repeats in ``docs`` gives one text, the least one.
+    """
     allowed = labels.filter(
         F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()
         & (remainder(F.col("doc_id"), HELD_OUT_OF) != HELD_OUT_REST)
     ).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-    chosen = allowed.orderBy(F.xxhash64("doc_id", F.lit("quality")), "doc_id").limit(SAMPLE_DOCS).distinct()
+    chosen = allowed.distinct().orderBy(F.xxhash64("doc_id", F.lit("quality")), "doc_id", "quality").limit(SAMPLE_DOCS)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    shipped = docs.sparkSession.sparkContext.broadcast(table)
+    texts = texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    shipped = docs.sparkSession.sparkContext.broadcast((vocabulary, table))
 
     def make():
-        reader = Reader()
+        words, vectors = shipped.value
+        reader = Reader(words)
 
         def step(batch):
-            rows = [pooled(shipped.value, reader.units(text)).tolist() for text in texts_of(batch)]
+            rows = [pooled(vectors, reader.units(text)).tolist() for text in texts_of(batch)]
             return pa.RecordBatch.from_arrays(
                 [column_of(batch, "doc_id"), column_of(batch, "quality"), pa.array(rows, pa.list_(pa.float64()))],
                 names=["doc_id", "quality", "features"],
@@ -219,10 +273,12 @@ def labelled_features(docs: DataFrame, labels: DataFrame, table: np.ndarray) ->
     return map_batches(texts.select("doc_id", "quality", "text"), make, "doc_id long, quality int, features array<double>")
 
 
-def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Network]:
-    """Word vectors of the whole corpus and the calibrated network."""
-    table = np.hstack((corpus_vectors(docs), INDEX / np.sqrt(NONZERO)))
-    rows = materialise(labelled_features(docs, labels, table)).orderBy("doc_id", "quality").collect()
+def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, int], np.ndarray, Network]:
+    """Vocabulary and word vectors of the whole corpus, and the calibrated network."""
+    vocabulary = vocabulary_of(docs)
+    table = np.hstack((corpus_vectors(docs, vocabulary), INDEX / np.sqrt(NONZERO)))
+    rows = labelled_features(docs, labels, vocabulary, table).collect()
+    rows.sort(key=lambda r: (r.doc_id, r.quality))
     network = Network(table.shape[1] + 1)
     if rows:
         x, y = np.array([r.features for r in rows]), np.array([r.quality for r in rows], float)
@@ -230,23 +286,24 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Network]:
         network.fit(x[~aside] if (~aside).any() else x, y[~aside] if (~aside).any() else y)
         if aside.any():
             network.calibrate(x[aside], y[aside])
-    return table, network
+    return vocabulary, table, network
 
 
-def score_quality(docs: DataFrame, table: np.ndarray, network: Network) -> DataFrame:
+def score_quality(docs: DataFrame, vocabulary: dict[str, int], table: np.ndarray, network: Network) -> DataFrame:
     """(doc_id, score, predicted) for every document.
 
     Null and empty texts have no words and get the score of an empty document. Equal texts get
-    equal scores. Without labelled documents the network is untrained: scores are finite but
-    say nothing.
+    equal scores, repeated rows included; a score at the limit is predicted 1. Texts of any length
+    are read whole. Without labelled documents the network is untrained: scores are finite but say
+    nothing. An empty table gives no rows. Other columns are not read, whatever their names.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast((table, network))
+    shipped = docs.sparkSession.sparkContext.broadcast((vocabulary, table, network))
 
     def make():
-        reader = Reader()
+        words, vectors, model = shipped.value
+        reader = Reader(words)
 
         def step(batch):
-            vectors, model = shipped.value
             scores = model.probability(np.array([pooled(vectors, reader.units(text)) for text in texts_of(batch)]))
             return pa.RecordBatch.from_arrays(
                 [column_of(batch, "doc_id"), pa.array(scores), pa.array((scores >= PREDICT_AT).astype(np.int32))],
@@ -260,7 +317,9 @@ def score_quality(docs: DataFrame, table: np.ndarray, network: Network) -> DataF
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Train on the labels that are not held out and score every document."""
+    """Train on the labels that are not held out and score every document.
+
+    (doc_id, held_out, score, predicted); awkward rows are treated as in :func:`score_quality`.
+    """
     held_out = remainder(F.col("doc_id"), HELD_OUT_OF) == HELD_OUT_REST
-    table, network = train(docs, labels)
-    return score_quality(docs, table, network).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    return score_quality(docs, *train(docs, labels)).select("doc_id", held_out.alias("held_out"), "score", "predicted")

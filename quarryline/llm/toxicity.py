@@ -1,8 +1,9 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick.
 
-Texts are folded first: lower case, look-alike letters of other scripts to Latin ones, and
-digits or signs that stand for letters next to a letter. The lexicon holds word beginnings
-that labelled toxic documents use and others don't, weighted by their log odds. Phrases
+Texts are folded first: Unicode compatibility forms (full-width, mathematical and the like)
+to plain ones, accents away, lower case, look-alike letters of other scripts to Latin ones, and
+digits or signs that stand for letters next to a letter. The lexicon holds word beginnings and
+words that labelled toxic documents use and others don't, weighted by their log odds. Phrases
 around a match that labelled clean documents use are exceptions. The weighted matches,
 alone and by length, go through a calibrated logistic function.
 """
@@ -10,6 +11,7 @@ alone and by length, go through a calibrated logistic function.
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +27,12 @@ HELD_OUT_OF, HELD_OUT_REST = 3, 1
 SAMPLE_DOCS = 3000
 #: One sampled document in so many calibrates the score; the lexicon comes from the others.
 CALIBRATE_OF = 4
-#: Lengths of word beginnings that may enter the lexicon.
+#: Lengths of word beginnings that may enter the lexicon; whole words of any length may, too.
 SHORTEST, LONGEST = 4, 10
 #: Different sampled toxic documents, and different words before it, that an entry needs; and its log odds.
 LEAST_SHARE, LEAST_SEEN, LEAST_ODDS = 0.003, 3, 2.0
 #: A longer beginning enters beside a shorter one only with so much better odds.
 BETTER = 0.7
-LEXICON_SIZE, EXCEPTIONS_SIZE = 2000, 2000
 PREDICT_AT = 0.7
 # fixed values: letters of other scripts that look like Latin letters, and characters used for letters
 HOMOGLYPHS = str.maketrans(
@@ -40,18 +41,32 @@ HOMOGLYPHS = str.maketrans(
 )
 SUBSTITUTES = str.maketrans("0134578@$", "oieastbas")
 STANDS_IN = re.compile(r"(?<=[^\W\d_])[0134578@$]+|[0134578@$]+(?=[^\W\d_])")
+MARKS = re.compile("[\u0300-\u036f]+")
 BREAK = re.compile(r"[\W\d_]+")
 
 
 def fold(text: str) -> str:
     """The folded words of a text, each with a space before and after it."""
-    text = text.lower()
     if not text.isascii():
-        text = text.translate(HOMOGLYPHS)
+        text = MARKS.sub("", unicodedata.normalize("NFKD", text)).lower().translate(HOMOGLYPHS)
+    text = text.lower()
     text = STANDS_IN.sub(lambda m: m[0].translate(SUBSTITUTES), text)
     return f" {BREAK.sub(' ', text).strip()} "
 
 
+def unexcused(hits: list[tuple], excused: list[tuple[int, int]]) -> list[tuple]:
+    """The weighted hits that lie in no excused stretch, in one sweep over both by where they start."""
+    found, at, reach = [], 0, -1
+    excused = sorted(excused)
+    for start, end, weight in sorted((h for h in hits if h[2] is not None), key=lambda h: h[:2]):
+        while at < len(excused) and excused[at][0] <= start:
+            reach = max(reach, excused[at][1])
+            at += 1
+        if end > reach:
+            found.append((start, end, weight))
+    return found
+
+
 class Lexicon:
     """Weighted word beginnings and exception phrases in one automaton."""
 
@@ -82,11 +97,7 @@ class Lexicon:
             return 0.0, 0.0
         hits = [(end - size + 1, end, weight) for end, (weight, size) in self.automaton().iter(folded)]
         excused = [(start, end) for start, end, weight in hits if weight is None]
-        total = sum(
-            weight
-            for start, end, weight in hits
-            if weight is not None and not any(a <= start and end <= b for a, b in excused)
-        )
+        total = sum(weight for start, end, weight in unexcused(hits, excused))
         return float(np.log1p(total)), float(np.log1p(100 * total / max(1, folded.count(" ") - 1)))
 
     def score(self, text: str) -> float:
@@ -96,11 +107,12 @@ class Lexicon:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_DOCS) -> DataFrame:
-    """(doc_id, toxic, calibrates, text) of at most ``per_class`` labelled documents of each class, in hash order."""
-    allowed = labels.filter(
-        F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()
-        & (remainder(F.col("doc_id"), HELD_OUT_OF) != HELD_OUT_REST)
-    ).select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
+    """(doc_id, toxic, calibrates, text) of at most ``per_class`` labelled ids of each class, in hash order.
+
+    A label that repeats counts once. An id that repeats in ``docs`` gives one text, the least one;
+    an id labelled both ways gives it to both classes.
+    """
+    allowed = usable_labels(labels).distinct()
     order = F.xxhash64("doc_id", F.lit("toxic"))
     chosen = [
         allowed.filter(F.col("toxic") == c).withColumn("place", order).orderBy("place", "doc_id").limit(per_class)
@@ -110,7 +122,16 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_
         "doc_id", "toxic", (F.pmod("place", F.lit(CALIBRATE_OF)) == 0).alias("calibrates")
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").isNotNull())
-    return texts.join(F.broadcast(chosen.distinct()), "doc_id")
+    found = texts.join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "toxic", "calibrates").agg(F.min("text").alias("text"))
+
+
+def usable_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of the labels that may be learnt."""
+    return labels.filter(
+        F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()
+        & (remainder(F.col("doc_id"), HELD_OUT_OF) != HELD_OUT_REST)
+    ).select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
 
 
 def folded_words(sample: DataFrame) -> DataFrame:
@@ -145,6 +166,7 @@ def choose_stems(words: DataFrame, documents: dict[int, int]) -> dict[str, float
     documents and the different words before it.
     """
     sizes = F.sequence(F.lit(SHORTEST), F.least(F.length("word"), F.lit(LONGEST)))
+    sizes = F.array_union(sizes, F.array(F.length("word")))
     stems = words.select(
         "doc_id", "toxic", "before",
         F.explode(F.transform(sizes, lambda n: F.substring(F.col("word"), F.lit(1), n))).alias("stem"),
@@ -159,13 +181,11 @@ def choose_stems(words: DataFrame, documents: dict[int, int]) -> dict[str, float
     )
     counted = stems.join(often, "stem").groupBy("stem").agg(fewer(1).alias("t"), fewer(0).alias("c"))
     odds = F.log((F.col("t") + 0.5) / (F.col("c") + 0.5) / ratio)
-    best = (
-        counted.filter(F.col("t") >= needed).withColumn("odds", odds).filter(F.col("odds") >= LEAST_ODDS)
-        .orderBy(F.desc("odds"), "stem").limit(LEXICON_SIZE).collect()
-    )
+    # each needs some documents of the sample, so its bound is one for these, too
+    best = counted.filter(F.col("t") >= needed).withColumn("odds", odds).filter(F.col("odds") >= LEAST_ODDS).collect()
     kept: dict[str, float] = {}
     for row in sorted(best, key=lambda r: (len(r.stem), r.stem)):
-        shorter = max((kept.get(row.stem[:n], 0.0) for n in range(SHORTEST, len(row.stem))), default=0.0)
+        shorter = max((kept.get(row.stem[:n], 0.0) for n in range(SHORTEST, min(len(row.stem), LONGEST + 1))), default=0.0)
         if row.odds >= shorter + BETTER:
             kept[row.stem] = row.odds
     return kept
@@ -181,8 +201,8 @@ def choose_exceptions(words: DataFrame, weights: dict[str, float]) -> list[str]:
     counted = words.filter(matched & (F.col("before") != "")).groupBy("before", "word").agg(
         F.count_distinct(F.when(F.col("toxic") == 0, F.col("doc_id"))).alias("clean"), F.sum("toxic").alias("toxic")
     )
-    rows = counted.filter("clean >= 2 AND toxic = 0").orderBy(F.desc("clean"), "before", "word").limit(EXCEPTIONS_SIZE)
-    return [f"{row.before} {row.word}" for row in rows.collect()]
+    rows = counted.filter("clean >= 2 AND toxic = 0").collect()
+    return sorted(f"{row.before} {row.word}" for row in rows)
 
 
 def fit_line(rows: np.ndarray, toxic: np.ndarray, prior: float) -> tuple[float, float, float]:
@@ -209,16 +229,24 @@ def train(docs: DataFrame, labels: DataFrame) -> Lexicon:
     lexicon = Lexicon(weights, choose_exceptions(words, weights))
     rows = [(lexicon.features(row.text), row.toxic) for row in sample.filter("calibrates").select("text", "toxic").toLocalIterator()]
     features = np.array([x for x, _ in rows]).reshape(-1, 2)
-    lexicon.line = fit_line(features, np.array([t for _, t in rows], float), 0.25)
+    lexicon.line = fit_line(features, np.array([t for _, t in rows], float), prior_of(labels))
     return lexicon
 
 
+def prior_of(labels: DataFrame) -> float:
+    """The share of toxic ones among the labels that may be learnt, of which one of each class is added."""
+    counts = {row.toxic: row["count"] for row in usable_labels(labels).groupBy("toxic").count().collect()}
+    return (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
+
+
 def score_toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """(doc_id, score, predicted) for every document.
 
     Null and empty texts match nothing and get the score of a text without matches. Equal
-    texts get equal scores. Without labelled documents the lexicon is empty and every score
-    is the same, below the limit.
+    texts get equal scores, repeated rows included; a score at the limit is predicted toxic.
+    Texts of any length are read whole, in time that grows with their length. Without labelled
+    documents the lexicon is empty and every score is the same, below the limit. An empty table
+    gives no rows. Other columns are not read, whatever their names.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(lexicon)
 
@@ -237,6 +265,9 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Train on the labels that are not held out and score every document."""
+    """Train on the labels that are not held out and score every document.
+
+    (doc_id, held_out, score, predicted); awkward rows are treated as in :func:`score_toxicity`.
+    """
     held_out = remainder(F.col("doc_id"), HELD_OUT_OF) == HELD_OUT_REST
     return score_toxicity(docs, train(docs, labels)).select("doc_id", held_out.alias("held_out"), "score", "predicted")
