@@ -37,6 +37,8 @@ THREADS = 2
 CHUNK_BYTES = 1 << 20
 #: Distinct words whose ids a task keeps at a time, and their characters.
 CACHE_WORDS, CACHE_CHARS = 300_000, 8_000_000
+#: New words that are checked as one line.
+LINE_WORDS = 64
 #: A word with the space marks that lead it.
 MARKED_WORD = re.compile(f"{SPACE_MARK}*[^{SPACE_MARK}]+|{SPACE_MARK}+")
 
@@ -93,17 +95,21 @@ class PieceModel:
         self.dummy_prefix = bool(normalizer.get(3, 1))
         self.squeeze_spaces = bool(normalizer.get(4, 1))
         self.escape_spaces = bool(normalizer.get(5, 1))
-        self._bytes: list[bytes] | None = None
+        self._spelling = None
         self.unk_id = next((i for i, p in enumerate(self.pieces) if p[2] == UNK), None)
 
-    def spelled(self, ids: list[int]) -> bytes:
+    def spelled(self, ids: np.ndarray) -> bytes:
         """What the pieces spell one after another, the space of the prefix included."""
-        if self._bytes is None:
-            self._bytes = [
-                bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(SPACE_MARK, " ").encode()
-                for p, _, kind in self.pieces
-            ]
-        return b"".join(map(self._bytes.__getitem__, ids))
+        starts, sizes, letters = self.spelling()
+        return letters[stretches(starts[ids], sizes[ids])].tobytes()
+
+    def spelling(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each piece's bytes begin, how many it has, and the bytes of all pieces."""
+        if self._spelling is None:
+            parts = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(SPACE_MARK, " ").encode() for p, _, kind in self.pieces]
+            sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+            self._spelling = np.cumsum(sizes) - sizes, sizes, np.frombuffer(b"".join(parts), np.uint8)
+        return self._spelling
 
     def merges(self) -> list[tuple[str, str]]:
         """Pairs of pieces that make a piece, best resulting score first."""
@@ -227,23 +233,16 @@ class Encoder:
     def _spelled_again(self, ids: np.ndarray, upto: np.ndarray, texts: list[str]) -> list[bool]:
         """Whether the ids of each text spell it: all texts of the batch in one go, and one by one if that fails."""
         wanted = [f" {text}".encode() if text else b"" for text in texts]
-        flat = ids.tolist()
-        if self.model.spelled(flat) == b"".join(wanted):
-            starts = [0, *upto.tolist()]
-            lengths = np.concatenate(([0], np.cumsum(self._spelled_sizes()[ids])))[starts]
+        if self.model.spelled(ids) == b"".join(wanted):
+            lengths = np.concatenate(([0], np.cumsum(self.model.spelling()[1][ids])))[[0, *upto.tolist()]]
             return (np.diff(lengths) == np.fromiter(map(len, wanted), np.int64, len(wanted))).tolist()
-        return [self.model.spelled(flat[a:b]) == w for a, b, w in zip([0, *upto.tolist()], upto.tolist(), wanted, strict=False)]
-
-    def _spelled_sizes(self) -> np.ndarray:
-        if not hasattr(self, "_sizes"):
-            self._sizes = np.array([len(self.model.spelled([i])) for i in range(len(self.model.pieces))])
-        return self._sizes
+        return [self.model.spelled(ids[a:b]) == w for a, b, w in zip([0, *upto.tolist()], upto.tolist(), wanted, strict=False)]
 
     def _learn(self) -> None:
         """Encode the new words as one line, cut its ids where words begin, and check them.
 
-        The line's ids must be those of sentencepiece, and the tokenizers decoder must give the line
-        and what the table of pieces says.
+        The ids must be those of sentencepiece, and the tokenizers decoder must give the words again
+        and what the table of pieces says, in lines of LINE_WORDS.
         """
         new, self.known.fresh = self.known.fresh, []
         if not new:
@@ -251,17 +250,23 @@ class Encoder:
         self.chars += sum(map(len, new))
         marked = [SPACE_MARK + word for word in new]
         ids, sizes = self._line(marked)
-        line, flat = "".join(marked).replace(SPACE_MARK, " ")[1:], ids.tolist()
-        agreed = self.other.encode(line) == flat
-        spelled = self._decoded(flat) == line and self.model.spelled(flat) == f" {line}".encode()
+        ends = np.cumsum(sizes)
+        lines, flat, at = [], ids.tolist(), [0]
+        for first in range(0, len(marked), LINE_WORDS):
+            lines.append("".join(marked[first : first + LINE_WORDS]).replace(SPACE_MARK, " ")[1:])
+            at.append(int(ends[min(first + LINE_WORDS, len(marked)) - 1]))
+        parts = [flat[a:b] for a, b in zip(at, at[1:], strict=False)]
+        agreed = self.other.encode(lines, num_threads=1) == parts
+        decoded = self.tokenizer.decode_batch(parts, skip_special_tokens=False) == lines
+        spelled = decoded and self.model.spelled(ids) == "".join(f" {line}" for line in lines).encode()
         bad = np.zeros((len(new), 2), bool)
         if not (spelled and agreed):  # find the words that differ, each after another word as in a text
-            ends, lead = np.cumsum(sizes), self.other.encode("a")
+            lead = self.other.encode("a")
             for i, word in enumerate(marked):
-                own = ids[ends[i] - sizes[i] : ends[i]].tolist()
+                own = ids[ends[i] - sizes[i] : ends[i]]
                 text = word.replace(SPACE_MARK, " ")
-                bad[i, 0] = self._decoded(own) != text[1:] or self.model.spelled(own) != text.encode()
-                bad[i, 1] = self.other.encode("a" + text) != lead + own
+                bad[i, 0] = self._decoded(own.tolist()) != text[1:] or self.model.spelled(own) != text.encode()
+                bad[i, 1] = self.other.encode("a" + text) != lead + own.tolist()
         self.bad = np.concatenate((self.bad, bad))
         used = int(self.starts[-1])
         while used + len(ids) > len(self.ids):
