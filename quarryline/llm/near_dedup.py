@@ -10,7 +10,8 @@ are linked. Three is odd, so half of it is taken in two steps:
   the differing bits lies in some block, so with it masked two remain, and the one-bit
   variants of the rest collide. These collisions are only candidates. Buckets whose members
   are in one component already are dropped before any pair is formed; pairs of the others
-  are verified with their whole fingerprints.
+  are verified with their whole fingerprints. Members of very full buckets emit their variants
+  at one and at two bits of all 64 instead, which links them without forming pairs.
 
 Only distinct fingerprints take part; copies cost one row.
 """
@@ -33,6 +34,8 @@ SHINGLE_WORDS = 3
 BLOCKS = ((0, 21), (21, 42), (42, 64))
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 16
+#: Members of a masked key that may form pairs.
+CROWD = 64
 #: Buckets with members of several components are broadcast up to this many keys.
 BROADCAST_KEYS = 100_000
 #: Variants that one task makes, about.
@@ -40,25 +43,34 @@ TASK_ROWS = 2_000_000
 HASH_SEED = 42
 
 
-def simhash(text: bytes, width: int) -> int:
-    """64-bit SimHash of a UTF-8 text: A-Z lowered, words between ASCII white space, repeats counted."""
-    words = text.lower().split()
+def words_of(text: bytes) -> list[bytes]:
+    """Words between ASCII white space with A-Z lowered."""
+    return text.lower().split()
+
+
+def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
+    """Hashes of all runs of ``width`` words in order; a shorter text is one shingle, a wordless one has none."""
     if not words:
-        return 0
-    digest, seed = xxhash.xxh64_intdigest, HASH_SEED
-    line = b" ".join(words)
-    if len(words) <= width:
-        return digest(line, seed)
+        return np.zeros(0, np.uint64)
+    digest, line = xxhash.xxh64_intdigest, b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = np.concatenate(([0], ends[:-width]))
-    stops = (ends[width - 1 :] - 1).tolist()
+    starts = np.concatenate(([0], ends[:-width])).tolist()
+    stops = (ends[width - 1 :] - 1).tolist() or [len(line)]
+    return np.fromiter((digest(line[a:b], HASH_SEED) for a, b in zip(starts, stops, strict=False)), np.uint64, len(stops))
+
+
+def set_bits(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     counts = np.zeros(64, np.int64)
-    starts = starts.tolist()
-    for at in range(0, len(stops), CHUNK):
-        some = [digest(line[a:b], seed) for a, b in zip(starts[at : at + CHUNK], stops[at : at + CHUNK], strict=True)]
-        octets = np.array(some, dtype="<u8").view(np.uint8).reshape(-1, 8)
+    for at in range(0, len(hashes), CHUNK):
+        octets = hashes[at : at + CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(stops), bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def simhash(text: bytes, width: int) -> int:
+    """64-bit SimHash of a UTF-8 text: A-Z lowered, words between ASCII white space, repeats counted."""
+    return set_bits(shingle_hashes(words_of(text), width))
 
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
@@ -119,22 +131,46 @@ def spread(prints: DataFrame, variants: int) -> DataFrame:
 
 
 def three_bit_links(labelled: DataFrame) -> DataFrame:
-    """Verified links (u, v) between the roots of fingerprints within the radius in different components."""
+    """Links (u, v) between the roots of fingerprints within the radius in different components.
+
+    Keys of CROWD fingerprints or fewer form their pairs, and whole fingerprints decide. Members of
+    fuller keys meet in the variants of all their bits instead, which makes no pairs.
+    """
     variants = masked_variants(spread(labelled, 64 * len(BLOCKS)))
     # nearly all keys are different: combining before the shuffle would only fill memory
     mixed = materialise(
         variants.select("key", "root")
         .repartition("key")
         .groupBy("key")
-        .agg(F.min("root").alias("low"), F.max("root").alias("high"))
+        .agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("held"))
         .filter("low <> high")
-        .select("key")
+        .select("key", (F.col("held") > CROWD).alias("crowded"))
     )
     members = materialise(variants.join(broadcast_within(mixed, BROADCAST_KEYS), "key"))
-    other = members.select("key", F.col("fp").alias("fp2"), F.col("root").alias("root2"))
+    few = members.filter("NOT crowded")
+    other = few.select("key", F.col("fp").alias("fp2"), F.col("root").alias("root2"))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= RADIUS
-    pairs = members.join(other, "key").filter((F.col("root") < F.col("root2")) & near)
-    return pairs.select(F.col("root2").alias("u"), F.col("root").alias("v")).distinct()
+    pairs = few.join(other, "key").filter((F.col("root") < F.col("root2")) & near)
+    paired = pairs.select(F.col("root2").alias("u"), F.col("root").alias("v"))
+    return paired.unionByName(crowded_links(members.filter("crowded").select("fp", "root").distinct())).distinct()
+
+
+def crowded_links(members: DataFrame) -> DataFrame:
+    """Links (u, v) of roots, whole for all pairs within the radius, with rows that grow with the members only.
+
+    Each emits its variants at one bit and at two. Whoever has a variant at two bits or fewer is three
+    from those that have it at one or fewer, so it is linked to the least root of these.
+    """
+    bit = lambda name: F.expr(f"shiftleft(1L, {name})")
+    one = members.select("fp", "root", F.explode(F.sequence(F.lit(-1), F.lit(63))).alias("i"))
+    flipped = F.when(F.col("i") < 0, F.col("fp")).otherwise(F.col("fp").bitwiseXOR(bit("i")))
+    one = one.select("fp", "root", "i", flipped.alias("variant"))
+    two = one.filter("i >= 0 AND i < 63").select("root", "variant", F.explode(F.sequence(F.col("i") + 1, F.lit(63))).alias("j"))
+    two = two.select("root", F.col("variant").bitwiseXOR(bit("j")).alias("variant"))
+    near = one.select("root", "variant")
+    least = near.groupBy("variant").agg(F.min("root").alias("least"))
+    met = near.unionByName(two).join(least, "variant").filter("root <> least")
+    return met.select(F.greatest("root", "least").alias("u"), F.least("root", "least").alias("v")).distinct()
 
 
 def near_groups(prints: DataFrame) -> DataFrame:
@@ -153,8 +189,9 @@ def near_dedup(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id.
 
     Texts without words, null ones included, have fingerprint zero and are linked like any
-    other. Repeated rows are equal and stay in the result. A null doc_id keeps its row; it
-    names a component only if no member has an id. No documents give no rows.
+    other; texts of any length are read whole. Repeated rows are equal and stay in the result. A
+    null doc_id keeps its row; it names a component only if no member has an id. No documents give
+    no rows. Other columns are not read, whatever their names.
     """
     printed = materialise(fingerprints(docs, width))
     groups = near_groups(materialise(printed.select("fp").distinct()))

@@ -1,14 +1,18 @@
 """Near copies by the similarity of whole texts: shared shingles of all shingles of either text.
 
-SimHash cannot find them at 0.8: such texts lie about ten of 64 bits apart. Here the least
-values of BANDS * ROWS permutations of a text's shingle hashes are cut into bands, and texts
-with an equal band are candidates; a pair at 0.8 shares none of them in 3 of a million cases.
-Every pair that counts is verified with the shingles of both whole texts:
+Ball hashing of SimHash fingerprints finds the closest of them, but texts at a similarity of
+0.8 lie about ten of 64 bits apart, where balls would hold everything. So texts meet in buckets
+of two kinds: the component of their fingerprint, and bands of least shingle hashes. The least
+values of BANDS * ROWS permutations are cut into bands; a pair at 0.8 shares none of them in 3
+of a million cases. Whatever meets is a candidate, and every pair that counts is verified with
+the shingles of both whole texts:
 
 * Each bucket's members are held against the one that meets most others, which joins large
   groups around their original without forming their pairs.
-* Buckets whose members are then in different groups form all pairs between groups. Texts in
-  great number a little less alike than asked make many of these; none is left out.
+* Buckets whose members are then in different groups form pairs between groups, each pair in the
+  first bucket it shares, if SKETCH_BITS one-bit sketches of both allow the similarity (a pair at
+  0.8 fails that in 3 of 100,000 cases). Texts in great number a little less alike than asked make
+  many of these; none is left out.
 """
 
 from __future__ import annotations
@@ -16,12 +20,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.llm.arrow import column_of, map_batches, texts_of
 from quarryline.llm.components import connected_components
-from quarryline.llm.near_dedup import HASH_SEED, keep_least
+from quarryline.llm.near_dedup import HASH_SEED, keep_least, near_groups, set_bits, shingle_hashes, words_of
 from quarryline.session import materialise
 
 SHINGLE_WORDS = 5
@@ -31,66 +35,74 @@ BANDS, ROWS = 32, 5
 CHUNK = 2048
 #: Pairs with one text that a task verifies, about.
 TASK_PAIRS = 2000
-FACTORS, OFFSETS = np.random.RandomState(HASH_SEED).randint(0, 1 << 64, (2, BANDS * ROWS, 1), dtype=np.uint64)
+#: Bits of a sketch, one for each of as many permutations, and standard deviations that a pair may be off.
+SKETCH_BITS, SLACK = 512, 4
+FACTORS, OFFSETS = np.random.RandomState(HASH_SEED).randint(0, 1 << 64, (2, SKETCH_BITS, 1), dtype=np.uint64)
 FACTORS = FACTORS | np.uint64(1)
 
 
-def words_of(text: bytes) -> list[bytes]:
-    """Words between ASCII white space with A-Z lowered, as in SimHash."""
-    return text.lower().split()
-
-
 def node_of(words: list[bytes]) -> int:
     return xxhash.xxh64_intdigest(b" ".join(words), HASH_SEED)
 
 
 def shingles_of(words: list[bytes], width: int) -> np.ndarray:
     """Distinct hashes of all runs of ``width`` words; a shorter text is one shingle."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    line = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = np.concatenate(([0], ends[:-width])).tolist()
-    stops = (ends[width - 1 :] - 1).tolist() or [len(line)]
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(line[a:b], HASH_SEED) for a, b in zip(starts, stops, strict=False)], np.uint64))
+    return np.unique(shingle_hashes(words, width))
+
+
+def least_hashes(shingles: np.ndarray, permutations: int) -> np.ndarray:
+    """The least value of each of the first permutations."""
+    least = np.full(permutations, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), CHUNK):
+        np.minimum(least, (shingles[at : at + CHUNK] * FACTORS[:permutations] + OFFSETS[:permutations]).min(axis=1), out=least)
+    return least
 
 
 def bands_of(shingles: np.ndarray) -> list[int]:
     """One hash for each band of least values."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), CHUNK):
-        np.minimum(least, (shingles[at : at + CHUNK] * FACTORS + OFFSETS).min(axis=1), out=least)
+    least = least_hashes(shingles, BANDS * ROWS)
     return [xxhash.xxh64_intdigest(least[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)]
 
 
+def sketch_of(shingles: np.ndarray) -> np.ndarray:
+    """One bit of each least value: two texts differ in half the share that they don't have in common."""
+    bits = (least_hashes(shingles, SKETCH_BITS) >> np.uint64(31) & np.uint64(1)).astype(np.uint8)
+    return np.packbits(bits, bitorder="little").view("<u8")
+
+
+def most_different(similarity: float) -> int:
+    """Sketch bits in which two texts of this similarity may differ."""
+    share = (1 - similarity) / 2
+    return int(SKETCH_BITS * share + SLACK * (SKETCH_BITS * share * (1 - share)) ** 0.5)
+
+
 def longs(values) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
 def printed(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, node, bands): texts with the same words in order have the same node."""
+    """(doc_id, node, fp, bands): texts with the same words in order have the same node."""
 
     def make():
         def step(batch):
-            nodes, bands = [], []
+            nodes, prints, bands = [], [], []
             for text in texts_of(batch):
                 words = words_of(text)
+                hashes = shingle_hashes(words, width)
                 nodes.append(node_of(words))
-                bands += bands_of(shingles_of(words, width))
-            return pa.RecordBatch.from_arrays(
-                [column_of(batch, "doc_id"), longs(nodes), pa.ListArray.from_arrays(np.arange(len(nodes) + 1, dtype=np.int32) * BANDS, longs(bands))],
-                names=["doc_id", "node", "bands"],
-            )
+                prints.append(set_bits(hashes))
+                bands += bands_of(np.unique(hashes))
+            lists = pa.ListArray.from_arrays(np.arange(len(nodes) + 1, dtype=np.int32) * BANDS, longs(bands))
+            return pa.RecordBatch.from_arrays([column_of(batch, "doc_id"), longs(nodes), longs(prints), lists], names=["doc_id", "node", "fp", "bands"])
 
         return step
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return map_batches(chosen, make, "doc_id long, node long, bands array<long>")
+    return map_batches(chosen, make, "doc_id long, node long, fp long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, shingles) of the texts whose node is asked for."""
+    """(node, shingles, sketch) of the texts whose node is asked for."""
 
     def named():
         def step(batch):
@@ -102,12 +114,15 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
         def step(batch):
             sets = [shingles_of(words_of(t), width) for t in texts_of(batch)]
             ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
-            return pa.RecordBatch.from_arrays([column_of(batch, "node"), pa.ListArray.from_arrays(ends, longs(np.concatenate(sets)))], names=["node", "shingles"])
+            sketches = np.concatenate([sketch_of(x) for x in sets])
+            places = np.arange(len(sets) + 1, dtype=np.int32) * (SKETCH_BITS // 64)
+            lists = [pa.ListArray.from_arrays(ends, longs(np.concatenate(sets))), pa.ListArray.from_arrays(places, longs(sketches))]
+            return pa.RecordBatch.from_arrays([column_of(batch, "node"), *lists], names=["node", "shingles", "sketch"])
 
         return step
 
     texts = map_batches(docs.select(F.col("text").cast("string").alias("text")), named, "node long, text string")
-    return map_batches(texts.join(nodes, "node", "left_semi").dropDuplicates(["node"]), cut, "node long, shingles array<long>")
+    return map_batches(texts.join(nodes, "node", "left_semi").dropDuplicates(["node"]), cut, "node long, shingles array<long>, sketch array<long>")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -130,20 +145,40 @@ def pair(u, v) -> list:
     return [F.greatest(u, v).alias("u"), F.least(u, v).alias("v")]
 
 
+def bucket_keys(prints: DataFrame) -> DataFrame:
+    """(node, keys): for each text the component of its fingerprint by ball hashing, then its bands."""
+    nodes = materialise(prints.select("node", "fp", "bands").dropDuplicates(["node"]))
+    balls = near_groups(materialise(nodes.select("fp").distinct())).select("fp", F.xxhash64("root").alias("ball"))
+    return materialise(nodes.join(balls, "fp").select("node", F.array_prepend("bands", F.col("ball")).alias("keys")))
+
+
+def first_shared(one: str, other: str) -> F.Column:
+    """The place of the first bucket that two texts share."""
+    return F.array_position(F.zip_with(one, other, lambda a, b: a == b), True)
+
+
 def similar_groups(nodes: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Distinct (node, bands) to (node, root); root is the least node of all that are linked."""
-    bucket = Window.partitionBy("key")
-    met = nodes.select("node", F.explode("bands").alias("key")).withColumn("n", F.count(F.lit(1)).over(bucket)).filter("n > 1")
-    met = materialise(met)
-    known = materialise(met.groupBy("node").agg(F.sum("n").alias("meets")))
+    """(node, keys) to (node, root); root is the least node of all that are linked."""
+    placed = nodes.select("node", F.posexplode("keys").alias("place", "key"))
+    shared = materialise(placed.groupBy("place", "key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"))
+    met = materialise(placed.join(shared, ["place", "key"]))
+    known = materialise(met.groupBy("node").agg(F.sum("held").alias("meets")))
     sets = materialise(shingle_sets(docs, known.select("node"), width))
-    led = met.join(known, "node").select("node", F.max(F.struct("meets", "node")).over(bucket)["node"].alias("v"))
+    met = materialise(met.drop("held").join(known, "node"))
+    leaders = materialise(met.groupBy("place", "key").agg(F.max(F.struct("meets", "node")).alias("leader")))
+    led = met.join(leaders, ["place", "key"]).select("node", F.col("leader.node").alias("v"))
     links = materialise(similar(led.filter("node <> v").select(*pair("node", "v")).distinct(), sets, similarity))
-    labelled = met.join(connected_components(links), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = labelled.withColumn("low", F.min("root").over(bucket)).withColumn("high", F.max("root").over(bucket)).filter("low <> high")
-    mixed = materialise(mixed.select("key", "node", "root"))
-    other = mixed.select("key", F.col("node").alias("v"), F.col("root").alias("v_root"))
-    rest = mixed.join(other, "key").filter("node > v AND root <> v_root").select(F.col("node").alias("u"), "v").distinct()
+    labelled = materialise(
+        met.join(connected_components(links), "node", "left").select("place", "key", "node", F.coalesce("root", "node").alias("root"))
+    )
+    mixed = labelled.groupBy("place", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    mixed = labelled.join(materialise(mixed.select("place", "key")), ["place", "key"])
+    mixed = materialise(mixed.join(nodes, "node").join(sets.select("node", "sketch"), "node"))
+    other = mixed.select("place", "key", *[F.col(c).alias(f"v_{c}") for c in ("node", "root", "keys", "sketch")])
+    differ = sum((F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("v_sketch")[i])) for i in range(1, SKETCH_BITS // 64)), F.bit_count(F.col("sketch")[0].bitwiseXOR(F.col("v_sketch")[0])))
+    new = (F.col("node") > F.col("v_node")) & (F.col("root") != F.col("v_root")) & (differ <= most_different(similarity))
+    rest = mixed.join(other, ["place", "key"]).filter(new & (first_shared("keys", "v_keys") == F.col("place") + 1))
+    rest = rest.select(F.col("node").alias("u"), F.col("v_node").alias("v"))
     last = connected_components(links.unionByName(similar(rest, sets, similarity)))
     return nodes.join(last, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
@@ -152,11 +187,12 @@ def drop_similar(docs: DataFrame, width: int = SHINGLE_WORDS, similarity: float
     """One document of each group of linked texts: the one with the smallest doc_id, with all its columns.
 
     Texts are linked if ``similarity`` or more of the distinct shingles of ``width`` words in
-    either are in both. Texts without words, null ones included, are equal. Ids and repeated
-    rows are treated as in :func:`quarryline.llm.near_dedup.drop_near_copies`.
+    either are in both. Texts without words, null ones included, are equal; texts of any length
+    are compared whole. Ids and repeated rows are treated as in
+    :func:`quarryline.llm.near_dedup.drop_near_copies`; an empty table stays empty.
     """
     prints = materialise(printed(docs, width))
-    groups = materialise(similar_groups(prints.select("node", "bands").dropDuplicates(["node"]), docs, width, similarity))
+    groups = materialise(similar_groups(bucket_keys(prints), docs, width, similarity))
     least = prints.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(groups, "node")
     smallest = least.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = groups.join(smallest, "root").select("node", "component_id")

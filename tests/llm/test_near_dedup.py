@@ -108,3 +108,37 @@ def test_one_of_each_group_stays(spark):
     kept = near_dedup.drop_near_copies(docs)
     assert kept.columns == docs.columns
     assert sorted(row.doc_id for row in kept.collect()) == [6, 8, 9]
+
+
+def test_crowded_keys_are_linked_without_pairs(spark):
+    random.seed(12)
+    base = random.getrandbits(64)
+    prints = {base}
+    for _ in range(150):  # within a block, so that all have a masked key in common
+        other = base
+        for bit in random.sample(range(21), random.randint(1, 6)):
+            other ^= 1 << bit
+        prints.add(other)
+    signed = sorted(near_dedup.signed(p) for p in prints)
+    rows = spark.createDataFrame([(p, p) for p in signed], "fp long, root long")
+    links = {(r.u, r.v) for r in near_dedup.crowded_links(rows).collect()}
+    near = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= near_dedup.RADIUS
+    assert all(near(a, b) for a, b in links)
+    groups = lambda pairs: grouped(signed, pairs)
+    assert groups(links) == groups([(a, b) for a in signed for b in signed if a < b and near(a, b)])
+    assert groups([(r.u, r.v) for r in near_dedup.three_bit_links(rows).collect()]) == groups(links)
+
+
+def grouped(nodes, pairs):
+    """The least node that each one reaches."""
+    least = {n: n for n in nodes}
+
+    def top(n):
+        while least[n] != n:
+            n = least[n]
+        return n
+
+    for a, b in pairs:
+        a, b = sorted((top(a), top(b)))
+        least[b] = a
+    return {n: top(n) for n in nodes}

@@ -13,7 +13,7 @@ import corpus_pipeline
 from quarryline.llm import language_id, piece_tokenizer, queries
 from quarryline.session import table
 from tests.compare import duck, sparks
-from tests.llm import test_exact_dedup, test_mixing, test_near_dedup
+from tests.llm import test_exact_dedup, test_mixing, test_near_dedup, test_similar_texts
 from tests.llm.helpers import SF, by_id
 
 
@@ -41,7 +41,7 @@ def test_pipeline_matches_brute_force(spark):
     told = by_id(language_id.identify(table_docs, language_id.train(table_docs)))
     kept = {i for i in docs if told[i].lang_pred != language_id.UNKNOWN and told[i].score >= 0.5}
     kept = {i for i, _, _, first, _ in test_exact_dedup.brute([(i, docs[i].text) for i in kept]) if first}
-    kept = {int(i) for i, _, component in test_near_dedup.brute([(i, docs[i].text) for i in kept]) if i == component}
+    kept = set(test_similar_texts.brute_kept([(i, docs[i].text) for i in kept]))
     times = Counter()
     for i, n, _, _, taken in test_mixing.brute([(i, docs[i].text, docs[i].source) for i in kept]):
         times[int(i)] += math.ceil(taken / n) if taken else 0
