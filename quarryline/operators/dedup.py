@@ -25,7 +25,7 @@ def greedy_two_key(rows: DataFrame, first: str, second: str, seq: str, newest: b
         marked = open_rows
         for key in ("k1", "k2"):
             least = open_rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("at").alias(f"least_{key}"))
-            marked = marked.join(least, key, "left")
+            marked = by_key(marked, least, key, "left")
         mine = F.col("at")
         wins = (mine == F.coalesce("least_k1", mine)) & (mine == F.coalesce("least_k2", mine))
         marked = materialise(marked.select("k1", "k2", "at", wins.alias("wins")))
@@ -34,7 +34,7 @@ def greedy_two_key(rows: DataFrame, first: str, second: str, seq: str, newest: b
         rest = marked.filter("NOT wins").select("k1", "k2", "at")
         for key in ("k1", "k2"):
             taken = winners.select(key).filter(F.col(key).isNotNull()).distinct()
-            rest = rest.join(taken, key, "left_anti").select("k1", "k2", "at")
+            rest = by_key(rest, taken, key, "left_anti").select("k1", "k2", "at")
         open_rows = materialise(rest)
     if kept is None:
         return rows.limit(0)
@@ -42,6 +42,12 @@ def greedy_two_key(rows: DataFrame, first: str, second: str, seq: str, newest: b
     return rows.join(kept_seq, F.col(seq).cast("long") == F.col("kept_seq"), "left_semi")
 
 
+def by_key(rows: DataFrame, other: DataFrame, key: str, how: str) -> DataFrame:
+    """A join whose rows without a key, which match nothing, stay where they are."""
+    joined = rows.filter(F.col(key).isNotNull()).join(other, key, how)
+    return joined.unionByName(rows.filter(F.col(key).isNull()), allowMissingColumns=True)
+
+
 def last_wins(rows: DataFrame, key: str, seq: str) -> DataFrame:
     """One row per key: the values of its last row, at the place (``first_seq``) of its first."""
     whole = F.struct(*[F.col(c) for c in rows.columns])

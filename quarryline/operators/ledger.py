@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarryline.operators.ordering import numbered
 from quarryline.session import materialise
 
-#: Rows of an id range that is numbered as one; see :func:`assign_ids`.
-ID_RANGES = 4096
-
 
 def high_water(*ids: DataFrame) -> DataFrame:
     """(hwm): the largest positive id in any of the given one-column tables; 0 if there is none."""
@@ -20,21 +18,9 @@ def high_water(*ids: DataFrame) -> DataFrame:
 
 
 def assign_ids(rows: DataFrame, seq: str, hwm: DataFrame) -> DataFrame:
-    """``rows`` with ``id``: consecutive numbers in ``seq`` order after the high-water mark.
-
-    Not one global window: rows are numbered within ranges of ``seq`` and each range starts
-    after the rows of those before it, counted beforehand. ``seq`` is a unique whole number.
-    """
-    edge = rows.agg(F.min(seq).alias("low"), F.max(seq).alias("high"))
-    width = F.greatest(F.lit(1), F.ceil((F.col("high") - F.col("low") + 1) / ID_RANGES)).cast("long")
-    edge = F.broadcast(edge.select("low", width.alias("width")))
-    ranged = rows.crossJoin(edge).withColumn("id_range", F.floor((F.col(seq) - F.col("low")) / F.col("width")))
-    counts = ranged.groupBy("id_range").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.orderBy("id_range").rowsBetween(Window.unboundedPreceding, -1))
-    starts = F.broadcast(counts.select("id_range", F.coalesce(before, F.lit(0)).alias("before")))
-    place = F.row_number().over(Window.partitionBy("id_range").orderBy(seq))
-    numbered = ranged.withColumn("place", place).join(starts, "id_range").crossJoin(F.broadcast(hwm))
-    return numbered.select(*rows.columns, (F.col("hwm") + F.col("before") + F.col("place")).alias("id"))
+    """``rows`` with ``id``: consecutive numbers in ``seq`` order after the high-water mark. ``seq`` is unique."""
+    placed = numbered(rows, seq, name="q_place").crossJoin(F.broadcast(hwm))
+    return placed.select(*rows.columns, (F.col("hwm") + F.col("q_place")).alias("id"))
 
 
 def unknown_only(rows: DataFrame, history: DataFrame, key: str) -> DataFrame:

@@ -62,17 +62,17 @@ def mail_window(applications: DataFrame) -> DataFrame:
 def score_links(messages: DataFrame, applications: DataFrame, noise=NOISE, platforms: tuple[str, ...] = ()) -> DataFrame:
     """(message_id, app_id, identity, score, why) for every pair with something that identifies it.
 
-    Pairs are never multiplied out. Company words and words of names, one row each, are joined
-    to the words of a message; so are title words; a compact company name of six letters and
-    more is found inside a text by its first six letters. What joins is scored.
+    Candidates are pairs with a company hit or two title hits, and no others are made. Company
+    words and words of names, one row each, are joined to the words of a message. A compact
+    company name of six letters and more is looked up by its first six among the narrow six-letter
+    pieces of a message; the text itself comes back for the few that match. Two title hits need
+    one among the title's words without its commonest, so that word makes no candidates.
     """
     said = F.concat_ws(" ", "subject", "snippet", "body")
     everything = F.concat_ws(" ", said, "from", sender_domain("from", platforms))
-    m = messages.select(
-        F.col("id").alias("message_id"), F.col("date").alias("sent"),
-        word_set(everything).alias("all_words"), word_set(said).alias("words"),
-        F.regexp_replace(fold(everything), "[^a-z0-9]+", "").alias("squeezed"),
-    )
+    squeezed = F.regexp_replace(fold(everything), "[^a-z0-9]+", "")
+    m = messages.select(F.col("id").alias("message_id"), F.col("date").alias("sent"), word_set(everything).alias("all_words"), word_set(said).alias("words"))
+    texts = messages.select(F.col("id").alias("message_id"), squeezed.alias("squeezed"))
     a = applications.select(
         F.col("id").alias("app_id"), F.col("ts").alias("applied"),
         F.array_distinct(name_tokens("company", noise)).alias("company_words"), compact_name("company", noise).alias("compact"),
@@ -83,22 +83,22 @@ def score_links(messages: DataFrame, applications: DataFrame, noise=NOISE, platf
     a = a.withColumn("names", F.when(short, F.array_union("company_words", F.array("compact"))).otherwise(F.col("company_words")))
     word = m.select("message_id", F.explode("all_words").alias("word"))
     by_name = a.select("app_id", F.explode("names").alias("word")).join(word, "word").select("message_id", "app_id")
-    spoken = m.select("message_id", F.explode("words").alias("word"))
-    title = a.select("app_id", F.posexplode("title_words").alias("at", "word"))
-    title_hits = title.join(spoken, "word").groupBy("message_id", "app_id").agg(F.count(F.lit(1)).alias("title_hits"))
     six = F.transform(
         F.when(F.length("squeezed") >= 6, F.sequence(F.lit(1), F.length("squeezed") - 5)).otherwise(F.array()),
         lambda i: F.substring("squeezed", i, F.lit(6)),
     )
-    begins = m.select("message_id", "squeezed", F.explode(F.array_distinct(six)).alias("six"))
+    begins = texts.select("message_id", F.explode(F.array_distinct(six)).alias("six"))
     long_names = a.filter(F.length("compact") >= 6).select("app_id", "compact", F.left("compact", F.lit(6)).alias("six"))
-    inside = begins.join(long_names, "six").filter(F.contains("squeezed", "compact")).select("message_id", "app_id")
+    maybe = begins.join(long_names, "six").select("message_id", "app_id", "compact")
+    inside = maybe.join(texts, "message_id").filter(F.contains("squeezed", "compact")).select("message_id", "app_id")
     company = by_name.unionByName(inside).distinct().withColumn("company_hit", F.lit(True))
-    pairs = company.join(title_hits, ["message_id", "app_id"], "full")
+    spoken = m.select("message_id", F.explode("words").alias("word"))
+    titled = two_hit_candidates(a.select("app_id", "title_words"), spoken)
     known = (
-        pairs.join(m.select("message_id", "sent", "words"), "message_id").join(a.select("app_id", "applied", "city"), "app_id")
+        company.join(titled, ["message_id", "app_id"], "full")
+        .join(m.select("message_id", "sent", "words"), "message_id").join(a.select("app_id", "applied", "city", "title_words"), "app_id")
         .withColumn("company_hit", F.coalesce("company_hit", F.lit(False)))
-        .withColumn("title_hits", F.coalesce("title_hits", F.lit(0)))
+        .withColumn("title_hits", F.size(F.filter("title_words", lambda w: F.array_contains("words", w))))
     )
     by_company = F.when(F.col("company_hit"), 10).otherwise(0)
     by_title = F.when(F.col("title_hits") >= 2, 3).when((F.col("title_hits") == 1) & F.col("company_hit"), 1).otherwise(0)
@@ -120,6 +120,19 @@ def score_links(messages: DataFrame, applications: DataFrame, noise=NOISE, platf
     )
 
 
+def two_hit_candidates(titles: DataFrame, spoken: DataFrame) -> DataFrame:
+    """(message_id, app_id) of titles (app_id, title_words) and messages that share a word which isn't the title's commonest.
+
+    A title of one word has none; a word that stands twice in a title counts as two.
+    """
+    words = titles.select("app_id", F.posexplode("title_words").alias("at", "word"))
+    often = spoken.join(words.select("word").distinct(), "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    ranked = words.join(often, "word")
+    place = F.row_number().over(Window.partitionBy("app_id").orderBy(F.desc("n"), "word", "at"))
+    rarer = ranked.withColumn("place", place).filter("place > 1").select("app_id", "word").distinct()
+    return rarer.join(spoken, "word").select("message_id", "app_id").distinct()
+
+
 def resolve_links(messages: DataFrame, scored: DataFrame, margin: int = 1) -> DataFrame:
     """(message_id, app_id, kind, outcome, score): one link per clear message, all candidates of a tie, or an orphan.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions.text import fold
+from quarryline.operators.ordering import numbered, walk
 from quarryline.operators.rules import Country
 
 NO_LOCATION, REMOTE, OTHER = "NO LOCATION", "REMOTE", "OTHER"
@@ -37,19 +38,27 @@ def group_of(location_heading: Column, hint: Column) -> Column:
 
 
 def group_order(rows: DataFrame, group: str, affinity: str, seq: str, order: tuple[str, ...]) -> DataFrame:
-    """Rows with their place: groups in the given order, the best affinity first, then as they came.
-
-    The numbering is within groups, after the rows of the groups before, so no task sorts all rows.
-    """
+    """Rows with their place: groups in the given order, the best affinity first, then as they came."""
     rank = F.array_position(F.array(*map(F.lit, order)), F.col(group)).cast("int")
-    ranked = rows.withColumn("q_rank", F.when(rank > 0, rank).otherwise(len(order) + 1))
-    sizes = ranked.groupBy("q_rank").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.orderBy("q_rank").rowsBetween(Window.unboundedPreceding, -1))
-    starts = F.broadcast(sizes.select("q_rank", F.coalesce(before, F.lit(0)).alias("q_before")))
-    inside = F.row_number().over(Window.partitionBy("q_rank").orderBy(F.desc(affinity), seq))
-    return ranked.withColumn("q_inside", inside).join(starts, "q_rank").select(
-        *rows.columns, (F.col("q_before") + F.col("q_inside")).alias("place")
-    )
+    return numbered(rows, F.when(rank > 0, rank).otherwise(len(order) + 1), F.desc(affinity), F.col(seq))
+
+
+def pack_rows(rows: DataFrame, key: str, order: tuple[str, ...], size: str, budget: int) -> DataFrame:
+    """``rows`` with ``page``: for each key, items in order go on a page as long as they fit; a larger one stands alone."""
+
+    def start():
+        page, used = 1, 0
+
+        def put(row):
+            nonlocal page, used
+            if used and used + row[size] > budget:
+                page, used = page + 1, 0
+            used += row[size]
+            return page
+
+        return put
+
+    return walk(rows, key, order, start, "page", "long")
 
 
 def pack_pages(sizes: Column, budget: int) -> Column:

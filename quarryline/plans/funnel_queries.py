@@ -114,10 +114,10 @@ def null_key_exempt(spark, sf_dir):
     return ledger.unknown_only(orders, known, "c_custkey").select("o_orderkey")
 
 
-@query("assigned_ids", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) + (SELECT max(c_custkey) FROM customer) AS id FROM orders WHERE o_orderstatus = 'F'")
+@query("assigned_ids", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) + (SELECT max(c_custkey) FROM customer) AS id FROM orders")
 def assigned_ids(spark, sf_dir):
     hwm = ledger.high_water(table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "supplier").select("s_suppkey"))
-    rows = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey")
     return ledger.assign_ids(rows, "o_orderkey", hwm)
 
 
@@ -140,26 +140,27 @@ def mail_kinds(spark, sf_dir):
 
 
 def link_tables(spark, sf_dir):
-    """First turns as messages, and customers named after words as applications."""
-    turns = table(spark, sf_dir, "conversations").filter("turn <= 1")
+    """Turns as messages, and conversations as applications named after words of their first turn."""
+    turns = table(spark, sf_dir, "conversations")
     messages = turns.select(
-        (F.col("conv_id") * 2 + F.col("turn")).alias("id"), F.lit("").alias("subject"), F.lit("").alias("snippet"), F.col("text").alias("body"),
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.lit("").alias("subject"), F.lit("").alias("snippet"), F.col("text").alias("body"),
         F.lit("").alias("from"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("conv_id") * 86_400).alias("date"),
-        F.when(F.col("turn") == 0, "acknowledged").otherwise("bounced").alias("kind"),
+        F.when(F.col("role") == "user", "acknowledged").otherwise("bounced").alias("kind"),
     )
     words = F.filter(F.split(text.fold("text"), "[^a-z0-9]+"), lambda w: F.length(w) > 3)
-    named = turns.filter("turn = 0 AND conv_id % 4 = 0").select("conv_id", words.alias("w")).filter("size(w) > 6")
+    named = turns.filter("turn = 0").select("conv_id", words.alias("w"))
+    word = lambda i: F.get("w", F.lit(i))
     applications = named.select(
-        F.col("conv_id").alias("id"), F.element_at("w", 1).alias("company"), F.concat_ws(" ", F.element_at("w", 2), F.element_at("w", 3)).alias("title"),
-        F.element_at("w", 5).alias("location"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("conv_id") * 86_000).alias("ts"),
+        F.col("conv_id").alias("id"), word(0).alias("company"), F.concat_ws(" ", word(1), word(2)).alias("title"),
+        word(4).alias("location"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("conv_id") * 86_000).alias("ts"),
     )
     return messages, applications
 
 
-D_LINKS = r"""WITH t AS (SELECT conv_id, turn, text, list_filter(regexp_split_to_array(lower(strip_accents(text)), '[^a-z0-9]+'), lambda w: length(w) > 3) AS w FROM conversations WHERE turn <= 1),
-m AS (SELECT conv_id * 2 + turn AS message_id, CASE WHEN turn = 0 THEN 'acknowledged' ELSE 'bounced' END AS kind, list_filter(regexp_split_to_array(lower(strip_accents(text)), '[^\p{L}\p{Nd}]+'), lambda x: x <> '') AS words,
+D_LINKS = r"""WITH t AS (SELECT conv_id, turn, role, text, list_filter(regexp_split_to_array(lower(strip_accents(text)), '[^a-z0-9]+'), lambda w: length(w) > 3) AS w FROM conversations),
+m AS (SELECT conv_id * 1000 + turn AS message_id, CASE WHEN role = 'user' THEN 'acknowledged' ELSE 'bounced' END AS kind, list_filter(regexp_split_to_array(lower(strip_accents(text)), '[^\p{L}\p{Nd}]+'), lambda x: x <> '') AS words,
   regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', '', 'g') AS squeezed, 1700000000 + conv_id * 86400 AS sent FROM t),
-a AS (SELECT conv_id AS app_id, w[1] AS company, w[2] AS t1, w[3] AS t2, w[5] AS city, 1700000000 + conv_id * 86000 AS applied FROM t WHERE turn = 0 AND conv_id % 4 = 0 AND len(w) > 6),
+a AS (SELECT conv_id AS app_id, coalesce(w[1], '') AS company, coalesce(w[2], '') AS t1, coalesce(w[3], '') AS t2, coalesce(w[5], '') AS city, 1700000000 + conv_id * 86000 AS applied FROM t WHERE turn = 0),
 s AS (SELECT message_id, kind, app_id, CASE WHEN list_contains(words, company) OR (length(company) >= 6 AND contains(squeezed, company)) THEN 10 ELSE 0 END AS c,
   list_contains(words, t1)::INT + list_contains(words, t2)::INT AS h, (sent - applied) / 86400.0 AS days, list_contains(words, city) AS city FROM m, a),
 i AS (SELECT *, c + CASE WHEN h >= 2 THEN 3 WHEN h = 1 AND c > 0 THEN 1 ELSE 0 END AS identity FROM s),
@@ -185,15 +186,15 @@ KINDS = {"signup": "acknowledged", "purchase": "interview", "error": "rejected",
 
 
 def app_tables(spark, sf_dir):
-    """Users as applications, some of their events as messages."""
-    events = table(spark, sf_dir, "events").filter("event_id % 40 = 0")
+    """Users as applications, and their events of the kinds that a message can be as messages."""
+    events = table(spark, sf_dir, "events")
     kind = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])[F.col("event_type")]
     linked = events.select(F.col("user_id").alias("app_id"), kind.alias("kind"), F.col("ts").cast("timestamp").alias("at")).filter("kind IS NOT NULL")
     apps = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg(F.min("ts").cast("timestamp").alias("ts"))
     return apps.withColumn("longshot", F.col("id") % 5 == 0), linked
 
 
-D_STATES = f"""WITH e AS (SELECT user_id, ts, CASE event_type WHEN 'signup' THEN 'acknowledged' WHEN 'purchase' THEN 'interview' WHEN 'error' THEN 'rejected' WHEN 'view' THEN 'bounced' END AS kind FROM events WHERE event_id % 40 = 0),
+D_STATES = f"""WITH e AS (SELECT user_id, ts, CASE event_type WHEN 'signup' THEN 'acknowledged' WHEN 'purchase' THEN 'interview' WHEN 'error' THEN 'rejected' WHEN 'view' THEN 'bounced' END AS kind FROM events),
 a AS (SELECT user_id AS id, min(ts) AS ts FROM events GROUP BY user_id),
 g AS (SELECT user_id, bool_or(kind = 'bounced') AS b, bool_or(kind <> 'bounced') AS r, bool_or(kind = 'rejected') AS x, bool_or(kind = 'interview') AS i, max(ts) AS last_at, count(*) AS n FROM e WHERE kind IS NOT NULL GROUP BY user_id),
 s AS (SELECT id, CASE WHEN b AND NOT r THEN 'bounced' WHEN x THEN 'rejected' WHEN i THEN 'interview' WHEN r THEN 'acknowledged' ELSE 'noreply' END AS state, floor((epoch_ms(TIMESTAMP '{TODAY}') - epoch_ms(coalesce(last_at, ts))) / 86400000.0) AS silent,
@@ -216,10 +217,11 @@ def application_tallies(spark, sf_dir):
     return mail.tallies(states(spark, sf_dir))
 
 
-@query("verdict_overlay", D_STATES + """, v AS (SELECT user_id, arg_max(event_type, event_id) AS st FROM events WHERE event_id % 90 = 0 GROUP BY user_id)
+@query("verdict_overlay", D_STATES + """, v AS (SELECT user_id, arg_max(event_type, event_id) AS st FROM events WHERE event_type = 'click' GROUP BY user_id)
  SELECT id, coalesce(st, state) AS state, st IS NOT NULL AS decided_by_user FROM f LEFT JOIN v ON id = user_id""")
 def verdict_overlay(spark, sf_dir):
-    verdicts = table(spark, sf_dir, "events").filter("event_id % 90 = 0").select(
+    # clicks are no messages: they stand for what a user decides
+    verdicts = table(spark, sf_dir, "events").filter("event_type = 'click'").select(
         F.col("user_id").alias("id"), F.col("event_type").alias("state"), F.lit("").alias("reason"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq")
     )
     return mail.overlay_verdicts(states(spark, sf_dir), verdicts).select("id", "state", "decided_by_user")
@@ -292,7 +294,7 @@ def stores(spark, sf_dir):
         F.min(title).alias("title"), F.lit("old").alias("why"), F.lit("rule").alias("bucket"), F.count(F.lit(1)).alias("n"),
         F.to_date(F.min("ts")).alias("first"), F.to_date(F.max("ts")).alias("last"),
     )
-    drops = events.filter("event_id % 2 = 1 AND user_id % 3 > 0").select(
+    drops = events.filter("event_id % 2 = 1").select(
         title.alias("title"), F.concat(F.lit("reason "), F.col("event_id").cast("string")).alias("why"),
         F.when(F.col("value") > 5, "no-field").otherwise("rule").alias("bucket"), F.col("event_id").alias("seq"),
     )
@@ -301,27 +303,27 @@ def stores(spark, sf_dir):
 
 D_STORE = """WITH e AS (SELECT *, upper(event_type[1]) || event_type[2:] || '  user ' || user_id AS title, lower(event_type || ' user ' || user_id) AS key FROM events),
 o AS (SELECT key, -1 AS seq, min(title) AS title, 'old' AS why, 'rule' AS bucket, count(*) AS n, min(ts)::DATE AS first, max(ts)::DATE AS last FROM e WHERE event_id % 2 = 0 GROUP BY key),
-d AS (SELECT key, event_id, title, 'reason ' || event_id, CASE WHEN value > 5 THEN 'no-field' ELSE 'rule' END, 1, DATE '2024-03-25', DATE '2024-03-25' FROM e WHERE event_id % 2 = 1 AND user_id % 3 > 0),
+d AS (SELECT key, event_id, title, 'reason ' || event_id, CASE WHEN value > 5 THEN 'no-field' ELSE 'rule' END, 1, DATE '2024-03-25', DATE '2024-03-25' FROM e WHERE event_id % 2 = 1),
 m AS (SELECT key, arg_min(title, seq) AS title, arg_max(why, seq) AS why, arg_max(bucket, seq) AS bucket, sum(n)::BIGINT AS n, arg_min(first, seq) AS first, arg_max(last, seq) AS last FROM (FROM o UNION ALL FROM d) GROUP BY key),
-k AS (SELECT * FROM m WHERE last >= DATE '2024-01-25' ORDER BY n DESC, last DESC, key LIMIT 400)"""
+k AS (SELECT * FROM m WHERE last >= DATE '2024-01-25' ORDER BY n DESC, last DESC, key LIMIT 20000)"""
 
 
 @query("recurrence_store", D_STORE + " SELECT * FROM k")
 def recurrence_store(spark, sf_dir):
-    return discover.merge_drops(*stores(spark, sf_dir), F.lit("2024-03-25").cast("date"), most=400)
+    return discover.merge_drops(*stores(spark, sf_dir), F.lit("2024-03-25").cast("date"))
 
 
 @query("top_recurring", D_STORE + " SELECT key, n FROM k WHERE bucket = 'no-field' AND n >= 2 ORDER BY n DESC, title, key LIMIT 12")
 def top_recurring(spark, sf_dir):
-    return discover.top_recurring(discover.merge_drops(*stores(spark, sf_dir), F.lit("2024-03-25").cast("date"), most=400)).select("key", "n")
+    return discover.top_recurring(discover.merge_drops(*stores(spark, sf_dir), F.lit("2024-03-25").cast("date"))).select("key", "n")
 
 
-@query("candidate_terms", """WITH w AS (SELECT p_name AS t, string_split(p_name, ' ') AS w FROM part WHERE p_partkey % 2 = 0),
+@query("candidate_terms", """WITH w AS (SELECT p_name AS t, string_split(p_name, ' ') AS w FROM part),
  x AS (SELECT t, unnest(list_concat(list_filter(w, lambda x: length(x) >= 3), CASE WHEN len(list_filter(w, lambda x: length(x) >= 3)) > 1 THEN [w[1] || ' ' || w[2]] ELSE [] END)) AS term FROM w)
  SELECT term, count(*) AS n, count(DISTINCT t) AS titles FROM x WHERE term NOT IN ('anvil', 'red') GROUP BY term""")
 def candidate_terms(spark, sf_dir):
     known = spark.createDataFrame([("Anvil",), ("red",)], "term string")
-    return discover.candidate_terms(table(spark, sf_dir, "part").filter("p_partkey % 2 = 0"), "p_name", known)
+    return discover.candidate_terms(table(spark, sf_dir, "part"), "p_name", known)
 
 
 @query("occupation_scores", """SELECT l_suppkey AS uri, sum(CASE WHEN essential THEN 2 ELSE 1 END)::BIGINT AS score, count(*) AS terms
@@ -338,11 +340,11 @@ TERMS = ["ring", "bolt", "gizmo", "hot", "zinc"]
 
 
 @query("term_records", """SELECT term, (SELECT count(*) FROM part WHERE contains(p_name, term) AND p_partkey % 3 = 0 AND p_size > 20) AS rejected, (SELECT count(*) FROM part WHERE contains(p_name, term) AND p_partkey % 3 = 0 AND p_size <= 20) AS already_fixed,
- (SELECT count(*) FROM part WHERE contains(p_name, term) AND p_partkey % 3 = 1 AND p_size > 10) AS applied, (SELECT count(*) FROM part WHERE contains(p_name, term) AND p_partkey % 3 = 1 AND p_size <= 10) AS longshots
+ (SELECT count(*) FROM part WHERE contains(p_name, term) AND p_partkey % 3 > 0 AND p_size > 10) AS applied, (SELECT count(*) FROM part WHERE contains(p_name, term) AND p_partkey % 3 > 0 AND p_size <= 10) AS longshots
  FROM (VALUES ('ring'), ('bolt'), ('gizmo'), ('hot'), ('zinc')) t(term)""")
 def term_records(spark, sf_dir):
     part = table(spark, sf_dir, "part").select(F.col("p_name").alias("title"), "p_partkey", "p_size")
-    applied = part.filter("p_partkey % 3 = 1").withColumn("longshot", F.col("p_size") <= 10)
+    applied = part.filter("p_partkey % 3 > 0").withColumn("longshot", F.col("p_size") <= 10)
     return discover.term_records(TERMS, part.filter("p_partkey % 3 = 0"), applied, F.col("p_size") > 20)
 
 
@@ -374,14 +376,13 @@ def group_order(spark, sf_dir):
     return present.group_order(rows, "r_name", "affinity", "c_custkey", ORDER).select("c_custkey", "place")
 
 
-@query("packed_pages", """WITH RECURSIVE i AS (SELECT o_custkey, length(o_orderpriority) * 10 AS size, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders WHERE o_custkey < 200),
- p(o_custkey, k, page, used) AS (SELECT o_custkey, k, 1, size FROM i WHERE k = 1 UNION ALL SELECT i.o_custkey, i.k, CASE WHEN p.used + size <= 200 THEN page ELSE page + 1 END, CASE WHEN p.used + size <= 200 THEN p.used + size ELSE size END FROM p JOIN i ON i.o_custkey = p.o_custkey AND i.k = p.k + 1)
- SELECT o_custkey, max(page) AS pages, array_to_string(list(page ORDER BY k), ',') AS layout FROM p GROUP BY o_custkey""")
+@query("packed_pages", """WITH RECURSIVE i AS (SELECT o_custkey, o_orderkey, length(o_orderpriority) * 10 AS size, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders),
+ p(o_custkey, o_orderkey, k, page, used) AS (SELECT o_custkey, o_orderkey, k, 1, size FROM i WHERE k = 1
+  UNION ALL SELECT i.o_custkey, i.o_orderkey, i.k, CASE WHEN p.used + size <= 200 THEN page ELSE page + 1 END, CASE WHEN p.used + size <= 200 THEN p.used + size ELSE size END FROM p JOIN i ON i.o_custkey = p.o_custkey AND i.k = p.k + 1)
+ SELECT o_custkey, o_orderkey, page FROM p""")
 def packed_pages(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").filter("o_custkey < 200")
-    listed = orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", (F.length("o_orderpriority") * 10).alias("size")))).alias("items"))
-    pages = present.pack_pages(F.transform("items", lambda x: x["size"]), 200)
-    return listed.select("o_custkey", F.array_max(pages).alias("pages"), F.array_join(pages.cast("array<string>"), ",").alias("layout"))
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (F.length("o_orderpriority") * 10).alias("size"))
+    return present.pack_rows(orders, "o_custkey", ("o_orderkey",), "size", 200).select("o_custkey", "o_orderkey", "page")
 
 
 @query("budget_prefix", "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, sum(length(o_orderpriority)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS used FROM orders) WHERE used <= 40")
@@ -390,20 +391,19 @@ def budget_prefix(spark, sf_dir):
     return present.within_budget(rows, "size", 40, F.col("o_orderkey"), by=("o_custkey",)).select("o_custkey", "o_orderkey")
 
 
-@query("source_caps", "SELECT doc_id, place, source_offers FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place, count(*) OVER (PARTITION BY source) AS source_offers FROM documents) WHERE place <= 30")
+@query("source_caps", "SELECT doc_id, place, source_offers FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place, count(*) OVER (PARTITION BY source) AS source_offers FROM documents) WHERE place <= 3000")
 def source_caps(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return admission.cap_per_source(rows, "source", "doc_id", most=30).select("doc_id", "place", "source_offers")
+    return admission.cap_per_source(rows, "source", "doc_id").select("doc_id", "place", "source_offers")
 
 
 @query("cadence_gates", """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
  g(user_id, k, prev, n) AS (SELECT user_id, k, t, 1 FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.k, CASE WHEN t - prev >= 86400000 THEN t ELSE prev END, n + (t - prev >= 86400000)::INT FROM g JOIN e ON e.user_id = g.user_id AND e.k = g.k + 1)
  SELECT user_id, max(n) AS runs, max(prev) AS last_run FROM g GROUP BY user_id""")
 def cadence_gates(spark, sf_dir):
-    events = table(spark, sf_dir, "events").select("user_id", F.struct(F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), "event_id").alias("e"))
-    listed = events.groupBy("user_id").agg(F.array_sort(F.collect_list("e")).alias("es"))
-    ran = twins.cadence_gate(F.transform("es", lambda e: e["at"]), 86_400_000)
-    return listed.select("user_id", F.size(ran).alias("runs"), F.element_at(ran, -1).alias("last_run"))
+    events = table(spark, sf_dir, "events").select("user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), "event_id")
+    ran = twins.cadence_runs(events, "user_id", ("at", "event_id"), "at", 86_400_000).filter("ran")
+    return ran.groupBy("user_id").agg(F.count(F.lit(1)).alias("runs"), F.max("at").alias("last_run"))
 
 
 @query("unseen_flags", "SELECT doc_id AS id, doc_id NOT IN (SELECT doc_id FROM labels) AS is_new FROM documents")

@@ -120,9 +120,9 @@ def locations(spark, sf_dir):
 @query("salaries", """SELECT c_custkey, CASE WHEN greatest(lo, hi) < 10000 THEN '' ELSE CASE WHEN c_nationkey = 1 THEN '~' ELSE '' END || '€' ||
  CASE WHEN least(lo, hi) > 0 AND floor(least(lo, hi) / 1000 + 0.5) <> floor(greatest(lo, hi) / 1000 + 0.5)
  THEN (floor(least(lo, hi) / 1000 + 0.5))::BIGINT || '-' || (floor(greatest(lo, hi) / 1000 + 0.5))::BIGINT || 'k' ELSE (floor(CASE WHEN hi > 0 THEN greatest(hi, CASE WHEN lo > 0 THEN lo ELSE 0 END) ELSE lo END / 1000 + 0.5))::BIGINT || 'k' END END AS salary
- FROM (SELECT c_custkey, c_nationkey, c_acctbal * 10 AS lo, CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE 50000.0 END AS hi FROM customer WHERE c_acctbal > 0)""")
+ FROM (SELECT c_custkey, c_nationkey, c_acctbal * 10 AS lo, CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE 50000.0 END AS hi FROM customer)""")
 def salaries(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer").filter("c_acctbal > 0")
+    rows = table(spark, sf_dir, "customer")
     high = F.when(F.col("c_custkey") % 3 == 0, 0.0).otherwise(50000.0)
     return rows.select("c_custkey", text.salary_text(F.col("c_acctbal") * 10, high, F.col("c_nationkey") == 1, F.lit("€")).alias("salary"))
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quarryline.operators.ordering import walk
+
 COMMANDS = (
     ("seen", r"^seen((?:\s+#?\d+)+)\s*$"),
     ("applied", r"^applied\s+#?(\d+)\s*$"),
@@ -120,6 +122,24 @@ def cadence_gate(runs: Column, every_ms: int) -> Column:
     return F.aggregate(runs, start, step, lambda s: s["ran"])
 
 
+def cadence_runs(wanted: DataFrame, key: str, order: tuple[str, ...], at: str, every_ms: int) -> DataFrame:
+    """``wanted`` with ``ran``: for each key, whether the gate lets the run through; the rule of :func:`cadence_gate`."""
+
+    def start():
+        last = None
+
+        def passes(row):
+            nonlocal last
+            if last is None or row[at] < last or row[at] - last >= every_ms:
+                last = row[at]
+                return True
+            return False
+
+        return passes
+
+    return walk(wanted, key, order, start, "ran", "boolean")
+
+
 def cooled_down(now: Column, refused_at: Column, cooldown_ms: int) -> Column:
     """A refusal rests a source for ``cooldown_ms``; one that lies in the future does not count."""
     return refused_at.isNull() | (refused_at > now) | (now - refused_at >= cooldown_ms)

@@ -23,6 +23,11 @@ def test_matches_sql(spark, name):
     assert found[1], "an empty comparison proves nothing"
 
 
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+def test_runs_on_the_largest_tables(spark, name):
+    catalog.QUERIES[name](spark, "/root/testdata/sf0.1").write.format("noop").mode("overwrite").save()
+
+
 def test_entry(spark):
     import __spark_entry__
 
