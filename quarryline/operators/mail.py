@@ -5,23 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarryline.functions.phrases import (
+    ACKNOWLEDGED,
+    ADVICE,
+    ALERT,
+    ALERT_DECLARED,
+    AUTOMATED,
+    BOUNCED,
+    CONDITIONAL,
+    INTERVIEW,
+    REJECTED,
+)
+from quarryline.functions.phrases import NAME_NOISE as NOISE
 from quarryline.functions.scalars import floor_days
 from quarryline.functions.text import compact_name, fold, name_tokens, sender_domain, word_set
 
-# fixed values: phrases of each kind of message, in folded text
-BOUNCED = r"undelivered mail returned|address not found|recipient address rejected|user unknown|no such user|mailbox (?:is )?(?:unavailable|full)"
-ALERT_DECLARED = r"job alert|new jobs|jobs for you|recommended for you|we found [0-9]"
-REJECTED = r"unfortunately|we regret|regret to inform|other candidates|another candidate|unsuccessful|not (?:be )?(?:moving|proceeding|selected)|no longer under consideration|lamentamos|helaas|leider|absage"
-INTERVIEW = r"interview|entrevista|vorstellungsgesprach|schedule a (?:call|chat|meeting)|invite you (?:to|for) an? (?:call|chat|meeting)|would like to (?:speak|talk|meet)"
-CONDITIONAL = r"whether|in case|if (?:we|your|you are|selected|shortlisted)|when (?:selected|shortlisted)|should (?:we|your)|falls |si (?:tu|su) "
-ADVICE = r"(?:^|[^a-z])(?:tips|how to|guides?|prepare for|webinars?|blogs?|articles?|newsletters?)(?:[^a-z]|$)"
-ACKNOWLEDGED = r"(?:we have|we've) received|thank(?:s| you) (?:very much )?for (?:your )?(?:applying|application|interest)|application (?:has been )?received|received your application|reviewing your application"
-ALERT = rf"{ALERT_DECLARED}|apply now|unsubscribe"
-AUTOMATED = r"(?:no-?reply|do-?not-?reply|careers?|recruit|talent|jobs?|hiring|apply)@"
-NOISE = (
-    "group", "engineering", "engineer", "recruitment", "solutions", "services", "technologies", "international", "consulting",
-    "company", "global", "people", "talent", "jobs", "junior", "senior", "the", "and", "sa", "sl", "bv", "nv", "gmbh", "ag", "ltd", "inc",
-)
 LAG_DAYS, GHOSTED_DAYS = 2, 60
 FACES = ("acknowledged", "interview", "rejected")
 
