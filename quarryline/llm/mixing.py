@@ -1,10 +1,11 @@
 """Mixing sources to target weights by hash order and distributed prefix sums.
 
-Every document gets a hash-random key. Within a source the keys are range-partitioned by
-their leading digits (the keys are uniform, so the bounds are known beforehand and a hot
-source spreads over all ranges). Token counts are summed per range, a prefix sum over the
-ranges finds the one in which the budget ends, and only that range is sorted and summed row
-by row to cut at the exact word. Whole epochs come before the cut.
+Every document gets a hash-random key of its id and text. Within a source the keys are
+range-partitioned by their leading digits (the keys are uniform, so the bounds are known
+beforehand and a hot source spreads over all ranges). Token counts are summed per range, a
+prefix sum over the ranges finds the one in which the budget ends, and the keys of that range
+alone are sorted and summed to find the key at which the exact word is cut. Whole documents are
+then compared with that key where they are. Whole epochs come before the cut.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 #: No source gives more than this many times its own words.
 MAX_EPOCHS = 3
-#: Leading hex digits of the key that name a range: 16 ** 3 ranges a source.
+#: Leading hex digits of the key that name a range: 16 ** 3 ranges a source, and as many within the one that is cut.
 RANGE_DIGITS = 3
 #: The plan has one row per source; up to this many rows it is broadcast.
 BROADCAST_SOURCES = 20_000
@@ -30,9 +31,9 @@ def word_count(text) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def order_key(doc_id, seed: int) -> F.Column:
-    """Hash-random, the same on every run."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def order_key(doc_id, text, seed: int) -> F.Column:
+    """Hash-random, the same on every run, different for rows that differ in id or text."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit(""))))
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -66,74 +67,84 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOC
     return levels.withColumn("level", level).select("source", "source_size", target.alias("target"))
 
 
+def budgets(sizes: DataFrame, weights, max_epochs: int) -> DataFrame:
+    """(source, source_size, target, epochs, rest): whole epochs, and the words to take in the last one."""
+    target = F.floor("target").cast("long")
+    whole = F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(F.lit(0).cast("long"))
+    found = source_targets(sizes, weights, max_epochs).withColumn("epochs", whole)
+    return found.withColumn("rest", target - F.col("epochs") * F.col("source_size"))
+
+
+def cut_of(ranges: DataFrame, plan: DataFrame) -> DataFrame:
+    """``plan`` (source, rest, start, ...) with the first of (source, part, words) at which the rest ends.
+
+    ``start`` are the words before the first part; ``part`` and the new ``start`` are null for a
+    source that needs none.
+    """
+    so_far = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    prefix = ranges.withColumn("upto", F.sum("words").over(so_far)).withColumnRenamed("source", "r_source")
+    mine = plan.join(prefix, F.col("source").eqNullSafe(F.col("r_source")), "left")
+    ends = F.when(F.col("rest") < F.col("start") + F.col("upto"), F.struct("part", (F.col("start") + F.col("upto") - F.col("words")).alias("before")))
+    kept = [F.first(c).alias(c) for c in plan.columns if c not in ("source", "start")]
+    found = mine.groupBy("source").agg(*kept, F.min(ends).alias("cut"))
+    return found.withColumns({"part": F.col("cut.part"), "start": F.col("cut.before")}).drop("cut")
+
+
 def mixing_plan(docs: DataFrame, seed: int = 0, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """One row per source: size, target, whole epochs, and the range in which the rest ends."""
-    ranges = materialise(
-        docs.select(
-            "source",
-            F.substring(order_key(F.col("doc_id"), seed), 1, RANGE_DIGITS).alias("key_range"),
-            word_count(F.col("text")).alias("size"),
-        )
-        .groupBy("source", "key_range")
-        .agg(F.sum("size").alias("words"))
-    )
+    """One row per source: source_size, target, epochs, rest, the key at which the rest ends and the words before it.
+
+    A source that is used in whole epochs only has a null key.
+    """
+    keys = docs.select("source", order_key(F.col("doc_id"), F.col("text"), seed).alias("key"), word_count(F.col("text")).alias("words"))
+    digits = lambda n: F.substring("key", 1, n)
+    ranges = materialise(keys.groupBy("source", digits(RANGE_DIGITS).alias("part")).agg(F.sum("words").alias("words")))
     sizes = ranges.groupBy("source").agg(F.sum("words").alias("source_size"))
-    budget = F.floor("target")
-    targets = source_targets(sizes, weights, max_epochs).select(
-        F.col("source").alias("mix_source"),
-        F.col("source_size").alias("mix_size"),
-        F.col("target").alias("mix_target"),
-        F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div source_size"))
-        .otherwise(F.lit(0))
-        .alias("mix_epochs"),
-        budget.alias("budget"),
-    ).withColumn("mix_rest", F.col("budget") - F.col("mix_epochs") * F.col("mix_size"))
-    so_far = Window.partitionBy("source").orderBy("key_range")
-    prefix = ranges.withColumn("upto", F.sum("words").over(so_far))
-    cut = (
-        targets.join(prefix, F.col("mix_source").eqNullSafe(F.col("source")), "left")
-        .filter((F.col("mix_rest") < F.col("upto")) | F.col("upto").isNull() | (F.col("mix_size") == 0))
-        .groupBy("mix_source", "mix_size", "mix_target", "mix_epochs", "mix_rest")
-        .agg(F.min(F.struct("key_range", (F.col("upto") - F.col("words")).alias("before"))).alias("cut"))
-    )
-    return materialise(
-        cut.select(
-            "mix_source", "mix_size", "mix_target", "mix_epochs", "mix_rest",
-            F.col("cut.key_range").alias("mix_range"), F.col("cut.before").alias("mix_before"),
-        )
+    plan = budgets(sizes, weights, max_epochs).withColumn("start", F.lit(0).cast("long"))
+    plan = materialise(cut_of(ranges, plan).withColumnRenamed("part", "outer"))
+    wanted = broadcast_within(plan.select(F.col("source").alias("p_source"), "outer"), BROADCAST_SOURCES)
+    inside = F.col("source").eqNullSafe(F.col("p_source")) & (digits(RANGE_DIGITS) == F.col("outer"))
+    # one key has the rows of one id and text, so it is summed before it is shuffled
+    inner = materialise(keys.join(wanted, inside, "left_semi").groupBy("source", F.col("key").alias("part")).agg(F.sum("words").alias("words")))
+    finer = inner.groupBy("source", F.substring("part", 1, 2 * RANGE_DIGITS).alias("part")).agg(F.sum("words").alias("words"))
+    plan = materialise(cut_of(finer, plan.drop("outer")).withColumnRenamed("part", "outer"))
+    last = inner.join(
+        plan.select(F.col("source").alias("p_source"), "outer"),
+        F.col("source").eqNullSafe(F.col("p_source")) & (F.substring("part", 1, 2 * RANGE_DIGITS) == F.col("outer")), "left_semi",
     )
+    return materialise(cut_of(last, plan.drop("outer")).withColumnsRenamed({"part": "cut_key", "start": "before"}))
+
+
+def free_prefix(names: list[str], prefix: str = "mix_") -> str:
+    """``prefix``, or with more underscores before it if a column begins with it."""
+    while any(name.lower().startswith(prefix) for name in names):
+        prefix = f"_{prefix}"
+    return prefix
 
 
 def mix_sources(docs: DataFrame, seed: int = 0, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """``docs`` with mix_words (its size), mix_size, mix_target and mix_taken added.
 
     A null source is a source of its own, last in order. A text without words (or null) has
-    size 0 and gives nothing. Columns of ``docs`` whose names begin with ``mix_`` are left out.
-    Repeated rows are rows like others; where the cut falls among equal keys, order is by id
-    and size. No documents give no rows. The words taken of a source sum up to its target,
-    rounded down. Texts are not shuffled, but for the one range in which a source is cut.
+    size 0 and gives nothing; texts of any length are counted whole. If a column of ``docs``
+    begins with ``mix_``, the new ones begin with ``_mix_`` (or more underscores). Rows with the
+    same id and text have the same key; where the cut falls among them, some are taken and the
+    others not. No documents give no rows. The words taken of a source sum up to its target,
+    rounded down. Rows are not shuffled, but for those with the very key at which a source is cut.
     """
-    docs = docs.drop(*[name for name in docs.columns if name.lower().startswith("mix_")])
-    plan = broadcast_within(mixing_plan(docs, seed, weights, max_epochs), BROADCAST_SOURCES)
-    key = order_key(F.col("doc_id"), seed)
-    keyed = docs.withColumn("mix_words", word_count(F.col("text"))).withColumn("mix_key", key)
-    planned = keyed.join(plan, F.col("source").eqNullSafe(F.col("mix_source")), "inner")
-    own_range = F.substring("mix_key", 1, RANGE_DIGITS)
-    epochs = F.col("mix_epochs") * F.col("mix_words")
-    clear = planned.filter(own_range != F.col("mix_range")).withColumn(
-        "mix_taken", epochs + F.when(own_range < F.col("mix_range"), F.col("mix_words")).otherwise(F.lit(0))
-    )
-    in_order = Window.partitionBy("mix_source").orderBy("mix_key", F.col("doc_id"), "mix_words")
-    before = (
-        F.col("mix_before")
-        + F.sum("mix_words").over(in_order.rowsBetween(Window.unboundedPreceding, 0))
-        - F.col("mix_words")
-    )
-    room = F.greatest(F.lit(0), F.least(F.col("mix_words"), F.col("mix_rest") - before))
-    at_cut = planned.filter(own_range == F.col("mix_range")).withColumn("mix_taken", epochs + room)
-    return clear.unionByName(at_cut).drop(
-        "mix_key", "mix_source", "mix_epochs", "mix_rest", "mix_range", "mix_before"
-    )
+    p = free_prefix(docs.columns)
+    named = {c: f"{p}{c}" for c in ("source", "source_size", "target", "epochs", "rest", "cut_key", "before")}
+    plan = broadcast_within(mixing_plan(docs, seed, weights, max_epochs).withColumnsRenamed(named), BROADCAST_SOURCES)
+    c = lambda name: F.col(f"{p}{name}")
+    keyed = docs.withColumns({f"{p}words": word_count(F.col("text")), f"{p}key": order_key(F.col("doc_id"), F.col("text"), seed)})
+    planned = keyed.join(plan, F.col("source").eqNullSafe(c("source")), "inner")
+    epochs = c("epochs") * c("words")
+    at_cut = c("key").eqNullSafe(c("cut_key"))
+    clear = planned.filter(~at_cut).withColumn(f"{p}taken", epochs + F.when(c("key") < c("cut_key"), c("words")).otherwise(F.lit(0)))
+    nth = F.row_number().over(Window.partitionBy(f"{p}source", f"{p}key").orderBy(f"{p}key"))
+    room = F.greatest(F.lit(0), F.least(c("words"), c("rest") - c("before") - (nth - 1) * c("words")))
+    cut = planned.filter(at_cut).withColumn(f"{p}taken", epochs + room)
+    kept = [*docs.columns, *[f"{p}{name}" for name in ("words", "source_size", "target", "taken")]]
+    return clear.unionByName(cut).select(*[F.col(f"`{name}`") for name in kept]).withColumnRenamed(f"{p}source_size", f"{p}size")
 
 
 def take_mix(docs: DataFrame, seed: int = 0) -> DataFrame:
@@ -151,7 +162,7 @@ def take_mix(docs: DataFrame, seed: int = 0) -> DataFrame:
 MIXING_SQL = """
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-         md5(concat('0:', coalesce(doc_id::VARCHAR, ''))) AS k
+         md5(concat('0:', coalesce(doc_id::VARCHAR, ''), ':', coalesce(text, ''))) AS k
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 n AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS nth FROM s),

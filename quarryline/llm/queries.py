@@ -41,7 +41,7 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(documents(spark, sf_dir)).select(
+    return mixing.mix_sources(documents(spark, sf_dir).select("doc_id", "source", "text")).select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("mix_words").alias("size"),
         F.col("mix_size").alias("source_size"),

@@ -28,18 +28,18 @@ def brute_targets(sizes: dict, weights=(5, 2, 1), most=3) -> dict:
 
 
 def brute(rows, seed=0):
-    docs = [(i, s, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for i, t, s in rows]
+    docs = [(i, s, len(re.findall(r"[^\x20\x09-\x0D]+", t or "")), t or "") for i, t, s in rows]
     sizes = defaultdict(int)
-    for _, source, n in docs:
+    for _, source, n, _ in docs:
         sizes[source] += n
     target = brute_targets(sizes)
-    key = lambda d: (hashlib.md5(f"{seed}:{'' if d[0] is None else d[0]}".encode()).hexdigest(), d[0] is not None, d[0] or 0, d[2])
+    key = lambda d: hashlib.md5(f"{seed}:{'' if d[0] is None else d[0]}:{d[3]}".encode()).hexdigest()
     found = []
     for source, size in sizes.items():
         left = math.floor(target[source])
         own = sorted((d for d in docs if d[1] == source), key=key)
         epochs, rest = divmod(left, size) if size else (0, 0)
-        for doc_id, _, n in own:
+        for doc_id, _, n, _ in own:
             more = min(n, rest)
             rest -= more
             found.append((str(doc_id), n, size, round(float(target[source]), 6), epochs * n + more))
@@ -94,3 +94,16 @@ def test_mix_repeats_rows(spark):
     for doc_id, n, _, _, taken in brute(some_rows()):
         expected[doc_id] += -(-taken // n) if taken else 0
     assert times == expected
+
+
+def test_columns_with_the_operators_names_stay(spark):
+    rows = some_rows()
+    docs = table(spark, rows, "mix_key mix_words MIX_TAKEN source_size")
+    found = mixing.mix_sources(docs)
+    assert found.columns == [*docs.columns, "_mix_words", "_mix_size", "_mix_target", "_mix_taken"]
+    assert sorted((str(r.doc_id), r._mix_taken) for r in found.collect()) == [(i, t) for i, *_, t in sorted(brute(rows), key=lambda x: (x[0], x[4]))]
+
+
+def test_one_id_for_a_third_of_all_rows(spark):
+    rows = [(None if i % 3 else i, f"{i} " + "w " * (i % 50), f"src{i % 2}") for i in range(600)] + [(7, "same text here", "src1")] * 300
+    assert shown(mixing.mix_sources(table(spark, rows))) == brute(rows)
