@@ -40,7 +40,7 @@ SAMPLE_DOCS = 8000
 CALIBRATE_OF = 5
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 60, 128, 0.01, 1e-4
 #: Distinct words whose units a task keeps at a time, and tokens whose neighbours it adds at once.
-CACHE_WORDS = 100_000
+CACHE_WORDS = 200_000
 CHUNK = 1 << 18
 
 _random = np.random.default_rng(7)
@@ -61,27 +61,34 @@ def plain_word(word: str) -> str | None:
     return bare.lower() if bare.isalpha() and (bare[1:].islower() or len(bare) == 1) else None
 
 
-def shared_unit(word: str) -> int:
-    """The unit that a word shares: plain words by their letters, all others by their shape."""
-    bare = plain_word(word)
-    if bare is not None:
-        return zlib.crc32(bare.encode()) % PLAIN
+def shape_unit(word: str) -> int:
     shape = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
     return PLAIN + zlib.crc32(RUNS.sub(r"\1\1", shape).encode()) % SHAPES
 
 
+def units_of(word: str, vocabulary: dict[str, int]) -> tuple[int, int]:
+    """The unit of a word, and of its repeat: rare plain words share theirs by their letters, all others by their shape."""
+    bare = plain_word(word)
+    if bare is None:
+        shared = shape_unit(word)
+        return shared, REPEATS + shared
+    shared, own = zlib.crc32(bare.encode()) % PLAIN, vocabulary.get(bare)
+    return shared if own is None else SHARED + own, REPEATS + shared
+
+
 class Units(dict):
     """Word -> number in order of arrival; ``units`` and ``repeats`` give their units."""
 
     def __init__(self, vocabulary: dict[str, int]):
         super().__init__()
-        self.vocabulary, self.units, self.repeats = vocabulary, [], []
+        self.vocabulary, self.units, self.repeats, self.chars = vocabulary, [], [], 0
 
     def __missing__(self, word: str) -> int:
         self[word] = number = len(self)
-        shared, own = shared_unit(word), self.vocabulary.get(plain_word(word))
-        self.units.append(shared if own is None else SHARED + own)
-        self.repeats.append(REPEATS + shared)
+        unit, repeat = units_of(word, self.vocabulary)
+        self.chars += len(word)
+        self.units.append(unit)
+        self.repeats.append(repeat)
         return number
 
 
@@ -93,22 +100,22 @@ class Reader:
         self._forget()
 
     def _forget(self) -> None:
-        self.known, self.chars = Units(self.vocabulary), 0
-        self.table, self.repeats = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.known = Units(self.vocabulary)
+        self.table = np.zeros((2, 1024), np.int64)  # units, and those of repeats
 
     def units(self, text: bytes) -> np.ndarray:
         words = text.decode("utf-8", "replace").split()
-        if len(self.known) > CACHE_WORDS or self.chars > 16 * CACHE_WORDS:
+        if len(self.known) > CACHE_WORDS or self.known.chars > 16 * CACHE_WORDS:
             self._forget()
         had = len(self.known)
         numbers = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         if len(self.known) > had:
-            self.chars += len(text)
-            self.table = np.concatenate((self.table, np.array(self.known.units[had:], np.int64)))
-            self.repeats = np.concatenate((self.repeats, np.array(self.known.repeats[had:], np.int64)))
-        units = self.table[numbers]
+            while len(self.known) > self.table.shape[1]:
+                self.table = np.concatenate((self.table, np.zeros_like(self.table)), axis=1)
+            self.table[:, had : len(self.known)] = self.known.units[had:], self.known.repeats[had:]
+        units = self.table[0, numbers]
         again = np.flatnonzero(numbers[1:] == numbers[:-1]) + 1
-        units[again] = self.repeats[numbers[again]]
+        units[again] = self.table[1, numbers[again]]
         return units
 
 
@@ -146,9 +153,9 @@ def add_neighbours(total: np.ndarray, units: np.ndarray) -> None:
     flat = total.reshape(-1)
     for step in range(1, REACH + 1):
         if len(units) > step:
-            for one, other in ((units[:-step], units[step:]), (units[step:], units[:-step])):
-                cells = (one[:, None] * DIMENSIONS + INDEX_AT[other]).ravel()
-                flat += np.bincount(cells, INDEX_SIGN[other].ravel(), UNITS * DIMENSIONS)
+            one, other = np.concatenate((units[:-step], units[step:])), np.concatenate((units[step:], units[:-step]))
+            cells = ((one * DIMENSIONS)[:, None] + INDEX_AT[other]).ravel()
+            flat += np.bincount(cells, INDEX_SIGN[other].ravel(), UNITS * DIMENSIONS)
 
 
 def corpus_vectors(docs: DataFrame, vocabulary: dict[str, int]) -> np.ndarray:

@@ -89,6 +89,34 @@ def test_blocks_cost_what_the_whole_costs(spark, size):
     assert re.findall(r"m\d+", text) == [f"m{t}" for t in range(size)]
 
 
+def test_one_conversation_with_one_turn_number_is_dealt_out(spark):
+    random.seed(8)
+    names = ["system", "user", "assistant", None]
+    rows = [(None, None, random.choice(names), f"m{i}") for i in range(3000)] + [(7, 3, "user", "same")] * 1500 + [(i, 0, "user", "x") for i in range(10, 500)]
+    turns = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as for tables of any size
+    try:
+        dealt = chat_format.dealt_turns(turns)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for conv in ("conv_id IS NULL", "conv_id = 7"):
+        held = dealt.filter(conv)
+        assert held.select("part").distinct().count() > 1 and max(r["count"] for r in held.groupBy("block").count().collect()) <= 64
+    found = repaired(chat_format.repair_chats(turns))
+    assert sum(r.cost for r in found[7]) == 1499 and sequence(found[7]) == ["user"]
+    assert legal(sequence(found[None])) and len(found[None]) == 3000
+    cost = {0: 0}
+    for row in found[None]:
+        reached = {}
+        for state, so_far in cost.items():
+            for s, to, more, *_ in chat_format.MOVES[row.given_role]:
+                if s == state:
+                    reached[to] = min(reached.get(to, so_far + more), so_far + more)
+        cost = reached
+    assert sum(r.cost for r in found[None]) == min(cost.values())
+    assert "".join(r.rendered for r in found[None]).count("<|end|>") == len(sequence(found[None]))
+
+
 def test_awkward_rows(spark):
     rows = [(1, 0, " User ", None), (1, 1, "ASSISTANT", ""), (None, 0, None, "x"), (None, None, "user", "y" * 100_000), (2, 5, "user", "a"), (2, 5, "user", "a"), (2, None, "assistant", "b")]
     turns = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS block", "2 AS tie", "3 AS entry", "4 AS after", "5 AS e_conv", "6 AS costs")

@@ -110,10 +110,11 @@ def naive_units(text, vocabulary):
     words, units = (text or "").split(), []
     for i, word in enumerate(words):
         bare = quality.plain_word(word)
+        shared = quality.shape_unit(word) if bare is None else zlib.crc32(bare.encode()) % quality.PLAIN
         if i and words[i - 1] == word:
-            units.append(quality.REPEATS + quality.shared_unit(word))
+            units.append(quality.REPEATS + shared)
         else:
-            units.append(quality.SHARED + vocabulary[bare] if bare in vocabulary else quality.shared_unit(word))
+            units.append(quality.SHARED + vocabulary[bare] if bare in vocabulary else shared)
     return units
 
 
