@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarryline.llm import sieve
 from quarryline.llm.arrow import column_of, map_batches, texts_of
 from quarryline.llm.components import connected_components
 from quarryline.session import broadcast_within, materialise
@@ -215,11 +216,18 @@ def drop_near_copies(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
 
 
 def keep_least(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the component_id of a member with that id."""
-    kept = members.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("q_id"))
-    kept = materialise(kept.agg(F.count(F.lit(1)).alias("q_rows")))
-    own = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.col("text").alias("own_text"), F.struct("*").alias("whole"))
-    match = F.col("own_id").eqNullSafe(F.col("q_id"))
-    once = own.join(kept.filter("q_rows = 1"), match, "left_semi")
-    again = own.join(kept.filter("q_rows > 1"), match, "left_semi").dropDuplicates(["own_id", "own_text"])
-    return once.unionByName(again).select("whole.*")
+    """The rows of ``docs`` whose doc_id is the component_id of a member with that id.
+
+    Rows whose id is surely neither dropped nor repeated stay where they are; only the others
+    are shuffled to look theirs up.
+    """
+    ids = members.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("q_rows"), F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("q_kept")
+    )
+    special = materialise(ids.filter("q_rows > 1 OR NOT q_kept").select(F.col("doc_id").alias("q_id"), "q_rows", "q_kept"))
+    own = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.struct("*").alias("whole"))
+    unsure, sure = sieve.split(own, F.xxhash64("own_id"), sieve.sieve(special.select(F.xxhash64("q_id").alias("place")), "place"))
+    known = unsure.join(special, F.col("own_id").eqNullSafe(F.col("q_id")), "left").filter(F.coalesce("q_kept", F.lit(True)))
+    once, again = known.filter("q_rows IS NULL"), known.filter("q_rows IS NOT NULL").withColumn("own_text", F.col("whole.text"))
+    again = again.dropDuplicates(["own_id", "own_text"])
+    return sure.select("whole.*").unionByName(once.select("whole.*")).unionByName(again.select("whole.*"))

@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.llm import sieve
 from quarryline.llm.arrow import column_of, map_batches, texts_of
 from quarryline.llm.components import connected_components
 from quarryline.llm.near_dedup import HASH_SEED, keep_least, near_groups, set_bits, shingle_hashes, words_of
@@ -102,11 +103,14 @@ def printed(docs: DataFrame, width: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, shingles, sketch) of the texts whose node is asked for."""
+    """(node, shingles, sketch) of the texts whose node is asked for; most others are not shuffled."""
+    wanted = docs.sparkSession.sparkContext.broadcast(sieve.as_words(sieve.sieve(nodes, "node")))
 
     def named():
         def step(batch):
-            return pa.RecordBatch.from_arrays([longs([node_of(words_of(t)) for t in texts_of(batch)]), column_of(batch, "text")], names=["node", "text"])
+            found = np.array([node_of(words_of(t)) for t in texts_of(batch)], np.uint64).view(np.int64)
+            named = pa.RecordBatch.from_arrays([pa.array(found), column_of(batch, "text")], names=["node", "text"])
+            return named.filter(pa.array(sieve.falls_through(wanted.value, found)))
 
         return step
 

@@ -2,8 +2,10 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
-from quarryline.llm import similar_texts
+from quarryline.llm import near_dedup, sieve, similar_texts
 from quarryline.session import table
 from tests.llm.helpers import SF, documents
 
@@ -66,3 +68,15 @@ def test_pipeline_stage_drops_lightly_edited_copies(spark):
     docs = table(spark, SF, "documents")
     expected = brute_kept([(d.doc_id, d.text) for d in docs.collect()])
     assert kept_ids(corpus_pipeline.remove_near_copies(spark, docs, SF)) == expected
+
+
+def test_the_sieve_lets_all_keys_through(spark):
+    keys = [near_dedup.signed(random.getrandbits(64)) for _ in range(3000)] + [-1, 0, 1 << 62]
+    rows = spark.createDataFrame([(k,) for k in keys], "place long")
+    found = sieve.sieve(rows, "place")
+    assert sieve.falls_through(sieve.as_words(found), np.array(keys)).all()
+    others = [near_dedup.signed(random.getrandbits(64)) for _ in range(3000)]
+    some = spark.createDataFrame([(k,) for k in keys + others] + [(None,)], "place long")
+    through, rest = sieve.split(some, "place", found)
+    expected = sieve.falls_through(sieve.as_words(found), np.array(others)).sum()
+    assert through.count() == len(keys) + expected + 1 and rest.count() == len(others) - expected and expected < 100
