@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.functions import text
+from quarryline.functions import phrases, text
 from quarryline.functions.patterns import Rule
 from quarryline.operators import admission, council, dedup, discover, ledger, mail, present
 from quarryline.operators.rules import Country, CountryRules, LocationRules, TitleRules
@@ -129,14 +129,25 @@ def outage_brakes(spark, sf_dir):
     return rows.select("day", "pending", "dead", ledger.outage(F.col("pending"), F.col("dead")).alias("brake"))
 
 
-@query("mail_kinds", with_rows(fx.MAILS, r"""SELECT id, CASE WHEN trim(t) = '' THEN NULL WHEN regexp_matches(t, 'undelivered mail returned|address not found') THEN 'bounced' WHEN regexp_matches(o, 'job alert|new jobs|jobs for you') THEN 'alert'
- WHEN regexp_matches(t, 'unfortunately|other candidates|leider') THEN 'rejected' WHEN len(list_filter(regexp_split_to_array(t, '[.!?;·•]+'), lambda s: regexp_matches(s, 'interview|schedule a (call|chat|meeting)|would like to (speak|talk|meet)') AND NOT regexp_matches(s, 'if (we|your|you are|selected).*interview'))) > 0 AND NOT regexp_matches(o, '\b(tips|how to|guides?)\b') THEN 'interview'
- WHEN regexp_matches(t, 'we have received|thank you for applying') THEN 'acknowledged' WHEN regexp_matches(t, 'apply now|unsubscribe') THEN 'alert' END AS kind,
- regexp_matches(coalesce(lower(sender), ''), '(no-?reply|do-?not-?reply|careers?|recruit|talent|jobs?|hiring|apply)@') AS automated
+def d_phrase(pattern: str) -> str:
+    """A phrase list as a DuckDB string; its engine has no look-behind, so courses \"under way\" are cut out of the text instead."""
+    return "'" + pattern.replace(r"(?<!\ben )", "").replace("'", "''") + "'"
+
+
+def d_outright(pattern: str) -> str:
+    p = d_phrase(pattern)
+    before = d_phrase(f"^(.*?)(?:{pattern})")
+    return f"len(list_filter(regexp_split_to_array(t, '[.!?;·•]+'), lambda s: regexp_matches(s, {p}) AND NOT regexp_matches(regexp_extract(s, {before}, 1), {d_phrase(phrases.CONDITIONAL)}))) > 0"
+
+
+@query("mail_kinds", with_rows(fx.MAILS, rf"""SELECT id, CASE WHEN trim(t) = '' THEN NULL WHEN regexp_matches(t, {d_phrase(phrases.BOUNCED)}) THEN 'bounced' WHEN regexp_matches(o, {d_phrase(phrases.ALERT_DECLARED)}) THEN 'alert'
+ WHEN {d_outright(phrases.REJECTED)} THEN 'rejected' WHEN {d_outright(phrases.INTERVIEW)} AND NOT regexp_matches(regexp_replace(o, '\ben cursos?\b', '', 'g'), {d_phrase(phrases.ADVICE)}) THEN 'interview'
+ WHEN regexp_matches(t, {d_phrase(phrases.ACKNOWLEDGED)}) THEN 'acknowledged' WHEN regexp_matches(t, {d_phrase(phrases.ALERT)}) THEN 'alert' END AS kind,
+ regexp_matches(coalesce(lower(sender), ''), {d_phrase(phrases.AUTOMATED)}) AS automated
  FROM (SELECT *, lower(strip_accents(coalesce(subject, '') || ' ' || coalesce(snippet, '') || ' ' || coalesce(body, ''))) AS t, lower(strip_accents(coalesce(subject, '') || ' ' || coalesce(snippet, ''))) AS o FROM mails)"""))
 def mail_kinds(spark, sf_dir):
     c = F.col
-    return fx.MAILS.frame(spark).select("id", mail.message_kind(c("subject"), c("snippet"), c("body")).alias("kind"), mail.looks_automated(c("sender")).alias("automated"))
+    return fx.MAILS.frame(spark, sf_dir).select("id", mail.message_kind(c("subject"), c("snippet"), c("body")).alias("kind"), mail.looks_automated(c("sender")).alias("automated"))
 
 
 def link_tables(spark, sf_dir):
@@ -348,10 +359,10 @@ def term_records(spark, sf_dir):
     return discover.term_records(TERMS, part.filter("p_partkey % 3 = 0"), applied, F.col("p_size") > 20)
 
 
-@query("reason_families", with_rows(fx.REASONS, """SELECT id, CASE WHEN coalesce(reason, '') IN ('', '(no reason)') THEN 'unstated' WHEN contains(lower(reason), 'closed') THEN 'noise' WHEN contains(lower(reason), 'wrong field') THEN 'field'
- WHEN regexp_matches(lower(reason), 'years|fluent') THEN 'requirements' ELSE 'other' END AS family FROM reasons"""))
+@query("reason_families", with_rows(fx.REASONS, rf"""SELECT id, CASE WHEN trim(t) IN ('', '(no reason)') THEN 'unstated' WHEN regexp_matches(t, {d_phrase(discover.NOISE)}) THEN 'noise' WHEN regexp_matches(t, {d_phrase(discover.WRONG_FIELD)}) THEN 'field'
+ WHEN regexp_matches(t, {d_phrase(discover.DEMANDING)}) THEN 'requirements' ELSE 'other' END AS family FROM (SELECT id, lower(strip_accents(coalesce(reason, ''))) AS t FROM reasons)"""))
 def reason_families(spark, sf_dir):
-    return fx.REASONS.frame(spark).select("id", discover.reason_family(F.col("reason")).alias("family"))
+    return fx.REASONS.frame(spark, sf_dir).select("id", discover.reason_family(F.col("reason")).alias("family"))
 
 
 @query("stem_families", "SELECT term, rejected FROM (SELECT p_name AS term, count(*) AS rejected, row_number() OVER (PARTITION BY left(p_name, 8) ORDER BY count(*) DESC, p_name) AS place FROM part GROUP BY p_name) WHERE place = 1")
@@ -359,9 +370,16 @@ def stem_families(spark, sf_dir):
     return discover.stem_families(table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("term")).agg(F.count(F.lit(1)).alias("rejected")))
 
 
-@query("cv_skills", "SELECT * FROM (VALUES (1, 'Python', 4), (1, 'GIS', 4), (1, 'tide tables', 4), (1, 'Survey', 6), (1, 'Mapping', 6), (2, 'Welding', 2)) t(cv_id, skill, line_no)")
+@query("cv_skills", with_rows(fx.CV, r"""SELECT cv_id, skill, min(line_no)::INT AS line_no FROM (
+ SELECT cv_id, line_no, trim(regexp_replace(piece, '[()]', '', 'g')) AS skill FROM (
+  SELECT cv_id, line_no, unnest(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(line, '^[-*]\s*', ''), '\([^()]*\)', '', 'g'), '\*\*', '', 'g'), '[,/;]')) AS piece FROM (
+   SELECT *, last_value(opens IGNORE NULLS) OVER (PARTITION BY cv_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS inside FROM (
+    SELECT *, length(regexp_extract(line, '^(#{1,6})\s', 1)) AS level, CASE WHEN level BETWEEN 1 AND 2 THEN regexp_matches(lower(line), 'skill|competenc|aptitud') END AS opens FROM cv))
+  WHERE inside AND level = 0))
+ WHERE length(skill) BETWEEN 3 AND 34 AND len(regexp_split_to_array(skill, '\s+')) <= 4 AND regexp_matches(lower(skill), '[a-z]{3}')
+  AND NOT regexp_matches(skill, '^\d') AND NOT regexp_matches(lower(skill), '^(?:native|[abc][12]|spanish|english|dutch|german|french)(?:[^a-z]|$)') GROUP BY cv_id, skill"""))
 def cv_skills(spark, sf_dir):
-    return discover.cv_skills(fx.CV.frame(spark))
+    return discover.cv_skills(fx.CV.frame(spark, sf_dir))
 
 
 ORDER = ("ASIA", "EUROPE", "AMERICA")

@@ -10,11 +10,15 @@ from tests.compare import duck, sparks
 SF = "/root/testdata/sf0.001"
 
 
-def test_every_query_has_sql():
-    assert set(catalog.QUERIES) == set(catalog.ORACLE_SQL)
+#: Queries that SQL cannot express; tests hold their operators against answers by hand.
+NO_SQL = {"requirement_screens", "judge_answers"}
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+def test_every_other_query_has_sql():
+    assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) == NO_SQL
+
+
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - NO_SQL))
 def test_matches_sql(spark, name):
     expected = duck(catalog.ORACLE_SQL[name], SF)
     found = sparks(catalog.QUERIES[name](spark, SF))

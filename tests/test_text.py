@@ -101,3 +101,33 @@ def test_scalars(spark):
     assert one(spark, scalars.ordinal_date(F.lit("2026-07-22").cast("date"))) == "22nd July 2026"
     midnight = scalars.floor_days(F.lit("2024-01-02 01:00:00").cast("timestamp"), F.lit("2024-01-01 23:00:00").cast("timestamp"))
     assert one(spark, midnight) == 0
+
+
+#: Of each literal text: years, why, degree, language, stage.
+DEMANDED = {
+    1: (5, "over-threshold", False, False, "YEARS"), 2: (None, None, False, False, None), 3: (3, "over-threshold", False, False, "YEARS"), 4: (None, None, False, False, None),
+    5: (4, "over-threshold", False, False, "YEARS"), 6: (None, None, False, False, None), 7: (None, None, False, False, None), 8: (3, "over-threshold", False, False, "YEARS"),
+    9: (1, "field-mismatch", False, False, "YEARS"), 10: (None, None, True, False, "DEGREE"), 11: (None, None, True, False, "DEGREE"), 12: (None, None, False, False, None),
+    13: (None, None, False, True, "BODY LANGUAGE"), 14: (None, None, False, False, None), 15: (None, None, False, False, None), 16: (None, None, False, False, "DEFERRED"),
+    17: (None, None, False, False, "DEFERRED"), 18: (None, None, False, False, None), 19: (None, None, False, False, None),
+}
+ANSWERED = {
+    1: ("show", "fits", 0.8), 2: ("hide", "far", 0.8), 3: ("show", "vote: keep, confidence 0.4", 0.4), 4: ("show", "I would show it", 0.0), 5: (None, "show or hide? hard", 0.0),
+    6: (None, "no idea", 0.0), 7: (None, "", 0.0), 8: (None, "unclear", 0.0), 9: ("hide", "", 0.0), 10: ("show", "", 1.0),
+}
+
+
+def test_screens_and_answers_of_the_literal_rows(spark):
+    from quarryline.plans import text_queries
+
+    sf = "/root/testdata/sf0.001"
+    found = {r.id: (r.years, r.why, r.degree, r.language, r.stage) for r in text_queries.requirement_screens(spark, sf).collect()}
+    assert {i: found[i] for i in DEMANDED} == DEMANDED and len(found) > 200
+    found = {r.id: (r.vote, r.reason, r.confidence) for r in text_queries.judge_answers(spark, sf).collect()}
+    assert {i: found[i] for i in ANSWERED} == ANSWERED and len(found) > 90
+
+
+def test_spelled_numbers_to_fifteen():
+    from quarryline.operators.screens import digits_for_words
+
+    assert digits_for_words("nul tot drie jaar, quince años, fourteen years, une à deux ans") == "0 tot 3 jaar, 15 años, 14 years, 1 à 2 ans"
