@@ -57,6 +57,12 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of data that is no longer read, wherever it is stored."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def broadcast_within(df: DataFrame, max_rows: int) -> DataFrame:
     """Hint a broadcast only when a (materialised) side is counted to be small enough.
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions.text import details_url, html_text, salary_text, slug_title, unescape_markup
+from quarryline.session import broadcast_within
 
 OFFER = ("company", "title", "url", "location", "description")
 
@@ -170,6 +171,10 @@ def pages_to_fetch(sitemaps: DataFrame, title_passes, match: str = "", most: int
     return wanted.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).drop("place")
 
 
+#: Queries that are broadcast; more are joined without it.
+MOST_QUERIES = 10_000
+
+
 def requests(countries: DataFrame, queries: DataFrame) -> DataFrame:
     """One aggregator request for each country that is on and each query; the two are short lists."""
-    return countries.filter("NOT off").select("country").crossJoin(F.broadcast(queries.select("query")))
+    return countries.filter("NOT off").select("country").crossJoin(broadcast_within(queries.select("query"), MOST_QUERIES))
