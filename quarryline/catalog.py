@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quarryline.plans import funnel_queries, text_queries
+from quarryline.plans import funnel_queries, report_queries, text_queries
 
 FLAGSHIP = "funnel_counts"
-QUERIES = text_queries.QUERIES | funnel_queries.QUERIES
+QUERIES = text_queries.QUERIES | funnel_queries.QUERIES  # the report queries are registered with the funnel's
 ORACLE_SQL = text_queries.ORACLE_SQL | funnel_queries.ORACLE_SQL

@@ -80,6 +80,17 @@ def barren_skills(skills: DataFrame, found: DataFrame) -> DataFrame:
     return skills.join(found.select("skill").distinct(), "skill", "left_anti")
 
 
+def occupation_hits(skills: DataFrame, relations: DataFrame, most: int = 2) -> DataFrame:
+    """(uri, title, term, essential, seq) of the occupations that need a term's skills.
+
+    ``skills`` (term, skill, rank) are what a search for each term found, of which the first
+    ``most`` count; ``relations`` (skill, uri, title, essential, nth) is the taxonomy.
+    """
+    place = F.row_number().over(Window.partitionBy("term").orderBy("rank", "skill"))
+    first = skills.withColumn("place", place).filter(F.col("place") <= most).select("term", "skill", "place")
+    return first.join(relations, "skill").select("uri", "title", "term", "essential", F.struct("place", "nth").alias("seq"))
+
+
 def score_occupations(hits: DataFrame) -> DataFrame:
     """(uri, title, score, terms): two for an essential and one for an optional term.
 

@@ -152,6 +152,13 @@ def resolve_links(messages: DataFrame, scored: DataFrame, margin: int = 1) -> Da
     )
 
 
+def link_events(outcomes: DataFrame, messages: DataFrame) -> DataFrame:
+    """(app_id, kind, at): the linked messages of :func:`resolve_links` as events of their applications. Ties and orphans are none."""
+    sent = messages.select(F.col("id").alias("message_id"), F.col("date").alias("at"))
+    linked = outcomes.filter((F.col("outcome") == "link") & F.col("app_id").isNotNull())
+    return linked.join(sent, "message_id").select("app_id", "kind", "at")
+
+
 def application_states(applications: DataFrame, events: DataFrame, today: Column) -> DataFrame:
     """One row per application from its linked ``events`` (app_id, kind, at).
 

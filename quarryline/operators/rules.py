@@ -134,3 +134,13 @@ class CountryRules:
     def passes(self, location: Column | str) -> Column:
         """False where a location names a country that is switched off; unknown places pass."""
         return ~fold(location).rlike(either([c.pattern for c in self.countries if c.off]))
+
+
+def names_priority(title: Column | str, body: Column | str, terms: tuple[str, ...]) -> Column:
+    """A term of the user's priorities stands in the title or the body, as a whole word; it waives years and degrees."""
+    text = F.concat_ws(" ", F.coalesce(_column(title), F.lit("")), F.coalesce(_column(body), F.lit("")))
+    return fold(text).rlike(either([bounded(t) for t in terms]))
+
+
+def _column(value: Column | str) -> Column:
+    return F.col(value) if isinstance(value, str) else value
