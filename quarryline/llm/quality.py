@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from quarryline.llm.arrow import column_of, map_batches, texts_of
 from quarryline.llm.language_id import remainder
-from quarryline.session import ship_package
+from quarryline.session import materialise, ship_package
 
 HELD_OUT_OF, HELD_OUT_REST = 4, 2
 PREDICT_AT = 0.7
@@ -31,6 +31,8 @@ SHARED = PLAIN + SHAPES
 #: Shared units, those of the vocabulary, repeats of either by their shared unit, and the gap.
 UNITS = SHARED + VOCABULARY + SHARED + 1
 REPEATS = SHARED + VOCABULARY
+#: Levels of word counts for each factor of two.
+LEVELS = 16
 #: Dimensions and non-zero entries of index vectors.
 DIMENSIONS, NONZERO = 64, 4
 #: Neighbours on each side that a word vector adds up.
@@ -144,8 +146,21 @@ def vocabulary_of(docs: DataFrame, size: int = VOCABULARY) -> dict[str, int]:
                     yield told()
         yield told()
 
-    counted = docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return {word: i for i, word in enumerate(sorted(r.word for r in counted.orderBy(F.desc("n"), "word").limit(size).collect()))}
+    words = docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    level = F.floor(F.log2("n") * LEVELS)
+    counted = materialise(words.withColumn("level", level))
+    # whole levels of counts come first, so that only words of the last one are put in order
+    room, last, whole = size, None, []
+    for row in sorted(counted.groupBy("level").count().collect(), reverse=True):
+        if row["count"] > room:
+            last = row.level
+            break
+        room -= row["count"]
+        whole.append(row.level)
+    chosen = [r.word for r in counted.filter(F.col("level") >= min(whole)).select("word").collect()] if whole else []
+    if last is not None:
+        chosen += [r.word for r in counted.filter(F.col("level") == last).orderBy(F.desc("n"), "word").limit(room).collect()]
+    return {word: i for i, word in enumerate(sorted(chosen))}
 
 
 def add_neighbours(total: np.ndarray, units: np.ndarray) -> None:
