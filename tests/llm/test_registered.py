@@ -14,7 +14,7 @@ from quarryline.llm import language_id, piece_tokenizer, queries
 from quarryline.session import table
 from tests.compare import duck, sparks
 from tests.llm import test_exact_dedup, test_mixing, test_near_dedup, test_similar_texts
-from tests.llm.helpers import SF, by_id
+from tests.llm.helpers import SF, by_id, documents
 
 
 def test_all_are_registered():
@@ -52,3 +52,26 @@ def test_pipeline_matches_brute_force(spark):
     rows = found.collect()
     assert Counter((r.doc_id, tuple(r.ids)) for r in rows) == expected and all(r.round_trip and r.parity for r in rows)
     assert len(expected) > 100
+
+
+def test_stages_keep_awkward_rows_and_columns(spark):
+    text = " ".join(f"river stone {i} bridge water night" for i in range(40))
+    rows = [(1, text, "en", "a"), (1, text, "en", "a"), (2, text + " more", "en", "a"), (3, None, "en", None), (4, "", None, "b"), (5, "x " * 50_000, "de", "b"), (None, "river of night", "en", None)]
+    docs = documents(spark, [(i, t, lang, source) for i, t, lang, source in rows], "whole root node key place q_id mix_words")
+    for given in (docs, documents(spark, [], "whole root")):
+        kept = given
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            found = stage(spark, kept, SF)
+            assert found.columns == given.columns
+            kept = spark.createDataFrame(found.collect(), given.schema)
+        assert corpus_pipeline.tokenize(spark, kept, SF).count() == kept.count()
+        assert not {2, 3, 4} & {r.doc_id for r in kept.collect()}
+
+
+def test_what_lies_between_stages_goes(spark):
+    corpus_pipeline.run(spark, SF).count()
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(context.getCheckpointDir())
+    store = path.getFileSystem(context._jsc.hadoopConfiguration())
+    folders = [s.getPath() for s in store.listStatus(path) if s.getPath().getName().startswith("pipeline-")]
+    assert folders and all([x.getPath().getName() for x in store.listStatus(f)] == ["mixing"] for f in folders)
