@@ -12,6 +12,7 @@ from quarryline.llm import (
     language_id,
     mixing,
     near_dedup,
+    periodic_runs,
     piece_tokenizer,
     quality,
     secret_scan,
@@ -70,6 +71,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(periodic_runs.find_runs(periodic_runs.planted_tails(documents(spark, sf_dir))))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_chat_format": op2_chat_format,
@@ -81,6 +86,7 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 ORACLE_SQL = {

@@ -13,7 +13,7 @@ def documents(spark, rows, extra: str = ""):
     full = [tuple(row) + (None,) * (len(names) - len(row)) for row in rows]
     table = spark.createDataFrame(full, DOCS)
     for name in extra.split():
-        table = table.selectExpr("*", f"'x' AS `{name}`")
+        table = table.selectExpr("*", "'x' AS `{}`".format(name.replace("`", "``")))
     return table
 
 
