@@ -10,6 +10,7 @@ from quarryline.llm import (
     exact_dedup,
     gif_media,
     language_id,
+    license_scan,
     mixing,
     near_dedup,
     periodic_runs,
@@ -75,6 +76,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_digests(periodic_runs.find_runs(periodic_runs.planted_tails(documents(spark, sf_dir))))
 
 
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_labels(license_scan.scan_licenses(documents(spark, sf_dir)))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_chat_format": op2_chat_format,
@@ -87,9 +92,11 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_toxicity": op10_toxicity,
     "op11_periodic_runs": op11_periodic_runs,
+    "op13_licenses": op13_licenses,
 }
 
 ORACLE_SQL = {
     "op5_mixing": mixing.MIXING_SQL,
     "op9_exact_dedup": exact_dedup.EXACT_DEDUP_SQL,
+    "op13_licenses": license_scan.license_sql(),
 }
