@@ -18,6 +18,7 @@ from quarryline.llm import (
     quality,
     secret_scan,
     toxicity,
+    turn_repair,
 )
 from quarryline.session import table
 
@@ -76,6 +77,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_digests(periodic_runs.find_runs(periodic_runs.planted_tails(documents(spark, sf_dir))))
 
 
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return turn_repair.repair_digests(turn_repair.damaged_turns(conversations), conversations)
+
+
 def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_labels(license_scan.scan_licenses(documents(spark, sf_dir)))
 
@@ -92,11 +98,13 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_toxicity": op10_toxicity,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_turn_repair": op12_turn_repair,
     "op13_licenses": op13_licenses,
 }
 
 ORACLE_SQL = {
     "op5_mixing": mixing.MIXING_SQL,
     "op9_exact_dedup": exact_dedup.EXACT_DEDUP_SQL,
+    "op12_turn_repair": turn_repair.repair_sql(),
     "op13_licenses": license_scan.license_sql(),
 }

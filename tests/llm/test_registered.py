@@ -19,7 +19,7 @@ from tests.llm.helpers import SF, by_id, documents
 
 def test_all_are_registered():
     named = __spark_entry__.queries()
-    assert [sum(n.startswith(f"op{i}_") for n in named) for i in range(1, 12)] == [1] * 11 and "pipeline" in named
+    assert [sum(n.startswith(f"op{i}_") for n in named) for i in range(1, 14)] == [1] * 13 and "pipeline" in named
     assert set(queries.ORACLE_SQL) <= set(__spark_entry__.oracle_sql())
 
 
