@@ -29,6 +29,29 @@ def numbered(rows: DataFrame, *order, name: str = "place") -> DataFrame:
     return dealt.withColumn("part", part).join(starts, "part").select("row.*", (F.col("before") + inside).alias(name))
 
 
+def running(rows: DataFrame, by: tuple[str, ...], order: tuple[str, ...], size: str, name: str) -> DataFrame:
+    """``rows`` with ``name``: the sum of ``size`` over the rows of the same ``by`` up to this one, in ``order``.
+
+    Rows are dealt to ranges of keys and order, so one key may fill any number of them. Sums are taken
+    within each range and key; what a key has in the ranges before, a row for each of both, is summed
+    by key. ``order`` must not repeat within a key; null keys are equal, null sizes are nought.
+    """
+    packed = rows.select(*[F.col(c).alias(f"q_{c}") for c in {*by, *order}], F.coalesce(size, F.lit(0)).alias("q_size"), F.struct("*").alias("q_row"))
+    keys = [F.col(f"q_{c}") for c in (*by, *order)]
+    dealt = packed.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    dealt = materialise(dealt.withColumn("q_at", F.monotonically_increasing_id())).withColumn("q_part", F.shiftright("q_at", PLACE_BITS))
+    mine = [f"q_{c}" for c in by]
+    inside = Window.partitionBy(*mine, "q_part").orderBy("q_at").rowsBetween(Window.unboundedPreceding, 0)
+    sums = dealt.groupBy(*mine, "q_part").agg(F.sum("q_size").alias("held"))
+    before = F.sum("held").over(Window.partitionBy(*mine).orderBy("q_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sums.select(*[F.col(c).alias(f"s_{c}") for c in mine], F.col("q_part").alias("s_part"), F.coalesce(before, F.lit(0)).alias("before"))
+    same = F.col("q_part") == F.col("s_part")
+    for c in mine:
+        same = same & F.col(c).eqNullSafe(F.col(f"s_{c}"))
+    summed = dealt.withColumn("q_inside", F.sum("q_size").over(inside)).join(starts, same)
+    return summed.select("q_row.*", (F.col("before") + F.col("q_inside")).alias(name))
+
+
 def walk(rows: DataFrame, key: str, order: tuple[str, ...], make, out: str, kind: str) -> DataFrame:
     """``rows`` with the column ``out`` that a walk over each key's ordered rows gives.
 
