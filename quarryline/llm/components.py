@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import gc
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.session import materialise
@@ -12,30 +14,44 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(u, v) long edges to one row (node, root) per node that has an edge; root is the least node.
 
     Each round links every node's larger neighbours to its least one, then its smaller ones,
-    which shortens paths and never adds edges. It ends when a round changes nothing; rounds
-    grow with the logarithm of the longest path. Every round is checkpointed. Loops (u = v)
-    are ignored; no edges give no rows.
+    which shortens paths and never adds edges. It ends when every node but the roots has one edge,
+    to a root; rounds grow with the logarithm of the longest path. Every round is checkpointed,
+    and what it shuffled is let go. Loops (u = v) are ignored; no edges give no rows.
     """
     current = materialise(
         edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
     )
-    state = signature(current)
-    while True:
-        both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lower = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        following = materialise(small.unionByName(lower.select("u", F.col("m").alias("v"))).distinct())
-        reached = signature(following)
-        if reached == state:
-            break
-        current, state = following, reached
+    let_go(current.sparkSession)
+    while not of_stars(current):
+        current = contracted(current)
+        let_go(current.sparkSession)
     nodes = current.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return nodes.unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def signature(edges: DataFrame) -> tuple:
-    """Number and order-free checksum of the edges."""
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def contracted(current: DataFrame) -> DataFrame:
+    """One round: larger neighbours to the least one of each node, then smaller ones."""
+    both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    lower = large.groupBy("u").agg(F.min("v").alias("m"))
+    small = large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+    return materialise(small.unionByName(lower.select("u", F.col("m").alias("v"))).distinct())
+
+
+def of_stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge down at most, and none if an edge comes down to it."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("met"))
+    ends = ends.unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("met")))
+    counted = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("met").alias("met"))
+    return counted.filter("down > 1 OR (down > 0 AND met > 0)").isEmpty()
+
+
+def let_go(spark: SparkSession) -> None:
+    """Have executors delete the shuffle files and checkpoints that nothing refers to any more.
+
+    They go when the driver's garbage is collected, which it otherwise puts off for half an hour
+    while many small shuffles fill the disks.
+    """
+    gc.collect()
+    spark._jvm.System.gc()

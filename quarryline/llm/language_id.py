@@ -256,6 +256,8 @@ def drop_unidentified(docs: DataFrame, model: Model, min_score: float = 0.5) ->
     Null texts and texts without a letter go. Columns may have any names; rows may repeat.
     """
     names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    place = [name.lower() for name in names].index("text")
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -263,7 +265,7 @@ def drop_unidentified(docs: DataFrame, model: Model, min_score: float = 0.5) ->
 
         def step(batch):
             keep = []
-            for text in texts_of(batch):
+            for text in texts_of(batch, f"c{place}"):
                 held["scores"] = held["scores"].trimmed()
                 lang, score = predict(shipped.value, held["scores"], text.decode("utf-8", "replace"))
                 keep.append(lang != UNKNOWN and score >= min_score)
@@ -271,4 +273,4 @@ def drop_unidentified(docs: DataFrame, model: Model, min_score: float = 0.5) ->
 
         return step
 
-    return map_batches(docs.select(*names), make, docs.schema)
+    return map_batches(plain, make, plain.schema).toDF(*names)

@@ -144,7 +144,7 @@ def mix_sources(docs: DataFrame, seed: int = 0, weights=WEIGHTS, max_epochs: int
     room = F.greatest(F.lit(0), F.least(c("words"), c("rest") - c("before") - (nth - 1) * c("words")))
     cut = planned.filter(at_cut).withColumn(f"{p}taken", epochs + room)
     kept = [*docs.columns, *[f"{p}{name}" for name in ("words", "source_size", "target", "taken")]]
-    return clear.unionByName(cut).select(*[F.col(f"`{name}`") for name in kept]).withColumnRenamed(f"{p}source_size", f"{p}size")
+    return clear.unionByName(cut).select(*[F.col("`{}`".format(name.replace("`", "``"))) for name in kept]).withColumnRenamed(f"{p}source_size", f"{p}size")
 
 
 def take_mix(docs: DataFrame, seed: int = 0) -> DataFrame:

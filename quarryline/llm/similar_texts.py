@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 
 from quarryline.llm import sieve
 from quarryline.llm.arrow import column_of, map_batches, texts_of
-from quarryline.llm.components import connected_components
+from quarryline.llm.components import connected_components, let_go
 from quarryline.llm.near_dedup import HASH_SEED, keep_least, near_groups, set_bits, shingle_hashes, words_of
-from quarryline.session import materialise
+from quarryline.session import broadcast_within, materialise
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -36,6 +36,8 @@ BANDS, ROWS = 32, 5
 CHUNK = 2048
 #: Pairs with one text that a task verifies, about.
 TASK_PAIRS = 2000
+#: Texts with more pairs than that are broadcast up to this number.
+BROADCAST_TEXTS = 100_000
 #: Bits of a sketch, one for each of as many permutations, and standard deviations that a pair may be off.
 SKETCH_BITS, SLACK = 512, 4
 FACTORS, OFFSETS = np.random.RandomState(HASH_SEED).randint(0, 1 << 64, (2, SKETCH_BITS, 1), dtype=np.uint64)
@@ -134,7 +136,7 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     rows = pairs = materialise(pairs)
     for end in ("u", "v"):
         many = pairs.groupBy(F.col(end).alias("many")).count().filter(F.col("count") > TASK_PAIRS)
-        many = F.broadcast(materialise(many.select("many", F.ceil(F.col("count") / TASK_PAIRS).alias("copies"))))
+        many = broadcast_within(materialise(many.select("many", F.ceil(F.col("count") / TASK_PAIRS).alias("copies"))), BROADCAST_TEXTS)
         copies = F.coalesce("copies", F.lit(1))
         dealt = rows.join(many, F.col(end) == F.col("many"), "left").withColumn("part", F.pmod(F.xxhash64("u", "v"), copies)).drop("many", "copies")
         copied = sets.join(many, F.col("node") == F.col("many"), "left").select(
@@ -171,13 +173,16 @@ def similar_groups(nodes: DataFrame, docs: DataFrame, width: int, similarity: fl
     met = materialise(met.drop("held").join(known, "node"))
     leaders = materialise(met.groupBy("place", "key").agg(F.max(F.struct("meets", "node")).alias("leader")))
     led = met.join(leaders, ["place", "key"]).select("node", F.col("leader.node").alias("v"))
+    let_go(docs.sparkSession)
     links = materialise(similar(led.filter("node <> v").select(*pair("node", "v")).distinct(), sets, similarity))
+    let_go(docs.sparkSession)
     labelled = materialise(
         met.join(connected_components(links), "node", "left").select("place", "key", "node", F.coalesce("root", "node").alias("root"))
     )
     mixed = labelled.groupBy("place", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
     mixed = labelled.join(materialise(mixed.select("place", "key")), ["place", "key"])
     mixed = materialise(mixed.join(nodes, "node").join(sets.select("node", "sketch"), "node"))
+    let_go(docs.sparkSession)
     other = mixed.select("place", "key", *[F.col(c).alias(f"v_{c}") for c in ("node", "root", "keys", "sketch")])
     differ = sum((F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("v_sketch")[i])) for i in range(1, SKETCH_BITS // 64)), F.bit_count(F.col("sketch")[0].bitwiseXOR(F.col("v_sketch")[0])))
     new = (F.col("node") > F.col("v_node")) & (F.col("root") != F.col("v_root")) & (differ <= most_different(similarity))
@@ -196,7 +201,10 @@ def drop_similar(docs: DataFrame, width: int = SHINGLE_WORDS, similarity: float
     :func:`quarryline.llm.near_dedup.drop_near_copies`; an empty table stays empty.
     """
     prints = materialise(printed(docs, width))
-    groups = materialise(similar_groups(bucket_keys(prints), docs, width, similarity))
+    keys = bucket_keys(prints)
+    let_go(docs.sparkSession)
+    groups = materialise(similar_groups(keys, docs, width, similarity))
+    let_go(docs.sparkSession)
     least = prints.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(groups, "node")
     smallest = least.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = groups.join(smallest, "root").select("node", "component_id")

@@ -98,7 +98,7 @@ def test_mix_repeats_rows(spark):
 
 def test_columns_with_the_operators_names_stay(spark):
     rows = some_rows()
-    docs = table(spark, rows, "mix_key mix_words MIX_TAKEN source_size")
+    docs = table(spark, rows, "mix_key mix_words MIX_TAKEN source_size a.b w`x")
     found = mixing.mix_sources(docs)
     assert found.columns == [*docs.columns, "_mix_words", "_mix_size", "_mix_target", "_mix_taken"]
     assert sorted((str(r.doc_id), r._mix_taken) for r in found.collect()) == [(i, t) for i, *_, t in sorted(brute(rows), key=lambda x: (x[0], x[4]))]

@@ -57,7 +57,7 @@ def test_pipeline_matches_brute_force(spark):
 def test_stages_keep_awkward_rows_and_columns(spark):
     text = " ".join(f"river stone {i} bridge water night" for i in range(40))
     rows = [(1, text, "en", "a"), (1, text, "en", "a"), (2, text + " more", "en", "a"), (3, None, "en", None), (4, "", None, "b"), (5, "x " * 50_000, "de", "b"), (None, "river of night", "en", None)]
-    docs = documents(spark, [(i, t, lang, source) for i, t, lang, source in rows], "whole root node key place q_id mix_words")
+    docs = documents(spark, [(i, t, lang, source) for i, t, lang, source in rows], "whole root node key place q_id mix_words a.b w`x")
     for given in (docs, documents(spark, [], "whole root")):
         kept = given
         for _, stage in corpus_pipeline.STAGES[:-1]:
