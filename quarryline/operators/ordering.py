@@ -1,12 +1,11 @@
-"""Numbers in an order over all rows, and walks over the ordered rows of each key."""
+"""Numbers and running sums in an order over all rows."""
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarryline.session import materialise, ship_package
+from quarryline.session import materialise
 
 #: Bits of a row's place within its partition in what monotonically_increasing_id gives.
 PLACE_BITS = 33
@@ -50,26 +49,3 @@ def running(rows: DataFrame, by: tuple[str, ...], order: tuple[str, ...], size:
         same = same & F.col(c).eqNullSafe(F.col(f"s_{c}"))
     summed = dealt.withColumn("q_inside", F.sum("q_size").over(inside)).join(starts, same)
     return summed.select("q_row.*", (F.col("before") + F.col("q_inside")).alias(name))
-
-
-def walk(rows: DataFrame, key: str, order: tuple[str, ...], make, out: str, kind: str) -> DataFrame:
-    """``rows`` with the column ``out`` that a walk over each key's ordered rows gives.
-
-    ``make()`` starts a key; what it returns is called with each row as a dict. A task holds the
-    state of one key and one batch, so a key may have any number of rows; they are walked in one task.
-    """
-    types = {"long": pa.int64(), "boolean": pa.bool_()}
-    schema = rows.schema.add(out, kind)
-
-    def run(batches):
-        current, step = object(), None
-        for batch in batches:
-            found = []
-            for row in batch.to_pylist():
-                if row[key] != current:
-                    current, step = row[key], make()
-                found.append(step(row))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, types[kind])], names=[*batch.schema.names, out])
-
-    ship_package(rows.sparkSession)
-    return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.functions.text import fold
-from quarryline.operators.ordering import numbered, walk
+from quarryline.operators.ordering import numbered, running
 from quarryline.operators.rules import Country
+from quarryline.operators.stretches import Pages, walk
 
 NO_LOCATION, REMOTE, OTHER = "NO LOCATION", "REMOTE", "OTHER"
 
@@ -45,43 +46,38 @@ def group_order(rows: DataFrame, group: str, affinity: str, seq: str, order: tup
 
 def pack_rows(rows: DataFrame, key: str, order: tuple[str, ...], size: str, budget: int) -> DataFrame:
     """``rows`` with ``page``: for each key, items in order go on a page as long as they fit; a larger one stands alone."""
+    return walk(with_layout(rows, size, F.lit(0), F.lit(False), F.lit(0)), key, order, Pages(budget, LAYOUT), "page", "long").drop(*LAYOUT)
 
-    def start():
-        page, used = 1, 0
 
-        def put(row):
-            nonlocal page, used
-            if used and used + row[size] > budget:
-                page, used = page + 1, 0
-            used += row[size]
-            return page
+#: Columns of a page's layout: sizes of line and heading, whether the line opens its group, room that the heading asks for.
+LAYOUT = ("q_size", "q_head", "q_opens", "q_room")
 
-        return put
 
-    return walk(rows, key, order, start, "page", "long")
+def with_layout(rows: DataFrame, size, head, opens, room) -> DataFrame:
+    whole = lambda value: F.coalesce(F.col(value) if isinstance(value, str) else value, F.lit(0)).cast("long")
+    return rows.withColumns({"q_size": whole(size), "q_head": whole(head), "q_opens": opens, "q_room": whole(room)})
 
 
-def pack_pages(sizes: Column, budget: int) -> Column:
-    """The page of each item of an ordered array of sizes: as many as fit, a larger one alone."""
-    start = F.struct(F.array().cast("array<int>").alias("pages"), F.lit(0).cast("long").alias("used"), F.lit(1).alias("page"))
+def pack_groups(rows: DataFrame, key: str, group: str, order: tuple[str, ...], size: str, head: Column, budget: int, spare: int = 3) -> DataFrame:
+    """``rows`` with ``page``: lines of a list under the headings of their groups, which are repeated on each page that goes on.
 
-    def put(state, size):
-        size = size.cast("long")
-        fits = (state["used"] == 0) | (state["used"] + size <= budget)
-        page = F.when(fits, state["page"]).otherwise(state["page"] + 1)
-        return F.struct(
-            F.array_append(state["pages"], page).alias("pages"),
-            F.when(fits, state["used"] + size).otherwise(size).alias("used"),
-            page.alias("page"),
-        )
+    ``order`` keeps the lines of a group together and tells those of a key apart; ``head`` is the rendered
+    size of a heading. A group begins on the page only if its heading and ``spare`` more fit, and a line
+    only if its whole rendered size does.
+    """
+    place = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    firsts = rows.groupBy(F.col(key).alias("q_key"), F.col(group).alias("q_group")).agg(F.min(place).alias("q_first"))
+    met = rows.join(firsts, F.col(key).eqNullSafe(F.col("q_key")) & F.col(group).eqNullSafe(F.col("q_group")))
+    laid = with_layout(met.drop("q_key", "q_group"), size, head, place == F.col("q_first"), head + spare).drop("q_first")
+    return walk(laid, key, order, Pages(budget, LAYOUT), "page", "long").drop(*LAYOUT)
 
-    return F.aggregate(sizes, start, put, lambda s: s["pages"])
 
+def within_budget(rows: DataFrame, size: str, budget: int, order: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
+    """The first rows, in order, whose sizes fit into the budget together; it stops at the first that does not.
 
-def within_budget(rows: DataFrame, size: str, budget: int, *order, by: tuple[str, ...] = ()) -> DataFrame:
-    """The first rows, in order, whose sizes fit into the budget together; it stops at the first that does not."""
-    window = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("used", F.sum(size).over(window)).filter(F.col("used") <= budget)
+    Sums run over ranges of the order, so all rows may be one list.
+    """
+    return running(rows, by, order, size, "used").filter(F.col("used") <= budget)
 
 
 def new_since(ids: DataFrame, seen: DataFrame) -> DataFrame:

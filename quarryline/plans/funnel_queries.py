@@ -403,10 +403,26 @@ def packed_pages(spark, sf_dir):
     return present.pack_rows(orders, "o_custkey", ("o_orderkey",), "size", 200).select("o_custkey", "o_orderkey", "page")
 
 
+@query("grouped_pages", """WITH RECURSIVE i AS (SELECT o_custkey, o_orderkey, o_orderstatus AS s, length(o_orderpriority) * 10 AS size, length(o_orderpriority) % 4 * 5 + 9 AS head FROM orders),
+ k AS (SELECT *, row_number() OVER w AS k, coalesce(lag(s) OVER w <> s, true) AS opens FROM i WINDOW w AS (PARTITION BY o_custkey ORDER BY s, o_orderkey)),
+ h AS (SELECT *, first(head) OVER (PARTITION BY o_custkey, s ORDER BY o_orderkey) AS heading FROM k),
+ p(o_custkey, o_orderkey, k, page, used) AS (SELECT DISTINCT o_custkey, 0::BIGINT, 0::BIGINT, 1, 0::BIGINT FROM h
+  UNION ALL SELECT o_custkey, o_orderkey, k, CASE WHEN u2 > 0 AND u2 + size > 200 THEN p2 + 1 ELSE p2 END, CASE WHEN u2 > 0 AND u2 + size > 200 THEN heading + size ELSE u2 + size END FROM (
+   SELECT *, CASE WHEN turns THEN page + 1 ELSE page END AS p2, CASE WHEN turns THEN heading WHEN opens THEN used + heading ELSE used END AS u2 FROM (
+    SELECT h.*, p.page, p.used, h.opens AND p.used > 0 AND p.used + h.heading + 3 > 200 AS turns FROM p JOIN h ON h.o_custkey = p.o_custkey AND h.k = p.k + 1)))
+ SELECT o_custkey, o_orderkey, page FROM p WHERE k > 0""")
+def grouped_pages(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", (F.length("o_orderpriority") * 10).alias("size"), (F.length("o_orderpriority") % 4 * 5 + 9).alias("head"))
+    headings = orders.groupBy("o_custkey", "o_orderstatus").agg(F.min_by("head", "o_orderkey").alias("heading"))
+    rows = orders.drop("head").join(headings, ["o_custkey", "o_orderstatus"])
+    packed = present.pack_groups(rows, "o_custkey", "o_orderstatus", ("o_orderstatus", "o_orderkey"), "size", F.col("heading"), 200)
+    return packed.select("o_custkey", "o_orderkey", "page")
+
+
 @query("budget_prefix", "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, sum(length(o_orderpriority)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS used FROM orders) WHERE used <= 40")
 def budget_prefix(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").withColumn("size", F.length("o_orderpriority"))
-    return present.within_budget(rows, "size", 40, F.col("o_orderkey"), by=("o_custkey",)).select("o_custkey", "o_orderkey")
+    return present.within_budget(rows, "size", 40, ("o_orderkey",), by=("o_custkey",)).select("o_custkey", "o_orderkey")
 
 
 @query("source_caps", "SELECT doc_id, place, source_offers FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place, count(*) OVER (PARTITION BY source) AS source_offers FROM documents) WHERE place <= 3000")

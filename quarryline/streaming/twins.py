@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quarryline.operators.ordering import walk
+from quarryline.operators.stretches import Gate, walk
 
 COMMANDS = (
     ("seen", r"^seen((?:\s+#?\d+)+)\s*$"),
@@ -105,39 +105,12 @@ def merge_each_batch(merge: Callable[[DataFrame, DataFrame], DataFrame], read: C
     return run
 
 
-def cadence_gate(runs: Column, every_ms: int) -> Column:
-    """Of ordered times (ms) of wanted runs, those that a gate lets through: at least ``every_ms`` apart.
+def cadence_runs(wanted: DataFrame, key: str, order: tuple[str, ...], at: str, every_ms: int) -> DataFrame:
+    """``wanted`` with ``ran``: whether the gate of its key lets a run through, ``every_ms`` or more after the last one.
 
     A time before the last one (a clock that was set back) resets the gate.
     """
-    start = F.struct(F.array().cast("array<bigint>").alias("ran"), F.lit(None).cast("bigint").alias("last"))
-
-    def step(state, now):
-        passes = state["last"].isNull() | (now < state["last"]) | (now - state["last"] >= every_ms)
-        return F.struct(
-            F.when(passes, F.array_append(state["ran"], now)).otherwise(state["ran"]).alias("ran"),
-            F.when(passes, now).otherwise(state["last"]).alias("last"),
-        )
-
-    return F.aggregate(runs, start, step, lambda s: s["ran"])
-
-
-def cadence_runs(wanted: DataFrame, key: str, order: tuple[str, ...], at: str, every_ms: int) -> DataFrame:
-    """``wanted`` with ``ran``: for each key, whether the gate lets the run through; the rule of :func:`cadence_gate`."""
-
-    def start():
-        last = None
-
-        def passes(row):
-            nonlocal last
-            if last is None or row[at] < last or row[at] - last >= every_ms:
-                last = row[at]
-                return True
-            return False
-
-        return passes
-
-    return walk(wanted, key, order, start, "ran", "boolean")
+    return walk(wanted, key, order, Gate(every_ms, (at,)), "ran", "boolean")
 
 
 def cooled_down(now: Column, refused_at: Column, cooldown_ms: int) -> Column:

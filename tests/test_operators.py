@@ -121,8 +121,10 @@ def test_merge_drops_keeps_undated_and_caps(spark):
 
 
 def test_pages_and_budget(spark):
-    pages = spark.range(1).select(present.pack_pages(F.array(*map(F.lit, [50, 60, 200, 10, 90, 1])), 100).alias("p")).first().p
-    assert pages == [1, 2, 3, 4, 4, 5]
+    rows = spark.createDataFrame([(1, i, size) for i, size in enumerate([50, 60, 200, 10, 90, 1])], "k long, i long, size long")
+    packed = present.pack_rows(rows, "k", ("i",), "size", 100)
+    assert packed.columns == ["k", "i", "size", "page"] and [r.page for r in packed.orderBy("i").collect()] == [1, 2, 3, 4, 4, 5]
+    assert sorted(r.i for r in present.within_budget(rows, "size", 110, ("i",)).collect()) == [0, 1]
 
 
 def test_funnel_adds_up(spark):

@@ -53,7 +53,8 @@ def test_replies_join_within_the_interval(spark, tmp_path):
 
 def test_gates(spark):
     hour = 3_600_000
-    ran = twins.cadence_gate(F.array(*[F.lit(h * hour) for h in (0, 1, 5, 6, 2, 3)]), 4 * hour)
-    assert spark.range(1).select(ran.alias("x")).first().x == [0, 5 * hour, 2 * hour]
+    wanted = spark.createDataFrame([("a", i, h * hour if h is not None else None) for i, h in enumerate((0, 1, 5, None, 6, 2, 3))], "k string, i long, at long")
+    ran = twins.cadence_runs(wanted, "k", ("i",), "at", 4 * hour).filter("ran").orderBy("i").collect()
+    assert [r.at for r in ran] == [0, 5 * hour, 2 * hour]
     cases = spark.createDataFrame([(100, None, True), (100, 90, False), (100, 10, True), (100, 200, True)], "now long, refused long, ok boolean")
     assert cases.filter(twins.cooled_down(F.col("now"), F.col("refused"), 50) != F.col("ok")).count() == 0
