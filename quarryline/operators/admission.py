@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions.text import role_key, url_is_safe, url_key
@@ -111,3 +111,24 @@ def cap_per_source(offers: DataFrame, source: str, seq: str, most: int = 3000) -
     counts = offers.groupBy(F.col(source).alias("counted_source")).agg(F.count(F.lit(1)).alias("source_offers"))
     first = offers.withColumn("place", place).filter(F.col("place") <= most)
     return first.join(counts, F.col(source).eqNullSafe(F.col("counted_source"))).drop("counted_source")
+
+
+def observed(verdicts: DataFrame, order: tuple[str, ...] = STAGES) -> tuple[DataFrame, Observation]:
+    """``verdicts`` and an observation of them: how many there are, and how many of each stage.
+
+    The figures come with whatever the verdicts are written to, in the same pass; they are there once
+    it has run.
+    """
+    figures = [F.count_if(F.col("stage") == stage).alias(metric_name(stage)) for stage in order]
+    seen = Observation()
+    return verdicts.observe(seen, F.count(F.lit(1)).alias("found"), *figures), seen
+
+
+def metric_name(stage: str) -> str:
+    return stage.lower().replace(" ", "_")
+
+
+def run_metrics(spark: SparkSession, seen: Observation, **facts) -> DataFrame:
+    """One row of a run: the observed figures and other facts (calls, failures, time)."""
+    figures = {name: int(value) for name, value in seen.get.items()} | facts
+    return spark.createDataFrame([tuple(figures.values())], list(figures))
