@@ -134,6 +134,7 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (u, v) whose texts are as similar as asked. Texts with very many pairs go to several tasks."""
     rows = pairs = materialise(pairs)
+    let_go(pairs.sparkSession)
     for end in ("u", "v"):
         many = pairs.groupBy(F.col(end).alias("many")).count().filter(F.col("count") > TASK_PAIRS)
         many = broadcast_within(materialise(many.select("many", F.ceil(F.col("count") / TASK_PAIRS).alias("copies"))), BROADCAST_TEXTS)
@@ -170,6 +171,7 @@ def similar_groups(nodes: DataFrame, docs: DataFrame, width: int, similarity: fl
     met = materialise(placed.join(shared, ["place", "key"]))
     known = materialise(met.groupBy("node").agg(F.sum("held").alias("meets")))
     sets = materialise(shingle_sets(docs, known.select("node"), width))
+    let_go(docs.sparkSession)
     met = materialise(met.drop("held").join(known, "node"))
     leaders = materialise(met.groupBy("place", "key").agg(F.max(F.struct("meets", "node")).alias("leader")))
     led = met.join(leaders, ["place", "key"]).select("node", F.col("leader.node").alias("v"))
@@ -188,7 +190,9 @@ def similar_groups(nodes: DataFrame, docs: DataFrame, width: int, similarity: fl
     new = (F.col("node") > F.col("v_node")) & (F.col("root") != F.col("v_root")) & (differ <= most_different(similarity))
     rest = mixed.join(other, ["place", "key"]).filter(new & (first_shared("keys", "v_keys") == F.col("place") + 1))
     rest = rest.select(F.col("node").alias("u"), F.col("v_node").alias("v"))
-    last = connected_components(links.unionByName(similar(rest, sets, similarity)))
+    found = materialise(similar(rest, sets, similarity))
+    let_go(docs.sparkSession)
+    last = connected_components(links.unionByName(found))
     return nodes.join(last, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
@@ -200,6 +204,7 @@ def drop_similar(docs: DataFrame, width: int = SHINGLE_WORDS, similarity: float
     are compared whole. Ids and repeated rows are treated as in
     :func:`quarryline.llm.near_dedup.drop_near_copies`; an empty table stays empty.
     """
+    let_go(docs.sparkSession)
     prints = materialise(printed(docs, width))
     keys = bucket_keys(prints)
     let_go(docs.sparkSession)
