@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import random
+import time
 
+from quarryline.operators import dedup
 from quarryline.operators.dedup import greedy_two_key
 
 
@@ -39,3 +41,17 @@ def test_matches_the_walk_on_random_rows(spark):
         assert sorted(r.seq for r in greedy_two_key(frame(spark, rows), "a", "b", "seq").collect()) == walk(rows)
         backwards = greedy_two_key(frame(spark, rows), "a", "b", "seq", newest=True)
         assert sorted(r.seq for r in backwards.collect()) == sorted(walk(rows[::-1]))
+
+
+def test_components_too_large_for_a_task_are_decided_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "TASK_ROWS", 4)
+    dice = random.Random(6)
+    rows = [(i, str(dice.randrange(12)), str(dice.randrange(12))) for i in range(60)] + [(100 + i, f"u{i // 2}", f"r{(i + 1) // 2}") for i in range(9)]
+    assert sorted(r.seq for r in greedy_two_key(frame(spark, rows), "a", "b", "seq").collect()) == walk(rows)
+
+
+def test_a_long_chain_takes_no_round_for_each_link(spark):
+    rows = [(i, f"u{i // 2}", f"r{(i + 1) // 2}") for i in range(10_000)]
+    began = time.time()
+    assert sorted(r.seq for r in greedy_two_key(frame(spark, rows), "a", "b", "seq").collect()) == walk(rows) == list(range(0, 10_000, 2))
+    assert time.time() - began < 60
