@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quarryline.llm import sieve
 from quarryline.llm.arrow import column_of, map_batches, texts_of
-from quarryline.llm.components import connected_components, let_go
+from quarryline.operators.components import connected_components, let_go
 from quarryline.llm.near_dedup import HASH_SEED, keep_least, near_groups, set_bits, shingle_hashes, words_of
 from quarryline.session import broadcast_within, materialise
 
