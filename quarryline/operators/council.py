@@ -74,6 +74,7 @@ def council_tags(offers: DataFrame, journal: DataFrame) -> DataFrame:
 
 
 def batch_tally(journal: DataFrame) -> DataFrame:
+    """How many records say show, hide or tie."""
     return journal.groupBy("council").agg(F.count(F.lit(1)).alias("n"))
 
 

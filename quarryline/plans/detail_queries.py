@@ -8,7 +8,7 @@ from quarryline.functions.text import html_text
 from quarryline.operators import admission, evidence, review, translations
 from quarryline.plans.funnel_queries import D_STAGED, GATES, page_offers, query
 from quarryline.operators.ordering import running
-from quarryline.plans.text_queries import D_HTML, d_chain
+from quarryline.plans.text_queries import d_html
 from quarryline.session import table
 from quarryline.sources import details
 
@@ -44,7 +44,7 @@ def detail_requests(spark, sf_dir):
 
 # every second answer comes, the others fail in all ways
 D_REGION = "'<nav>menu</nav><section class=\"wide adp-body\">' || replace(replace(html, '<p>', '<section>'), '</p>', '</section>')"
-D_TEXT = lambda column: f"trim({d_chain(column, D_HTML)})"
+D_TEXT = d_html
 #: The running sum of depths over the pieces of a page behind its opening tag, and where it returns to nought.
 D_SECTION = r"""pieces AS (SELECT page_id, generate_subscripts(p, 1) AS i, unnest(p) AS piece FROM (SELECT page_id, string_split({html}, '<') AS p FROM {rows})),
  tags AS (SELECT *, contains(piece, '>') AS closed, lower(string_split(piece, '>')[1]) AS tag FROM pieces WHERE i > 1),

@@ -118,7 +118,9 @@ ROLES = Fixture("roles", "id long, company string, title string", [
     (1, "Tidal Works", "Junior Tide Modeller (m/f/d)"), (2, "tidal works", "junior  tide modeller"), (3, "Tidal Works GmbH", "Junior Tide Modeller"),
     (4, "Aggregator", "Junior Tide Modeller"), (5, "", "Junior Tide Modeller"), (6, "Reed &amp; Sons", "Planner 80-100%"), (7, "Reed & Sons", "Planner"),
     (8, "Gull N.V.", "Diver - "), (9, None, "Diver"), (10, "Gull", "Diver (all genders)"), (11, "Gull Holding Benelux", "Diver – Senior"),
-], from_documents(company="source", title="left(text, 80)"), "SELECT doc_id + 1000, source, left(text, 80) FROM documents")
+    (12, "Tern Nederland", "Cook (m / w / d) 80 – 100 %"), (13, "Auk España SL", "Cook (x w m), 1180% pay"), (14, "Group Auk", "Cook (m//f) (GN) a80%"), (15, "Eider Deutschland", "Cook (ALL  Genders) 12345-80%"),
+    (16, "Knot Ag-West", "Clerk (f)"), (17, "Deutschland", "Clerk (m|w|x), -"),
+], from_documents(company="source", title="text"), "SELECT doc_id + 1000, source, text FROM documents")
 PLACES = Fixture("places", "id long, location string", [
     (1, "Antwerp, Belgium"), (2, "Lyon, Lyon, France"), (3, ""), (4, None), (5, "Lima; Bergen, Norway"), (6, "Remote"), (7, "3 Locations"),
     (8, "País Vasco (north), Spain"), (9, "Indianapolis"), (10, "India"), (11, "Ghent (Belgium), ghent, BELGIUM"), (12, "Norway; France"), (13, ";"),
@@ -127,13 +129,24 @@ TITLES = Fixture("titles", "id long, title string", [
     (1, "Junior Tide Modeller"), (2, "Senior Modeller"), (3, "GIS Analyst"), (4, "Registers Clerk"), (5, "Modellers wanted (German speaking)"),
     (6, "Analyst, German or English speaking"), (7, "Coast??? Planner"), (8, "Études côtières"), (9, ""), (10, None),
     (11, "Deutschsprachige Kraft"), (12, "Planner � Port"), (13, "French/English speaker, tide desk"), (14, "Sales Modeller for tide data"),
-], from_documents(title="left(text, 120)"), "SELECT doc_id + 1000, left(text, 120) FROM documents")
+    (15, "Clerk, Dutch-speaking"), (16, "Clerk (fluent Dutch) speaking"), (17, "Polish and Czech speaker"), (18, "Swedish native and otherwise very far away speaker"), (19, "Italian, or English speakers"),
+    (20, "English ou portuguese parlant"), (21, "undanish speaker"), (22, "Norwegian of English sprechend"), (23, "Flemish (or English) speaking"), (24, "Nederlandssprachig"),
+], from_documents(title="text"), "SELECT doc_id + 1000, text FROM documents")
 PROOFS = Fixture("proofs", "id long, status int, final_url string, body string, controls array<string>", [
     (1, 404, "https://a.example/1", "", []), (2, 503, "https://a.example/2", "x", []), (3, 0, "", "", []),
     (4, 200, "https://a.example/4?error=true", "long text", []), (5, 200, "https://a.example/5", "Sorry, this position has been filled. Apply now elsewhere", []),
     (6, 200, "https://a.example/6", "Applications closed on holidays. Apply now", []), (7, 200, "https://a.example/7", "Applications are closed", []),
     (8, 200, "https://a.example/8", "short", ["Easy Apply"]), (9, 200, "https://a.example/9", "12 jobs found", []),
     (10, 200, "https://a.example/10", "short", []), (11, 200, "https://a.example/11", "word " * 80, ["Menu"]), (12, None, None, None, None),
+    (13, 200, "u", "The job is no longer available", []), (14, 200, "u", "This job, sadly, is no longer open", []), (15, 200, "u", "This job has expired", []),
+    (16, 200, "u", "The job posting has expired", []), (17, 200, "u", "We are no longer accepting applications", []), (18, 200, "u", "This role is no longer ours. Apply now", []),
+    (19, 200, "u", "This job listing is closed", []), (20, 200, "u", "Job not found", []), (21, 200, "u", "The page you are looking for doesn’t exist", []),
+    (22, 200, "u", "Closed on 3 March. Jetzt bewerben", []), (23, 200, "u", "Closed on March 3", []), (24, 200, "u", "Diese Stelle ist bereits besetzt", []),
+    (25, 200, "u", "Offre expirée", []), (26, 200, "u", "Cette offre n'est plus disponible", []), (27, 200, "u", "Applications have closed. Solliciteer!", []),
+    (28, 200, "u", "Application is closed; apúntate", []), (29, 200, "u", "Applications closed. Inscríbete", []), (30, 200, "u", "Applications closed. Envía tu CV", []),
+    (31, 200, "u", "Applications closed. Aplicar ahora", []), (32, 200, "u", "Applications closed. Postulez", []), (33, 200, "u", "Applications closed. Start your application", []),
+    (34, 200, "u", "Search for jobs page is loaded", []), (35, 200, "u", "x", ["Solicitar"]), (36, 200, "u", "x", ["Ich bewerbe mich"]), (37, 200, "u", "x", ["Postuler"]), (38, 200, "u", "x", ["Reapply"]),
+    (39, 200, "u", "Applications closed. Bewirb dich", []), (40, 200, "u", "Applications closed, diese Stelle ist besetzt. Apply here", []), (41, 200, "u", "Applications closed. Apply for this role", []),
 ], page_proofs, "SELECT page_id + 1000, 200, url, html, regexp_extract_all(html, '<a [^<>]*>([^<]*)', 1) FROM pages")
 MAILS = Fixture("mails", "id long, subject string, snippet string, body string, sender string", [
     (1, "Your application", "Thank you for applying", "We have received your application", "Tidal <no-reply@tidal.example>"),
@@ -145,7 +158,7 @@ MAILS = Fixture("mails", "id long, subject string, snippet string, body string,
     (7, "Undelivered Mail Returned to Sender", "address not found", "", "mailer@x.example"),
     (8, "Lunch", "Friday?", "See you", "Bo <bo@home.example>"), (9, None, None, None, None),
     (10, "Réponse", "Leider", "Leider müssen wir absagen", "x@y.example"),
-], from_turns(subject="''", snippet="left(text, 60)", body="text", sender="concat(role, '@jobs.example')"), "SELECT conv_id * 100 + turn + 1000, '', left(text, 60), text, role || '@jobs.example' FROM conversations")
+], from_turns(subject="''", snippet="text", body="text", sender="concat(role, '@jobs.example')"), "SELECT conv_id * 100 + turn + 1000, '', text, text, role || '@jobs.example' FROM conversations")
 VERDICTS = Fixture("answers", "id long, text string", [
     (1, '{"vote": "show", "reason": "fits", "confidence": 0.8}'), (2, 'Well: {"decision":"HIDE","reason":"far","confidence":"80"} end'),
     (3, "vote: keep, confidence 0.4"), (4, "I would show it"), (5, "show or hide? hard"), (6, "no idea"), (7, None), (8, '{"vote":"maybe","reason":"unclear"}'),
@@ -153,6 +166,8 @@ VERDICTS = Fixture("answers", "id long, text string", [
 ], from_turns(text="text"), "SELECT conv_id * 100 + turn + 1000, text FROM conversations")
 REASONS = Fixture("reasons", "id long, reason string", [
     (1, ""), (2, None), (3, "(no reason)"), (4, "link is closed"), (5, "Wrong field for me"), (6, "asks for 5 years"), (7, "too far"), (8, "needs fluent Dutch"),
+    (9, "a disclosed salary"), (10, "Ya no acepta solicitudes"), (11, "No es un trabajo para mí"), (12, "pide titulación"), (13, "demasiados años"), (14, "I don't want to be a clerk"),
+    (15, "bans on boats"), (16, "no va el link"), (17, "Not the right area"), (18, "5 ans minimum"), (19, "reflotada"), (20, "no me gusta el puesto"),
 ], from_turns(reason="text"), "SELECT conv_id * 100 + turn + 1000, text FROM conversations")
 LINES = Fixture("typed", "id long, text string", [
     (1, "seen 3 #4 4"), (2, "Applied #12"), (3, "no 7 too far away"), (4, "no"), (5, "undo"), (6, "undo 9"), (7, "interview 5 on Monday"), (8, "list"),
@@ -175,7 +190,7 @@ DEMANDS = Fixture("demands", "id long, title string, text string", [
     (11, "Planner", "A bachelor degree in mechanical engineering is required."), (12, "Planner", "Degree in mechanical engineering preferred."),
     (13, "Planner", "Fluent German required."), (14, "Planner", "German is a plus."), (15, "Planner", "Fluent German? No."), (16, "Planner", None), (17, "Planner", ""),
     (18, "Planner", "Bachelor or master's degree required, or equivalent experience."), (19, "Planner", "Contract of 2 years. Experience required."),
-], from_documents(title="left(text, 60)", text="text"), "SELECT doc_id + 1000, left(text, 60), text FROM documents")
+], from_documents(title="source", text="text"), "SELECT doc_id + 1000, source, text FROM documents")
 CV = Fixture("cv", "cv_id long, line_no int, line string", [
     (1, 1, "# Ann Reed"), (1, 2, "Likes the sea, boats"), (1, 3, "## Skills"), (1, 4, "- Python, GIS (basic), tide tables"), (1, 5, "### More"),
     (1, 6, "Survey/Mapping; 3 things, native Dutch"), (1, 7, "## Work"), (1, 8, "Sailing, Rowing"), (2, 1, "## Competences"), (2, 2, "Welding, Welding"),

@@ -10,7 +10,7 @@ from quarryline.functions.patterns import Rule
 from quarryline.operators import admission, council, dedup, discover, ledger, mail, present
 from quarryline.operators.rules import Country, CountryRules, LocationRules, TitleRules
 from quarryline.plans import fixtures as fx
-from quarryline.plans.text_queries import D_HTML, D_URL, d_chain, d_role, with_rows
+from quarryline.plans.text_queries import D_TITLE, D_URL, d_html, d_role, with_rows
 from quarryline.session import table
 from quarryline.streaming import twins
 
@@ -46,7 +46,7 @@ def page_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.unionByName(again)
 
 
-D_OFFERS = f"""offers AS (SELECT page_id AS seq, url, trim({d_chain("regexp_extract(html, '(?i)<title[^<>]*>([^<]*)', 1)", D_HTML)}) AS title,
+D_OFFERS = f"""offers AS (SELECT page_id AS seq, url, {d_html(D_TITLE)} AS title,
  regexp_extract(url, '^https?://([^/]+)', 1) AS company, regexp_extract(url, '^https?://[^/]+/([a-z]{{2}})/', 1) AS location FROM pages),
 o2 AS (SELECT * FROM offers UNION ALL SELECT seq + 1000000000, url || CASE WHEN seq % 2 = 0 THEN '?ref=again' ELSE '&ref=again' END, title, company, location FROM offers),
 keyed AS (SELECT *, {D_URL} AS url_key, {d_role('company')} || '::' || {d_role('title')} AS role_key FROM o2)"""
@@ -359,8 +359,11 @@ def term_records(spark, sf_dir):
     return discover.term_records(TERMS, part.filter("p_partkey % 3 = 0"), applied, F.col("p_size") > 20)
 
 
-@query("reason_families", with_rows(fx.REASONS, rf"""SELECT id, CASE WHEN trim(t) IN ('', '(no reason)') THEN 'unstated' WHEN regexp_matches(t, {d_phrase(discover.NOISE)}) THEN 'noise' WHEN regexp_matches(t, {d_phrase(discover.WRONG_FIELD)}) THEN 'field'
- WHEN regexp_matches(t, {d_phrase(discover.DEMANDING)}) THEN 'requirements' ELSE 'other' END AS family FROM (SELECT id, lower(strip_accents(coalesce(reason, ''))) AS t FROM reasons)"""))
+@query("reason_families", with_rows(fx.REASONS, r"""SELECT id, CASE WHEN trim(t) IN ('', '(no reason)') THEN 'unstated'
+ WHEN regexp_matches(t, '(^|[^a-z0-9_])closed($|[^a-z0-9_])|expired|no longer|(dead|broken) link|duplicate|duplicad|reflotad|cerrad|no va el link|no acepta') THEN 'noise'
+ WHEN regexp_matches(t, 'not (my|the right) (area|field|job|role)|nothing to do with|wrong (field|role|sector)|(dont|don''t) want to be|not interested in the role|no es trabajo para mi|no es un trabajo para mi|no tiene nada que ver|no me interesa|no quiero ser|no me gusta el puesto') THEN 'field'
+ WHEN regexp_matches(t, 'experienc|expertise|years|jahre|jaar|(^|[^a-z0-9_])(anos|ans)($|[^a-z0-9_])|requirement|requisito|mandatory|skills|conocimiento|nivel|dominio|master|degree|grado|titulacion|carrera|licenc|estudios|language|idioma|fluent|german|aleman|dutch|holand|neerland|frances') THEN 'requirements'
+ ELSE 'other' END AS family FROM (SELECT id, lower(strip_accents(coalesce(reason, ''))) AS t FROM reasons)"""))
 def reason_families(spark, sf_dir):
     return fx.REASONS.frame(spark, sf_dir).select("id", discover.reason_family(F.col("reason")).alias("family"))
 

@@ -57,11 +57,11 @@ def recurrence_notes(spark, sf_dir):
     return reports.recurrence_notes(store, {"no-field": 12, "rule": 6, "none": 3}, F.length("title") + 9, 2000)
 
 
-@query("fresh_labels", """SELECT DISTINCT p_name AS label FROM part WHERE lower(p_name) NOT IN (SELECT lower(p_name) FROM part WHERE p_size > 40 UNION SELECT lower(p_name) FROM part WHERE p_size < 5)""")
+@query("fresh_labels", """WITH l AS (SELECT p_name || ' ' || p_partkey // 3 AS label, p_size FROM part) SELECT DISTINCT label FROM l WHERE lower(label) NOT IN (SELECT lower(label) FROM l WHERE p_size > 40 UNION SELECT lower(label) FROM l WHERE p_size < 5)""")
 def fresh_labels(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
-    known, accepted = part.filter("p_size > 40").select(F.upper("p_name").alias("known")), part.filter("p_size < 5").select("p_name")
-    return labels.without(part.select(F.col("p_name").alias("label")).distinct(), "label", known, accepted)
+    part = table(spark, sf_dir, "part").select(F.concat("p_name", F.lit(" "), F.expr("p_partkey DIV 3").cast("string")).alias("label"), "p_size")
+    known, accepted = part.filter("p_size > 40").select(F.upper("label").alias("known")), part.filter("p_size < 5").select("label")
+    return labels.without(part.select("label").distinct(), "label", known, accepted)
 
 
 @query("distinct_labels", """SELECT arg_min(label, place) AS label FROM (SELECT DISTINCT r_name AS label, 0 AS place FROM region UNION ALL SELECT DISTINCT n_name, 1 FROM nation UNION ALL SELECT DISTINCT c_mktsegment, 2 FROM customer UNION ALL SELECT DISTINCT lower(n_name), 3 FROM nation) GROUP BY lower(label)""")

@@ -44,15 +44,22 @@ def d_decode(column: str) -> str:
     return out
 
 
-def d_chain(column: str, steps) -> str:
-    out = column
-    for pattern, into, flags in steps:
-        out = f"regexp_replace({out}, '{pattern}', '{into}', '{flags}')"
-    return out
+def d_squeezed(column: str) -> str:
+    return f"trim(regexp_replace({column}, '{D_SPACE}+', ' ', 'g'))"
+
+
+def d_html(column: str) -> str:
+    """Markup as text: what follows each opening bracket, by the tag that stands there."""
+    tag = "lower(split_part(p, '>', 1))"
+    inline = "'/?(a|b|em|font|i|mark|small|span|strong|sub|sup|u)(\\s[\\s\\S]*)?'"
+    gap = f"CASE WHEN regexp_full_match({tag}, {inline}) THEN '' WHEN {tag} = '/li' THEN '. ' ELSE ' ' END"
+    pieces = f"string_split(regexp_replace(coalesce({column}, ''), '<!--[\\s\\S]*?-->', '', 'g'), '<')"
+    text = f"array_to_string(list_transform({pieces}, lambda p, i: CASE WHEN i = 1 THEN p WHEN contains(p, '>') THEN {gap} || substr(p, strpos(p, '>') + 1) ELSE '<' || p END), '')"
+    for names, char in (("nbsp|#160|#xa0", " "), ("amp", "&"), ("rsquo|lsquo|apos|#34|#39", "''"), ("quot", '"'), ("[a-z]+", " ")):
+        text = f"regexp_replace({text}, '&({names});', '{char}', 'gi')"
+    return rf"trim(regexp_replace({d_squeezed(text)}, '\.({D_SPACE}*\.)+', '.', 'g'))"
 
 
-D_ROLE = ((r"\(\s*(?:[mwfdxhv](?:\s*[/|,.]?\s*[mwfdxhv])+|all\s*genders?|gn)\s*\)", " ", "gi"), (r"\b\d{2,3}\s*[-–]\s*\d{2,3}\s*%|\b\d{2,3}\s*%", " ", "g"), ("[–—]", "-", "g"), (D_SPACE + "+", " ", "g"), (r"[\s,.;:-]+$", "", ""))
-D_HTML = ((r"<!--[\s\S]*?-->", "", "g"), (r"</?(?:strong|b|em|i|u|span|a|sub|sup|mark|small|font)(?:\s[^<>]*)?>", "", "gi"), ("</li>", ". ", "gi"), ("<[^<>]*>", " ", "g"), ("&#(?:160|xa0);|&nbsp;", " ", "gi"), ("&amp;", "&", "gi"), ("&#3[49];|&rsquo;|&lsquo;|&apos;", "''", "gi"), ("&quot;", '"', "gi"), ("&[a-z]+;", " ", "gi"), (D_SPACE + "+", " ", "g"), (rf"\.(?:{D_SPACE}*\.)+", ".", "g"))
 D_URL = r"regexp_replace(split_part(coalesce(url, ''), '?', 1), '/$', '')"
 
 
@@ -61,11 +68,18 @@ D_TITLE = "regexp_extract(html, '(?i)<title[^<>]*>([^<]*)', 1)"
 
 
 def d_role(column: str) -> str:
-    return f"trim({d_chain(f'lower({column})', D_ROLE)})"
+    """A name in lower case without gender notes in brackets and percentages, dashes made even, no signs at its end."""
+    inside = "lower(substr(s, 2, length(s) - 2))"
+    note = f"""({d_squeezed(inside)} IN ('gn', 'all genders', 'all gender', 'allgenders', 'allgender') OR (regexp_full_match({inside}, '[mwfdxhv/|,.\\s]+')
+ AND length(regexp_replace({inside}, '[^mwfdxhv]', '', 'g')) > 1 AND NOT regexp_matches('/' || {inside} || '/', '[/|,.]\\s*[/|,.]')))"""
+    low = f"lower({column})"
+    out = f"list_reduce(list_prepend({low}, list_filter(regexp_extract_all({low}, '\\([^()]*\\)'), lambda s: {note})), lambda t, s: replace(t, s, ' '))"
+    out = f"regexp_replace({out}, '(^|[^A-Za-z0-9_])([0-9]{{2,3}}\\s*[-–]\\s*)?[0-9]{{2,3}}\\s*%', '\\1 ', 'g')"
+    return rf"trim(regexp_replace({d_squeezed(f"translate({out}, '–—', '--')")}, '[\s,.;:-]+$', ''))"
 
 
 #: A page as text.
-D_PAGE_TEXT = f"trim({d_chain('html', D_HTML)})"
+D_PAGE_TEXT = d_html("html")
 
 
 @query("url_keys", rf"SELECT page_id, {D_URL} AS url_key, regexp_matches(url, '^https?://[^\x00-\x20\x7f|]+$') AS is_safe FROM pages")
@@ -73,7 +87,7 @@ def url_keys(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.url_key("url").alias("url_key"), text.url_is_safe("url").alias("is_safe"))
 
 
-@query("html_texts", f"SELECT page_id, md5(trim({d_chain('html', D_HTML)})) AS text_md5, trim({d_chain(D_TITLE, D_HTML)}) AS title FROM pages")
+@query("html_texts", f"SELECT page_id, md5({d_html('html')}) AS text_md5, {d_html(D_TITLE)} AS title FROM pages")
 def html_texts(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(text.html_text("html")).alias("text_md5"), text.html_title("html").alias("title"))
 
@@ -98,7 +112,7 @@ def clean_fields(spark, sf_dir):
 @query("role_keys", with_rows(fx.ROLES, rf"""SELECT id,
  CASE WHEN {d_role(d_decode('company'))} NOT IN ('', 'aggregator', 'board', 'n/a') THEN {d_role(d_decode('company'))} || '::' || {d_role(d_decode('title'))} END AS role_key,
  CASE WHEN f NOT IN ('', 'aggregator', 'board', 'n/a') THEN f || '::' || {d_role("coalesce(title, '')")} END AS fuzzy_key
- FROM (SELECT *, trim(regexp_replace({d_role("coalesce(company, '')")}, '\s+(?:group|holding|b\.?v\.?|n\.?v\.?|s\.?a\.?|s\.?l\.?|gmbh|ag|ltd|limited|inc|srl|spa)(?:[^\w].*$|$)', '')) AS f FROM roles)"""))
+ FROM (SELECT *, trim(regexp_replace({d_role("coalesce(company, '')")}, '\s+(?:group|holding|nederland|netherlands|belgi[eë]|belgium|espa[nñ]a|france|deutschland|b\.?v\.?|n\.?v\.?|s\.?a\.?|s\.?l\.?|gmbh|ag|ltd|limited|inc|srl|spa)(?:[^\w].*$|$)', '')) AS f FROM roles)"""))
 def role_keys(spark, sf_dir):
     return fx.ROLES.frame(spark, sf_dir).select("id", text.role_key("company", "title").alias("role_key"), text.fuzzy_role_key("company", "title").alias("fuzzy_key"))
 
@@ -163,7 +177,8 @@ def location_gate(spark, sf_dir):
 
 
 @query("title_screens", with_rows(fx.TITLES, r"""SELECT id, coalesce(regexp_matches(title, '\?{3,}|\x{fffd}'), false) AS broken,
- coalesce(regexp_matches(t, '(^|[^a-z])(german|french|deutsch)') AND regexp_matches(t, '(speak(ing|er)?|sprachig)') AND NOT regexp_matches(t, '(german|french)(\s*/\s*|\s+or\s+)english'), false) AS demands_language
+ coalesce(regexp_matches(t, '(^|[^a-z])(danish|deutsch|dutch|flemish|french|german|italian|nederlands|norwegian|polish|portuguese|swedish)([^a-z)][^)]{0,24})?(parlant|speak|sprachig|sprechend)')
+ AND NOT regexp_matches(t, '(^|[^a-z])((danish|deutsch|dutch|flemish|french|german|italian|nederlands|norwegian|polish|portuguese|swedish)(\s*/\s*|\s*,?\s+(or|oder|of|ou|o)\s+)english|english(\s*/\s*|\s*,?\s+(or|oder|of|ou|o)\s+)(danish|deutsch|dutch|flemish|french|german|italian|nederlands|norwegian|polish|portuguese|swedish))([^a-z]|$)'), false) AS demands_language
  FROM (SELECT *, lower(title) AS t FROM titles)"""))
 def title_screens(spark, sf_dir):
     return fx.TITLES.frame(spark, sf_dir).select("id", screens.encoding_broken(F.col("title")).alias("broken"), screens.title_demands_language(F.col("title")).alias("demands_language"))
@@ -179,10 +194,13 @@ def requirement_screens(spark, sf_dir):
 
 
 @query("liveness_verdicts", with_rows(fx.PROOFS, r"""SELECT id, CASE WHEN status IN (404, 410) THEN 'expired' WHEN coalesce(status, 0) = 0 OR status >= 400 THEN 'uncertain'
- WHEN regexp_matches(final_url, '[?&]error=true', 'i') THEN 'expired' WHEN generic AND NOT hard AND regexp_matches(b, 'apply (now|today|here)|submit (your )?application|jetzt bewerben') THEN 'active'
- WHEN hard OR generic THEN 'expired' WHEN len(list_filter(controls, lambda c: regexp_matches(lower(c), '\bapply\b'))) > 0 THEN 'active'
- WHEN regexp_matches(b, '\d+\s+jobs?\s+found') THEN 'expired' WHEN length(trim(b)) < 300 THEN 'expired' ELSE 'uncertain' END AS result
- FROM (SELECT *, regexp_matches(b, 'position has been filled|no longer open|job has expired') AS hard, regexp_matches(b, 'applications?\s+((have|are|is)\s+)?closed') AS generic
+ WHEN regexp_matches(final_url, '[?&]error=true', 'i') THEN 'expired' WHEN generic AND NOT hard AND signal THEN 'active' WHEN hard OR generic OR foreign_closed THEN 'expired'
+ WHEN len(list_filter(controls, lambda c: regexp_matches(lower(c), '\b(apply|solicitar|bewerben|postuler)\b|(submit|start) application|ich bewerbe mich'))) > 0 THEN 'active'
+ WHEN regexp_matches(b, '\d+\s+jobs?\s+found|search for jobs page is loaded') THEN 'expired' WHEN length(trim(b)) < 300 THEN 'expired' ELSE 'uncertain' END AS result
+ FROM (SELECT *, regexp_matches(b, 'position has been filled|job no longer available|job is no longer available|job[^\n]*no longer open|(this job|job posting) has expired|no longer accepting applications|this (position|role|job) no longer|this (position|role|job) is no longer|this job is closed|this job listing is closed|job not found|job listing not found|the page you are looking for doesn.t exist') AS hard,
+  regexp_matches(b, 'applications?\s+closed|applications?\s+(have|are|is)\s+closed|closed on [0-9]{1,2}\s+(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)|closed on (jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)\w*\s+[0-9]{1,2}') AS generic,
+  regexp_matches(b, 'diese stelle (nicht mehr|bereits) besetzt|diese stelle ist (nicht mehr|bereits) besetzt|offre (expirée|n''est plus disponible)') AS foreign_closed,
+  regexp_matches(b, 'apply (now|today|here)|apply for this (job|position|role)|(submit|start) (your )?application|solliciteer|postule[rz]\b|jetzt bewerben|bewirb dich|ap[úu]ntate|inscr[íi]bete|env[íi]a tu (cv|candidatura)|aplicar? ahora') AS signal
   FROM (SELECT *, lower(coalesce(body, '')) AS b FROM proofs))"""))
 def liveness_verdicts(spark, sf_dir):
     return fx.PROOFS.frame(spark, sf_dir).select("id", liveness.liveness(F.col("status"), F.col("final_url"), F.col("body"), F.col("controls"))["result"].alias("result"))
@@ -256,7 +274,7 @@ def feed_cards(spark, sf_dir):
     return feeds.parse_cards(fx.CARDS.frame(spark, sf_dir))
 
 
-@query("page_json_ld", f"SELECT page_id, trim({d_chain(D_TITLE, D_HTML)}) AS title, md5(trim({d_chain(D_PAGE_TEXT, D_HTML)})) AS description_md5 FROM pages")
+@query("page_json_ld", f"SELECT page_id, {d_html(D_TITLE)} AS title, md5({d_html(D_PAGE_TEXT)}) AS description_md5 FROM pages")
 def page_json_ld(spark, sf_dir):
     html = F.concat(
         F.lit('<html><script type="application/ld+json">'), F.to_json(F.struct(F.lit("JobPosting").alias("@type"), text.html_title("html").alias("title"), text.html_text("html").alias("description"))),
