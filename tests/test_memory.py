@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 
-import pytest
 from pyspark.sql import functions as F
 
 from quarryline.operators import discover, ledger
@@ -13,28 +12,23 @@ from quarryline.streaming import memory
 DAY = dt.date(2024, 1, 1)
 
 
-@pytest.fixture
-def store(spark):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", memory.ROCKSDB)
-    yield
-    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-
-
 def put(spark, rows, schema, path):
     spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(path))
 
 
 def drain(stream, tmp_path, mode):
-    found = []
+    """The rows that the next batches give."""
+    name = f"m{len(list(tmp_path.iterdir()))}_{mode}"
 
     def keep(batch, number):
-        found.extend((number, *row) for row in batch.collect())
+        batch.write.mode("append").parquet(str(tmp_path / name))
 
-    stream.writeStream.foreachBatch(keep).option("checkpointLocation", str(tmp_path / "cp")).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return found
+    query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", str(tmp_path / "cp")).outputMode(mode).trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
+    return [(name, *row) for row in stream.sparkSession.read.parquet(str(tmp_path / name)).collect()]
 
 
-def test_what_was_seen_agrees_with_the_anti_join(spark, store, tmp_path):
+def test_what_was_seen_agrees_with_the_anti_join(spark, tmp_path):
     schema = "seq long, url string, title string"
     batches = [[(1, "a", "x"), (2, "b", "y"), (3, "a", "z"), (4, None, "n")], [(5, "a", "again"), (6, "c", "w"), (7, None, "n"), (8, "c", "v")]]
     (tmp_path / "in").mkdir()
@@ -48,7 +42,7 @@ def test_what_was_seen_agrees_with_the_anti_join(spark, store, tmp_path):
     assert {r.seq for r in ledger.unknown_only(new, old, "url").collect()} == {6, 7, 8}
 
 
-def test_recurrence_agrees_with_the_batch_merge(spark, store, tmp_path):
+def test_recurrence_agrees_with_the_batch_merge(spark, tmp_path):
     schema = "title string, why string, bucket string, seq long, day date"
     at = lambda n: DAY + dt.timedelta(days=n)
     batches = [
@@ -67,4 +61,15 @@ def test_recurrence_agrees_with_the_batch_merge(spark, store, tmp_path):
         held = spark.createDataFrame(held.collect(), held.schema)
     batch = {r["key"]: tuple(r[c] for c in memory.STORE.replace(",", "").split()[::2]) for r in held.collect()}
     assert batch.keys() == {"diver", "guard", "cook"} and {k: newest[k] for k in batch} == batch
-    assert newest["cook"][4] == 1 and newest["diver"][1] == "Diver " and newest["diver"][4] == 4
+    assert newest["cook"][4] == 2 and newest["diver"][1] == "Diver " and newest["diver"][4] == 4
+
+
+def test_what_is_not_met_is_forgotten(spark, tmp_path):
+    schema = "title string, why string, bucket string, seq long, day date"
+    (tmp_path / "in").mkdir()
+    stream = memory.recurrence_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+    newest = {}
+    for seq, (title, day) in enumerate([("Cook", 0), ("Guard", 90), ("Guard", 91), ("Cook", 92)]):
+        put(spark, [(title, "x", None, seq, DAY + dt.timedelta(days=day))], schema, tmp_path / "in")
+        newest.update({row[1]: row[1:] for row in drain(stream, tmp_path, "update")})
+    assert newest["cook"][4] == 1 and newest["guard"][4] == 2
