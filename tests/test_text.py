@@ -75,13 +75,19 @@ def test_wrapped_lines_and_labels(spark):
 
 def test_senders(spark):
     assert one(spark, text.sender_name(F.lit('"Ann Reed" <ann@reed.example>'))) == "Ann Reed"
-    assert one(spark, text.sender_name(F.lit("Careers <x@y.example>"))) == ""
+    for name, shown in (("Careers", ""), ("No-Reply", ""), ("Do not reply", ""), ("Recruiting Team", ""), ("HR at Gull", ""), ("Hrafn", "Hrafn"), ("Jobst", "Jobst"), ("Notifications Inc", "Notifications Inc")):
+        assert one(spark, text.sender_name(F.lit(f"{name} <x@y.example>"))) == shown
     assert one(spark, text.sender_domain(F.lit("x@mail.tidalworks.example.com"))) == "tidalworks"
     assert one(spark, text.sender_domain(F.lit("x@mail.platform.com"), ("platform",))) == ""
 
 
 def test_titles(spark):
     assert one(spark, text.clean_title(F.lit("Diver (m/w/d) -"))) == "Diver"
+    for written, shown in (
+        ("Diver (w/m/div.) North", "Diver North"), ("Diver H/F", "Diver"), ("H/F Diver f/h |", "H/F Diver"), ("Diver (All Genders)", "Diver"), ("Diver (north)", "Diver (north)"),
+        ("Diver (a/b/c/d/e)", "Diver (a/b/c/d/e)"), ("Diver (m)", "Diver (m)"), (None, ""), ("Diver ( m / w )", "Diver"),
+    ):
+        assert one(spark, text.clean_title(F.lit(written).cast("string"))) == shown
     assert one(spark, text.compact_title(F.lit("Diver (temporary) - Energy sector - North"))) == "Diver - North"
     assert one(spark, text.compact_title(F.lit("word " * 90))).endswith("…")
 
