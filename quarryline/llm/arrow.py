@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -22,12 +23,23 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
             step = step or make()
             if batch.num_rows:
                 yield from step_rows(step, batch)
+        step = batch = None
+        give_back()
 
     ship_package(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers are used again by other stages, idle ones keep what they had."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # a C library without it
+        pass
+
+
 def step_rows(step, batch: pa.RecordBatch):
     """One output batch for each slice of a batch, so that outputs stay small too."""
     for at in range(0, batch.num_rows, BATCH_ROWS):
