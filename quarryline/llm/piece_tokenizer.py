@@ -36,7 +36,7 @@ NORMAL, UNK, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 THREADS = 2
 CHUNK_BYTES = 1 << 20
 #: Distinct words whose ids a task keeps at a time, and their characters.
-CACHE_WORDS, CACHE_CHARS = 300_000, 8_000_000
+CACHE_WORDS, CACHE_CHARS = 120_000, 3_000_000
 #: New words that are checked as one line.
 LINE_WORDS = 64
 #: A word with the space marks that lead it.
