@@ -65,6 +65,10 @@ def score_links(messages: DataFrame, applications: DataFrame, noise=NOISE, platf
     company name of six letters and more is looked up by its first six among the narrow six-letter
     pieces of a message; the text itself comes back for the few that match. Two title hits need
     one among the title's words without its commonest, so that word makes no candidates.
+
+    Exploded words are far larger than their tables, by whose sizes Spark would broadcast them, so
+    all joins with them are sort-merge joins. Pairs meet narrow columns only, and the words of a
+    message last, when they are not shuffled any more.
     """
     said = F.concat_ws(" ", "subject", "snippet", "body")
     everything = F.concat_ws(" ", said, "from", sender_domain("from", platforms))
@@ -80,22 +84,22 @@ def score_links(messages: DataFrame, applications: DataFrame, noise=NOISE, platf
     short = F.length("compact").between(2, 5)
     a = a.withColumn("names", F.when(short, F.array_union("company_words", F.array("compact"))).otherwise(F.col("company_words")))
     word = m.select("message_id", F.explode("all_words").alias("word"))
-    by_name = a.select("app_id", F.explode("names").alias("word")).join(word, "word").select("message_id", "app_id")
+    by_name = a.select("app_id", F.explode("names").alias("word")).join(word.hint("merge"), "word").select("message_id", "app_id")
     six = F.transform(
         F.when(F.length("squeezed") >= 6, F.sequence(F.lit(1), F.length("squeezed") - 5)).otherwise(F.array()),
         lambda i: F.substring("squeezed", i, F.lit(6)),
     )
     begins = texts.select("message_id", F.explode(F.array_distinct(six)).alias("six"))
     long_names = a.filter(F.length("compact") >= 6).select("app_id", "compact", F.left("compact", F.lit(6)).alias("six"))
-    maybe = begins.join(long_names, "six").select("message_id", "app_id", "compact")
-    inside = maybe.join(texts, "message_id").filter(F.contains("squeezed", "compact")).select("message_id", "app_id")
-    company = by_name.unionByName(inside).distinct().withColumn("company_hit", F.lit(True))
+    maybe = begins.hint("merge").join(long_names, "six").select("message_id", "app_id", "compact")
+    inside = maybe.join(texts.hint("merge"), "message_id").filter(F.contains("squeezed", "compact")).select("message_id", "app_id")
+    company = by_name.unionByName(inside).withColumn("company_hit", F.lit(True))
     spoken = m.select("message_id", F.explode("words").alias("word"))
-    titled = two_hit_candidates(a.select("app_id", "title_words"), spoken)
+    titled = two_hit_candidates(a.select("app_id", "title_words"), spoken).withColumn("company_hit", F.lit(False))
     known = (
-        company.join(titled, ["message_id", "app_id"], "full")
-        .join(m.select("message_id", "sent", "words"), "message_id").join(a.select("app_id", "applied", "city", "title_words"), "app_id")
-        .withColumn("company_hit", F.coalesce("company_hit", F.lit(False)))
+        company.unionByName(titled).groupBy("message_id", "app_id").agg(F.bool_or("company_hit").alias("company_hit"))
+        .join(a.select("app_id", "applied", "city", "title_words").hint("merge"), "app_id")
+        .join(m.select("message_id", "sent", "words").hint("merge"), "message_id")
         .withColumn("title_hits", F.size(F.filter("title_words", lambda w: F.array_contains("words", w))))
     )
     by_company = F.when(F.col("company_hit"), 10).otherwise(0)
@@ -124,11 +128,11 @@ def two_hit_candidates(titles: DataFrame, spoken: DataFrame) -> DataFrame:
     A title of one word has none; a word that stands twice in a title counts as two.
     """
     words = titles.select("app_id", F.posexplode("title_words").alias("at", "word"))
-    often = spoken.join(words.select("word").distinct(), "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    ranked = words.join(often, "word")
+    often = spoken.hint("merge").join(words.select("word").distinct(), "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    ranked = words.hint("merge").join(often, "word")
     place = F.row_number().over(Window.partitionBy("app_id").orderBy(F.desc("n"), "word", "at"))
     rarer = ranked.withColumn("place", place).filter("place > 1").select("app_id", "word").distinct()
-    return rarer.join(spoken, "word").select("message_id", "app_id").distinct()
+    return rarer.join(spoken.hint("merge"), "word").select("message_id", "app_id").distinct()
 
 
 def resolve_links(messages: DataFrame, scored: DataFrame, margin: int = 1) -> DataFrame:

@@ -133,3 +133,14 @@ def test_funnel_adds_up(spark):
     offers = page_offers(spark, "/root/testdata/sf0.001")
     counts = admission.funnel_counts(admission.admit(offers, GATES)).collect()
     assert sum(r.n for r in counts) == offers.count() and len([r for r in counts if r.n]) >= 3
+
+
+def test_links_broadcast_no_exploded_words(spark, tmp_path):
+    """Spark sizes words of messages by their table, so it would broadcast them whatever there are."""
+    m = spark.createDataFrame([(i, "", "", f"about Tidalworks, from its divers {i}", "", dt.datetime(2024, 1, 10), "acknowledged") for i in range(3)], "id long, subject string, snippet string, body string, from string, date timestamp, kind string")
+    a = spark.createDataFrame([(7, "Tidal Works", "Divers, about", "", dt.datetime(2024, 1, 9)), (8, "Nobody", "Cook", "", dt.datetime(2024, 1, 9))], "id long, company string, title string, location string, ts timestamp")
+    m.write.parquet(f"{tmp_path}/m")  # rows from Python have no size
+    a.write.parquet(f"{tmp_path}/a")
+    links = mail.score_links(spark.read.parquet(f"{tmp_path}/m"), spark.read.parquet(f"{tmp_path}/a"))
+    assert "Broadcast" not in links._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.message_id, r.app_id, r.identity, r.score) for r in links.collect()) == [(i, 7, 13, 16) for i in range(3)]
