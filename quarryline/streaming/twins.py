@@ -14,10 +14,10 @@ from quarryline.operators.stretches import Gate, walk
 COMMANDS = (
     ("seen", r"^seen((?:\s+#?\d+)+)\s*$"),
     ("applied", r"^applied\s+#?(\d+)\s*$"),
-    ("longshot", r"^longshot\s+#?(\d+)(?:\s+.*)?$"),
-    ("interview", r"^interview\s+#?(\d+)(?:\s+.*)?$"),
-    ("reject", r"^no\s+#?(\d+)(?:\s+.*)?$"),
-    ("reject_which", r"^no(?:\s+.*)?$"),
+    ("longshot", r"^longshot\s+#?(\d+)(?:\s[\s\S]*)?$"),
+    ("interview", r"^interview\s+#?(\d+)(?:\s[\s\S]*)?$"),
+    ("reject", r"^no\s+#?(\d+)(?:\s[\s\S]*)?$"),
+    ("reject_which", r"^no(?:\s[\s\S]*)?$"),
     ("undo", r"^undo(?:\s+#?(\d+))?\s*$"),
     ("cover", r"^cover\s+#?(\d+)\s*$"),
     ("list", r"^(list)\s*$"),
@@ -26,12 +26,12 @@ COMMANDS = (
     ("blind", r"^(blind)\s*$"),
     ("review", r"^(review)\s*$"),
     ("settings", r"^(settings)\s*$"),
-    ("help", r"^/?(help|start)(?:\s+.*)?$"),
+    ("help", r"^/?(help|start)(?:\s[\s\S]*)?$"),
 )
 
 
 def command(text: Column) -> Column:
-    """(command, ids, note) of a line; the first form that fits decides, none gives ``unknown``."""
+    """(command, ids, note) of a message; the first form that fits decides, none gives ``unknown``. Notes may have many lines."""
     line = F.lower(F.trim(F.coalesce(text, F.lit(""))))
     name = F.lit("unknown")
     for verb, pattern in reversed(COMMANDS):
@@ -39,7 +39,7 @@ def command(text: Column) -> Column:
     numbered = name.isin("seen", "applied", "longshot", "interview", "reject", "undo", "cover")
     digits = F.regexp_extract(line, r"^\w+((?:\s+#?\d+)*)", 1)
     ids = F.transform(F.regexp_extract_all(digits, F.lit(r"(\d+)"), F.lit(1)), lambda x: x.cast("long"))
-    note = F.trim(F.regexp_extract(F.trim(text), r"^\S+(?:\s+#?\d+)*\s*(.*)$", 1))
+    note = F.trim(F.regexp_extract(F.trim(text), r"^\S+(?:\s+#?\d+)*\s*([\s\S]*)$", 1))
     return F.struct(
         name.alias("command"),
         F.when(numbered, F.array_distinct(ids)).otherwise(F.array().cast("array<bigint>")).alias("ids"),

@@ -109,6 +109,15 @@ def test_scalars(spark):
     assert one(spark, midnight) == 0
 
 
+def test_commands_of_many_lines(spark):
+    from quarryline.streaming.twins import command
+
+    for line, name, ids, note in (("No queas.\nÍtarr", "reject_which", [], "queas.\nÍtarr"), ("no 7 far\naway", "reject", [7], "far\naway"), ("longshot 8\nworth\nit", "longshot", [8], "worth\nit"),
+                                  ("interview #5 on\nMonday", "interview", [5], "on\nMonday"), ("help\nme\nnow", "help", [], ""), ("nothing\nhere", "unknown", [], "")):
+        found = one(spark, command(F.lit(line)))
+        assert (found.command, found.ids, found.note) == (name, ids, note)
+
+
 #: Of each literal text: years, why, degree, language, stage.
 DEMANDED = {
     1: (5, "over-threshold", False, False, "YEARS"), 2: (None, None, False, False, None), 3: (3, "over-threshold", False, False, "YEARS"), 4: (None, None, False, False, None),
