@@ -35,6 +35,14 @@ def bounded(term: str, plural: bool = False) -> str:
     return left + literal(text) + right
 
 
+def among_letters(term: str) -> str:
+    """A pattern for a term as a whole word, where letters and digits of any script count, ``ß`` and ``ø`` included."""
+    text = folded(term)
+    left = r"(?:^|[^\p{L}\p{Nd}])" if text[:1].isalnum() else ""
+    right = r"(?:[^\p{L}\p{Nd}]|$)" if text[-1:].isalnum() else ""
+    return left + literal(text) + right
+
+
 def either(patterns: list[str]) -> str:
     """One alternation; an empty list matches nothing."""
     return "|".join(f"(?:{p})" for p in patterns) if patterns else NEVER

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quarryline.functions.patterns import ACRONYM, Rule, bounded, either, folded, literal
+from quarryline.functions.patterns import ACRONYM, Rule, among_letters, bounded, either, folded, literal
 from quarryline.functions.text import fold, trimmed
 
 NO_FIELD, RULE = "no-field", "rule"
@@ -139,7 +139,7 @@ class CountryRules:
 def names_priority(title: Column | str, body: Column | str, terms: tuple[str, ...]) -> Column:
     """A term of the user's priorities stands in the title or the body, as a whole word; it waives years and degrees."""
     text = F.concat_ws(" ", F.coalesce(_column(title), F.lit("")), F.coalesce(_column(body), F.lit("")))
-    return fold(text).rlike(either([bounded(t) for t in terms]))
+    return fold(text).rlike(either([among_letters(t) for t in terms]))
 
 
 def _column(value: Column | str) -> Column:

@@ -118,6 +118,13 @@ def test_commands_of_many_lines(spark):
         assert (found.command, found.ids, found.note) == (name, ids, note)
 
 
+def test_priorities_end_at_letters_of_any_script(spark):
+    from quarryline.operators.rules import names_priority
+
+    for body, named in (("süß undße", False), ("und_so", True), ("quæ que", True), ("øund", False), ("und", True), ("Ünd", True), (None, False), ("write C++17", True)):
+        assert one(spark, names_priority(F.lit("x"), F.lit(body).cast("string"), ("und", "QUE", "C++"))) is named
+
+
 #: Of each literal text: years, why, degree, language, stage.
 DEMANDED = {
     1: (5, "over-threshold", False, False, "YEARS"), 2: (None, None, False, False, None), 3: (3, "over-threshold", False, False, "YEARS"), 4: (None, None, False, False, None),
