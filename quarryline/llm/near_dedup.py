@@ -147,11 +147,11 @@ def three_bit_links(labelled: DataFrame) -> DataFrame:
         .filter("low <> high")
         .select("key", (F.col("held") > CROWD).alias("crowded"))
     )
-    members = materialise(variants.join(broadcast_within(mixed, BROADCAST_KEYS), "key"))
+    members = materialise(variants.join(broadcast_within(mixed, BROADCAST_KEYS, "merge"), "key"))
     few = members.filter("NOT crowded")
     other = few.select("key", F.col("fp").alias("fp2"), F.col("root").alias("root2"))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= RADIUS
-    pairs = few.join(other, "key").filter((F.col("root") < F.col("root2")) & near)
+    pairs = few.join(other.hint("merge"), "key").filter((F.col("root") < F.col("root2")) & near)
     paired = pairs.select(F.col("root2").alias("u"), F.col("root").alias("v"))
     return paired.unionByName(crowded_links(members.filter("crowded").select("fp", "root").distinct())).distinct()
 
@@ -160,7 +160,8 @@ def crowded_links(members: DataFrame) -> DataFrame:
     """Links (u, v) of roots, whole for all pairs within the radius, with rows that grow with the members only.
 
     Each emits its variants at one bit and at two. Whoever has a variant at two bits or fewer is three
-    from those that have it at one or fewer, so it is linked to the least root of these.
+    from those that have it at one or fewer, so it is linked to the least root of these. Spark takes
+    variants to be as few as members and would broadcast them; the join sorts and merges instead.
     """
     bit = lambda name: F.expr(f"shiftleft(1L, {name})")
     one = members.select("fp", "root", F.explode(F.sequence(F.lit(-1), F.lit(63))).alias("i"))
@@ -170,7 +171,7 @@ def crowded_links(members: DataFrame) -> DataFrame:
     two = two.select("root", F.col("variant").bitwiseXOR(bit("j")).alias("variant"))
     near = one.select("root", "variant")
     least = near.groupBy("variant").agg(F.min("root").alias("least"))
-    met = near.unionByName(two).join(least, "variant").filter("root <> least")
+    met = near.unionByName(two).join(least.hint("merge"), "variant").filter("root <> least")
     return met.select(F.greatest("root", "least").alias("u"), F.least("root", "least").alias("v")).distinct()
 
 

@@ -63,12 +63,15 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def broadcast_within(df: DataFrame, max_rows: int) -> DataFrame:
+def broadcast_within(df: DataFrame, max_rows: int, otherwise: str = "") -> DataFrame:
     """Hint a broadcast only when a (materialised) side is counted to be small enough.
 
-    Above ``max_rows`` the side is returned as it is and Spark shuffles for the join.
+    Above ``max_rows`` the side is returned as it is, or with the hint ``otherwise``: "merge" where the
+    other side is exploded, which Spark takes to be as small as before and may broadcast.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    if df.limit(max_rows + 1).count() <= max_rows:
+        return F.broadcast(df)
+    return df.hint(otherwise) if otherwise else df
 
 
 PACKAGE = Path(__file__).resolve().parent

@@ -142,3 +142,9 @@ def grouped(nodes, pairs):
         a, b = sorted((top(a), top(b)))
         least[b] = a
     return {n: top(n) for n in nodes}
+
+
+def test_crowded_variants_are_not_broadcast(spark, tmp_path):
+    spark.range(200).selectExpr("id * 1021 AS fp", "id AS root").write.parquet(f"{tmp_path}/members")  # rows from Python have no size
+    links = near_dedup.crowded_links(spark.read.parquet(f"{tmp_path}/members"))
+    assert "Broadcast" not in links._jdf.queryExecution().executedPlan().toString()
