@@ -34,9 +34,13 @@ UNIGRAM, BPE = 1, 2
 NORMAL, UNK, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Threads of one task's encoder, and bytes of text that are encoded at once.
 THREADS = 2
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 #: Distinct words whose ids a task keeps at a time, and their characters.
 CACHE_WORDS, CACHE_CHARS = 120_000, 3_000_000
+#: Characters of new words that are encoded and checked at once: the libraries take about a hundred bytes for each.
+LEARN_CHARS = 1 << 15
+#: Words whose pieces the tokenizers library keeps where whole texts are encoded, its own default.
+LIBRARY_WORDS = 10_000
 #: New words that are checked as one line.
 LINE_WORDS = 64
 #: A word with the space marks that lead it.
@@ -127,8 +131,8 @@ class PieceModel:
         return not any(SPACE_MARK in p.lstrip(SPACE_MARK) for p, _, kind in self.pieces if kind in (NORMAL, USER_DEFINED))
 
 
-def build_tokenizer(model: PieceModel):
-    """The tokenizers pipeline of a parsed model."""
+def build_tokenizer(model: PieceModel, cached: int = LIBRARY_WORDS):
+    """The tokenizers pipeline of a parsed model; ``cached`` words keep their pieces."""
     from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
     if model.kind == UNIGRAM:
@@ -138,7 +142,7 @@ def build_tokenizer(model: PieceModel):
         vocab = {piece: i for i, (piece, _, _) in enumerate(model.pieces)}
         unknown = model.pieces[model.unk_id][0] if model.unk_id is not None else None
         tokenizer = Tokenizer(
-            models.BPE(vocab, model.merges(), unk_token=unknown, fuse_unk=True, byte_fallback=model.byte_fallback)
+            models.BPE(vocab, model.merges(), cache_capacity=cached, unk_token=unknown, fuse_unk=True, byte_fallback=model.byte_fallback)
         )
     else:
         raise ValueError(f"sentencepiece model type {model.kind} isn't supported")
@@ -196,10 +200,10 @@ class Encoder:
         import sentencepiece
 
         self.model = PieceModel(data)
-        self.tokenizer = build_tokenizer(self.model)
+        self.by_word = self.model.spaces_only_lead() and self.model.escape_spaces and self.model.dummy_prefix
+        self.tokenizer = build_tokenizer(self.model, 0 if self.by_word else LIBRARY_WORDS)  # each word comes once
         self.normalizer = self.tokenizer.normalizer
         self.other = sentencepiece.SentencePieceProcessor(model_proto=data)
-        self.by_word = self.model.spaces_only_lead() and self.model.escape_spaces and self.model.dummy_prefix
         if self.by_word:
             self.tokenizer.normalizer = None  # words are normalised with their texts
             marked = [p.startswith(SPACE_MARK) for p, _, _ in self.model.pieces]
@@ -239,14 +243,17 @@ class Encoder:
         return [self.model.spelled(ids[a:b]) == w for a, b, w in zip([0, *upto.tolist()], upto.tolist(), wanted, strict=False)]
 
     def _learn(self) -> None:
-        """Encode the new words as one line, cut its ids where words begin, and check them.
+        """Encode and check the new words, LEARN_CHARS at a time."""
+        new, self.known.fresh = self.known.fresh, []
+        for run in chunks(new, LEARN_CHARS):
+            self._learn_words(run)
+
+    def _learn_words(self, new: list[str]) -> None:
+        """Encode words as one line, cut its ids where words begin, and check them.
 
         The ids must be those of sentencepiece, and the tokenizers decoder must give the words again
         and what the table of pieces says, in lines of LINE_WORDS.
         """
-        new, self.known.fresh = self.known.fresh, []
-        if not new:
-            return
         self.chars += sum(map(len, new))
         marked = [SPACE_MARK + word for word in new]
         ids, sizes = self._line(marked)
@@ -304,11 +311,11 @@ class Encoder:
         return flat, np.array([len(x) for x in found], np.int64), round_trip, parity
 
 
-def chunks(texts: list[str]) -> Iterator[list[str]]:
-    """Runs of texts of about CHUNK_BYTES together; a longer text is a run of its own."""
+def chunks(texts: list[str], most: int) -> Iterator[list[str]]:
+    """Runs of texts of about ``most`` characters together; a longer text is a run of its own."""
     run, size = [], 0
     for text in texts:
-        if run and size + len(text) > CHUNK_BYTES:
+        if run and size + len(text) > most:
             yield run
             run, size = [], 0
         run.append(text)
@@ -334,7 +341,7 @@ def encode_pieces(docs: DataFrame, model_bytes: bytes) -> DataFrame:
 
         def step(batch):
             ids, sizes, back, same = [], [], [], []
-            for run in chunks([text.decode("utf-8", "replace") for text in texts_of(batch)]):
+            for run in chunks([text.decode("utf-8", "replace") for text in texts_of(batch)], CHUNK_BYTES):
                 found, number, whole, agreed = encoder.encode(run)
                 ids.append(found)
                 sizes.append(number)

@@ -116,3 +116,13 @@ def test_the_cache_is_bounded_by_its_characters(monkeypatch):
     for i in range(5):
         *_, whole, same = encoder.encode([f"{i}" * 900, "short"])
         assert all(whole) and all(same) and len(encoder.known) <= 4
+
+
+def test_new_words_are_encoded_a_bounded_number_of_characters_at_once(monkeypatch):
+    encoder, seen = piece_tokenizer.Encoder(piece_tokenizer.read_model()), []
+    line = encoder._line
+    monkeypatch.setattr(encoder, "_line", lambda words: seen.append(sum(map(len, words))) or line(words))
+    text = " ".join(f"word{i:06d}" for i in range(20_000))
+    ids, _, whole, same = encoder.encode([text])
+    assert whole == same == [True] and ids.tolist() == encoder.other.encode(text)
+    assert len(seen) > 1 and max(seen) < 50_000
