@@ -75,6 +75,19 @@ def test_evidence_matches_comparing_all(spark):
     assert sorted((r.text_id, r.term) for r in found.collect()) == sorted((i, t) for i, x in enumerate(texts) for t in terms if t and backs(t, x))
 
 
+def test_evidence_of_few_terms_shuffles_neither_words_nor_texts(spark, monkeypatch):
+    terms = spark.createDataFrame([("tide table",), ("gis",), ("Hydrographe",), ("a b",), ("é tide",)], "t string")
+    texts = ["the tide table", "xtide table tide table", "tide tablex", "xtide table", "GIS a b", "deshydrogr", "É tide", "bé tide", None, ""]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i long, x string").repartition(3)
+    found = evidence.evidence(frame, "i", "x", terms, "t")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
+    wanted = [(0, "tide table"), (1, "tide table"), (4, "a b"), (4, "gis"), (5, "Hydrographe"), (6, "é tide")]
+    assert sorted(tuple(r) for r in found.collect()) == wanted
+    monkeypatch.setattr(evidence, "BROADCAST_TERMS", 2)
+    assert sorted(tuple(r) for r in evidence.evidence(frame, "i", "x", terms, "t").collect()) == wanted
+
+
 def test_translations(spark):
     titles = spark.createDataFrame([("Charpentier naval", "Brest, France"), ("Diver", "Oslo"), ("Taucher", None), ("Held", "x"), ("Diver", "Oslo")], "title string, place string")
     held = spark.createDataFrame([("Held", "x", "Kept", 1), ("Old", "y", "Older", 0)], "title string, place string, translation string, added long")
