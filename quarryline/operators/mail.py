@@ -18,7 +18,8 @@ from quarryline.functions.phrases import (
 )
 from quarryline.functions.phrases import NAME_NOISE as NOISE
 from quarryline.functions.scalars import floor_days
-from quarryline.functions.text import compact_name, fold, name_tokens, sender_domain, word_set
+from quarryline.functions.text import compact_name, fold, folded_words, name_tokens, sender_domain
+from quarryline.operators import pairs
 
 LAG_DAYS, GHOSTED_DAYS = 2, 60
 FACES = ("acknowledged", "interview", "rejected")
@@ -57,84 +58,44 @@ def mail_window(applications: DataFrame) -> DataFrame:
     return applications.agg((F.min("ts") - F.expr("INTERVAL 1 DAY")).alias("since"))
 
 
-def score_links(messages: DataFrame, applications: DataFrame, noise=NOISE, platforms: tuple[str, ...] = ()) -> DataFrame:
+def score_links(messages: DataFrame, applications: DataFrame, noise=NOISE, platforms: tuple[str, ...] = (), deciding: bool = False) -> DataFrame:
     """(message_id, app_id, identity, score, why) for every pair with something that identifies it.
 
-    Candidates are pairs with a company hit or two title hits, and no others are made. Company
-    words and words of names, one row each, are joined to the words of a message. A compact
-    company name of six letters and more is looked up by its first six among the narrow six-letter
-    pieces of a message; the text itself comes back for the few that match. Two title hits need
-    one among the title's words without its commonest, so that word makes no candidates.
-
-    Exploded words are far larger than their tables, by whose sizes Spark would broadcast them, so
-    all joins with them are sort-merge joins. Pairs meet narrow columns only, and the words of a
-    message last, when they are not shuffled any more.
+    That is a company hit or two title hits: words of the name among those of the message, a compact name
+    of four letters and more among them, one of six and more anywhere in the message as one word. The pairs
+    grow with messages times applications, so they are made where both meet (:mod:`pairs`) and not shuffled.
+    ``deciding`` leaves out pairs that :func:`resolve_links` with a margin of one or more doesn't need.
     """
-    said = F.concat_ws(" ", "subject", "snippet", "body")
-    everything = F.concat_ws(" ", said, "from", sender_domain("from", platforms))
-    squeezed = F.regexp_replace(fold(everything), "[^a-z0-9]+", "")
-    m = messages.select(F.col("id").alias("message_id"), F.col("date").alias("sent"), word_set(everything).alias("all_words"), word_set(said).alias("words"))
-    texts = messages.select(F.col("id").alias("message_id"), squeezed.alias("squeezed"))
-    a = applications.select(
-        F.col("id").alias("app_id"), F.col("ts").alias("applied"),
-        F.array_distinct(name_tokens("company", noise)).alias("company_words"), compact_name("company", noise).alias("compact"),
-        name_tokens("title", noise).alias("title_words"),
-        F.try_element_at(name_tokens("location", noise), F.lit(1)).alias("city"),
+    squeezed = lambda folded: F.regexp_replace(folded, "[^a-z0-9]+", "")
+    m = messages.select(
+        "id", F.unix_millis("date").alias("at"), fold(F.concat_ws(" ", "subject", "snippet", "body")).alias("said"),
+        fold(F.concat_ws(" ", "from", sender_domain("from", platforms))).alias("sender"),
     )
-    short = F.length("compact").between(2, 5)
-    a = a.withColumn("names", F.when(short, F.array_union("company_words", F.array("compact"))).otherwise(F.col("company_words")))
-    word = m.select("message_id", F.explode("all_words").alias("word"))
-    by_name = a.select("app_id", F.explode("names").alias("word")).join(word.hint("merge"), "word").select("message_id", "app_id")
-    six = F.transform(
-        F.when(F.length("squeezed") >= 6, F.sequence(F.lit(1), F.length("squeezed") - 5)).otherwise(F.array()),
-        lambda i: F.substring("squeezed", i, F.lit(6)),
-    )
-    begins = texts.select("message_id", F.explode(F.array_distinct(six)).alias("six"))
-    long_names = a.filter(F.length("compact") >= 6).select("app_id", "compact", F.left("compact", F.lit(6)).alias("six"))
-    maybe = begins.hint("merge").join(long_names, "six").select("message_id", "app_id", "compact")
-    inside = maybe.join(texts.hint("merge"), "message_id").filter(F.contains("squeezed", "compact")).select("message_id", "app_id")
-    company = by_name.unionByName(inside).withColumn("company_hit", F.lit(True))
-    spoken = m.select("message_id", F.explode("words").alias("word"))
-    titled = two_hit_candidates(a.select("app_id", "title_words"), spoken).withColumn("company_hit", F.lit(False))
-    known = (
-        company.unionByName(titled).groupBy("message_id", "app_id").agg(F.bool_or("company_hit").alias("company_hit"))
-        .join(a.select("app_id", "applied", "city", "title_words").hint("merge"), "app_id")
-        .join(m.select("message_id", "sent", "words").hint("merge"), "message_id")
-        .withColumn("title_hits", F.size(F.filter("title_words", lambda w: F.array_contains("words", w))))
+    words, more = folded_words(F.col("said")), folded_words(F.col("sender"))
+    m = m.select("id", "at", words.alias("words"), F.array_except(more, words).alias("more"), F.concat(squeezed("said"), squeezed("sender")).alias("text"))
+    compact, names = compact_name("company", noise), F.array_distinct(name_tokens("company", noise))
+    a = applications.select(
+        "id", F.unix_millis("ts").alias("at"),
+        F.when(F.length(compact).between(2, 5), F.array_union(names, F.array(compact))).otherwise(names).alias("words"),
+        name_tokens("title", noise).alias("more"), compact.alias("text"), F.try_element_at(name_tokens("location", noise), F.lit(1)).alias("city"),
     )
-    by_company = F.when(F.col("company_hit"), 10).otherwise(0)
-    by_title = F.when(F.col("title_hits") >= 2, 3).when((F.col("title_hits") == 1) & F.col("company_hit"), 1).otherwise(0)
-    days = (F.unix_millis("sent") - F.unix_millis("applied")) / 86_400_000
+    days = F.col("apart") / 86_400_000
     by_date = F.when(days <= 1, 3).when(days <= 5, 2).when(days <= 30, 1).otherwise(0)
-    in_city = F.coalesce(F.array_contains("words", F.col("city")), F.lit(False))
     why = F.array_compact(
         F.array(
-            F.when(F.col("company_hit"), "company"),
-            F.when(by_title == 3, "title").when(by_title == 1, "title-partial"),
+            F.when(F.col("company"), "company"),
+            F.when(F.col("title") == pairs.TITLE, "title").when(F.col("title") == pairs.PARTIAL, "title-partial"),
             F.when(by_date == 3, "same-day").when(by_date == 2, "within-days").when(by_date == 1, "within-weeks"),
-            F.when(in_city, "city"),
+            F.when(F.col("in_city"), "city"),
         )
     )
-    identity = (by_company + by_title).cast("int")
-    return known.filter((identity > 0) & (F.coalesce(days, F.lit(0.0)) >= -LAG_DAYS)).select(
+    identity = (F.when(F.col("company"), pairs.COMPANY).otherwise(0) + F.col("title")).cast("int")
+    return pairs.meet(m, a, LAG_DAYS * 86_400_000, deciding).select(
         "message_id", "app_id", identity.alias("identity"),
-        (identity + by_date + F.when(in_city, 1).otherwise(0)).cast("int").alias("score"), why.alias("why"),
+        (identity + by_date + F.when(F.col("in_city"), 1).otherwise(0)).cast("int").alias("score"), why.alias("why"),
     )
 
 
-def two_hit_candidates(titles: DataFrame, spoken: DataFrame) -> DataFrame:
-    """(message_id, app_id) of titles (app_id, title_words) and messages that share a word which isn't the title's commonest.
-
-    A title of one word has none; a word that stands twice in a title counts as two.
-    """
-    words = titles.select("app_id", F.posexplode("title_words").alias("at", "word"))
-    often = spoken.hint("merge").join(words.select("word").distinct(), "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    ranked = words.hint("merge").join(often, "word")
-    place = F.row_number().over(Window.partitionBy("app_id").orderBy(F.desc("n"), "word", "at"))
-    rarer = ranked.withColumn("place", place).filter("place > 1").select("app_id", "word").distinct()
-    return rarer.join(spoken.hint("merge"), "word").select("message_id", "app_id").distinct()
-
-
 def resolve_links(messages: DataFrame, scored: DataFrame, margin: int = 1) -> DataFrame:
     """(message_id, app_id, kind, outcome, score): one link per clear message, all candidates of a tie, or an orphan.
 
