@@ -64,7 +64,7 @@ def score_links(messages: DataFrame, applications: DataFrame, noise=NOISE, platf
     That is a company hit or two title hits: words of the name among those of the message, a compact name
     of four letters and more among them, one of six and more anywhere in the message as one word. The pairs
     grow with messages times applications, so they are made where both meet (:mod:`pairs`) and not shuffled.
-    ``deciding`` leaves out pairs that :func:`resolve_links` with a margin of one or more doesn't need.
+    ``deciding`` leaves out the pairs that :func:`resolve_links` gives the same result without.
     """
     squeezed = lambda folded: F.regexp_replace(folded, "[^a-z0-9]+", "")
     m = messages.select(

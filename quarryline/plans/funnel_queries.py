@@ -189,7 +189,7 @@ def link_scores(spark, sf_dir):
  FROM m LEFT JOIN (SELECT * FROM k WHERE (clear AND place = 1) OR (NOT clear AND identity = best)) k USING (message_id)""")
 def link_outcomes(spark, sf_dir):
     messages, applications = link_tables(spark, sf_dir)
-    return mail.resolve_links(messages, mail.score_links(messages, applications, noise=()))
+    return mail.resolve_links(messages, mail.score_links(messages, applications, noise=(), deciding=True))
 
 
 TODAY = "2024-03-10 00:00:00"

@@ -93,3 +93,15 @@ def test_rows_of_one_id_are_messages_of_their_own(spark):
     m = spark.createDataFrame([(1, "", "", "about Tidalworks", "", at, "bounced"), (1, "", "", "about a diver", "", at, "bounced")], MESSAGE)
     a = spark.createDataFrame([(7, "Tidalworks", "Diver", "", at), (7, "Elsewhere", "Diver", "", at)], APPLICATION)
     assert [(r.message_id, r.app_id, r.identity, r.why) for r in mail.score_links(m, a).collect()] == [(1, 7, 10, ["company", "same-day"])]
+
+
+def test_links_resolve_by_the_deciding_pairs(spark, monkeypatch):
+    """The best of each block, and one that comes next there, tell the same as all pairs."""
+    monkeypatch.setattr(pairs, "BLOCK", 30)
+    monkeypatch.setattr(pairs, "PART", 100)
+    messages, applications = link_tables(spark, SF)
+    every, deciding = (mail.score_links(messages, applications, noise=(), deciding=d).select("message_id", "app_id", "identity", "score").localCheckpoint() for d in (False, True))
+    assert deciding.exceptAll(every).isEmpty() and deciding.count() < every.count()
+    for margin in (1, 2, 8):
+        all_told, told = (sorted(mail.resolve_links(messages, s, margin).collect(), key=str) for s in (every, deciding))
+        assert told == all_told and {r.outcome for r in told} == {"link", "tie", "orphan"}
