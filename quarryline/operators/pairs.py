@@ -179,7 +179,7 @@ class Block:
         inside = self.long_names(rows["text"])
         total = lambda of, weights: np.bincount(of[0], weights=weights, minlength=rows.num_rows)
         costs = self.width + total(words, self.titled.sizes[words[1]] + self.named.sizes[words[1]])
-        costs += total(senders, self.named.sizes[senders[1]]) + total(inside, self.owners.sizes[inside[1]])
+        costs = costs + total(senders, self.named.sizes[senders[1]]) + total(inside, self.owners.sizes[inside[1]])
         at = rows["at"]
         dated, sent = at.is_valid().to_numpy(zero_copy_only=False), pc.fill_null(at, 0).to_numpy()
         for slab in slabs(costs.astype(np.int64)):

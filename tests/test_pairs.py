@@ -69,6 +69,18 @@ def test_pairs_are_those_of_all_with_all(monkeypatch, cells, windows):
         assert sorted(found, key=key) == sorted(expected, key=key) and len(found) > 100
 
 
+def test_few_words_in_common():
+    """Messages and applications of which some have no words, no sender or no long name."""
+    messages = [(1, 5, [], [], ""), (2, 5, ["ab"], [], "ab"), (3, None, [], ["ab"], "ab"), (4, 5, ["x"], [], "xlongname"), (5, 5, ["c", "d"], [], "cd")]
+    applications = [(7, 5, ["ab"], [], "ab", None), (8, 5, [], [], "longname", "x"), (9, 5, [], ["c", "d"], None, "c"), (10, None, [], [], None, None)]
+    for some_messages in [messages, *([m] for m in messages)]:
+        for some in [applications, *([a] for a in applications)]:
+            block = pairs.Block(columns(some, ["app_id", "at", "words", "more", "text", "city"], KINDS))
+            rows = columns(some_messages, ["message_id", "at", "words", "more", "text"], KINDS[:5]).to_batches()[0]
+            found = [tuple(r.values()) for batch in block.pairs(rows, 20, False) for r in batch.to_pylist()]
+            assert sorted(found, key=str) == sorted(compared(some_messages, some, 20), key=str)
+
+
 def test_nothing_meets_nothing(spark):
     m, a = spark.createDataFrame([], MESSAGE), spark.createDataFrame([], APPLICATION)
     one = spark.createDataFrame([(1, None, None, None, None, None, None)], MESSAGE), spark.createDataFrame([(7, None, None, None, None)], APPLICATION)
