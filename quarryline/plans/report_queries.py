@@ -23,7 +23,7 @@ D_LINK_STATES = D_OUTCOMES + f""", g AS (SELECT app_id, bool_or(kind = 'bounced'
 
 def states_of_links(spark, sf_dir):
     messages, applications = link_tables(spark, sf_dir)
-    outcomes = mail.resolve_links(messages, mail.score_links(messages, applications, noise=()))
+    outcomes = mail.resolve_links(messages, mail.score_links(messages, applications, noise=(), deciding=True))
     day = F.timestamp_seconds(F.lit(LINK_DAY))
     return mail.application_states(applications.withColumn("longshot", F.lit(False)), mail.link_events(outcomes, messages), day)
 

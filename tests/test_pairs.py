@@ -8,8 +8,11 @@ import random
 import pyarrow as pa
 import pytest
 
+from quarryline import catalog
 from quarryline.operators import mail, pairs
+from quarryline.plans import report_queries
 from quarryline.plans.funnel_queries import link_tables
+from tests.compare import duck, sparks
 
 SF = "/root/testdata/sf0.01"
 MESSAGE = "id long, subject string, snippet string, body string, from string, date timestamp, kind string"
@@ -117,3 +120,17 @@ def test_links_resolve_by_the_deciding_pairs(spark, monkeypatch):
     for margin in (1, 2, 8):
         all_told, told = (sorted(mail.resolve_links(messages, s, margin).collect(), key=str) for s in (every, deciding))
         assert told == all_told and {r.outcome for r in told} == {"link", "tie", "orphan"}
+
+
+def explodes(plan: str) -> int:
+    return sum(line.lstrip(" :+-*").startswith(("Generate", "(")) and "explode(" in line for line in plan.splitlines())
+
+
+def test_link_states_explode_no_words(spark, monkeypatch):
+    """Messages and applications are dealt to parts and blocks, and that is all that is exploded; the states are those of the SQL."""
+    monkeypatch.setattr(pairs, "BLOCK", 3)
+    monkeypatch.setattr(pairs, "PART", 20)
+    found = report_queries.link_states(spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert explodes(plan) == 2 and plan.count("MapInArrow") == 1
+    assert sparks(found) == duck(catalog.ORACLE_SQL["link_states"], "/root/testdata/sf0.001")
