@@ -134,3 +134,14 @@ def test_link_states_explode_no_words(spark, monkeypatch):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert explodes(plan) == 2 and plan.count("MapInArrow") == 1
     assert sparks(found) == duck(catalog.ORACLE_SQL["link_states"], "/root/testdata/sf0.001")
+
+
+def test_silence_order_makes_pairs_once(spark, monkeypatch):
+    """Places are numbered over what is left of the pairs; they are those of the SQL over many parts and blocks."""
+    calls, meet = [], pairs.meet
+    monkeypatch.setattr(pairs, "meet", lambda *args: calls.append(args[3]) or meet(*args))
+    monkeypatch.setattr(pairs, "BLOCK", 3)
+    monkeypatch.setattr(pairs, "PART", 20)
+    found = sparks(report_queries.silence_order(spark, "/root/testdata/sf0.001"))
+    assert calls == [True]
+    assert found == duck(catalog.ORACLE_SQL["silence_order"], "/root/testdata/sf0.001")
